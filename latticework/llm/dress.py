@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.session import cut
+
 NUMBER = r"(?:(?<![-0-9a-z.])[+-])?(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
 GROUPING = "(?<=[0-9a-f])[_'’](?=[0-9a-f])"
 NAMED = "(?<![a-z0-9])[stw](?![a-z0-9])"
@@ -36,42 +38,50 @@ def edge_form(line: str) -> Column:
     return F.coalesce(edge, F.concat(F.lit("text "), F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")), F.lit("null"))
 
 
-def collapse(df: DataFrame, record: str, form: Column) -> tuple[DataFrame, DataFrame]:
-    """(hashed, groups): df's records with their hashes, and one row per form.
+HASHES = ("h1", "h2")
 
-    hashed: (record, form, h1, h2). groups: (h1, h2, first_id, copies, form): form only where two forms share
-    h1 and h2, else null.
-    """
-    hashed = df.select(F.col(record).alias("record"), form.alias("form"))
-    hashed = hashed.select("record", "form", F.xxhash64(F.lit(1), "form").alias("h1"), F.xxhash64(F.lit(2), "form").alias("h2"))
-    check = F.xxhash64(F.lit(3), "form")
-    counted = hashed.groupBy("h1", "h2").agg(
-        F.min("record").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min(check).alias("lo"), F.max(check).alias("hi")
-    )
-    clashes = [(r.h1, r.h2) for r in counted.where("lo <> hi").select("h1", "h2").limit(1000).collect()]
-    groups = counted.where("lo = hi").select("h1", "h2", "first_id", "copies", F.lit(None).cast("string").alias("form"))
-    if clashes:  # two forms with equal 128 bits: not seen in any data yet, but possible
-        again = counted.where("lo <> hi").select("h1", "h2")
-        exact = hashed.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "form")
-        exact = exact.agg(F.min("record").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        groups = groups.unionByName(exact.select("h1", "h2", "first_id", "copies", "form"))
-    return hashed, groups
-
-
-def copies(df: DataFrame, record: str, form: Column, hot_share: float = 0.001) -> DataFrame:
-    """(first_id, copy_id): every record but the first of its form.
-
-    Forms with at least ``hot_share`` of all records, of which there are at most 1/hot_share, meet their records
-    by a broadcast; the rest is joined by hash, so no group of copies makes a task long.
+
+def _with_hashes(df: DataFrame, record: str, form: Column) -> DataFrame:
+    rows = df.select(F.col(record).alias("record"), form.alias("form"))
+    return rows.select("record", "form", *(F.xxhash64(F.lit(i), "form").alias(f"h{i}") for i in (1, 2, 3)))
+
+
+class Collapsed:
+    """df's records by form. groups: (first_id, copies, h1, h2), one row per form; copies(): the records but the first.
+
+    The forms are made once; their hashes and the records' ids are written to the checkpoint folder.
     """
-    hashed, groups = collapse(df, record, form)
-    many = groups.where(F.col("copies") > 1)
-    least = max(1000, int(hot_share * df.count()))
-    small = many.sparkSession.createDataFrame(many.where(F.col("copies") >= least).collect(), many.schema)
-    on = [F.col("g.h1") == F.col("r.h1"), F.col("g.h2") == F.col("r.h2"), F.col("g.form").isNull() | (F.col("g.form") == F.col("r.form"))]
-    rows = hashed.alias("r")
-    hot = rows.join(F.broadcast(small).alias("g"), on, "left").select("r.*", F.col("g.first_id").alias("hot_first"))
-    out = hot.where(F.col("hot_first").isNotNull()).select(F.col("hot_first").alias("first_id"), F.col("record").alias("copy_id"))
-    rest = hot.where(F.col("hot_first").isNull()).alias("r").join(many.where(F.col("copies") < least).alias("g"), on)
-    out = out.unionByName(rest.select(F.col("g.first_id").alias("first_id"), F.col("r.record").alias("copy_id")))
-    return out.where(F.col("first_id") != F.col("copy_id"))
+
+    def __init__(self, df: DataFrame, record: str, form: Column):
+        self._full = _with_hashes(df, record, form)
+        self._rows = cut(self._full.drop("form"))
+        counted = self._rows.groupBy(*HASHES).agg(
+            F.min("record").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("h3").alias("lo"), F.max("h3").alias("hi")
+        )
+        self._sure = counted.where("lo = hi").drop("lo", "hi")
+        self.groups = self._sure.select("first_id", "copies", *HASHES)
+        self._clash = None
+        unsure = counted.where("lo <> hi").select(*HASHES)
+        if not unsure.isEmpty():  # two forms with equal 128 bits: not seen yet, but possible
+            self._clash = self._full.join(unsure, list(HASHES), "left_semi")
+            again = self._clash.groupBy(*HASHES, "form").agg(F.min("record").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+            self._again = again
+            self.groups = self.groups.unionByName(again.select("first_id", "copies", *HASHES))
+
+    def copies(self, hot_share: float = 0.001) -> DataFrame:
+        """(first_id, copy_id): every record but the first of its form.
+
+        Forms with at least ``hot_share`` of all records, of which there are at most 1/hot_share, meet their records
+        by a broadcast; the rest is joined by hash, so no group of copies makes a task long.
+        """
+        many = self._sure.where(F.col("copies") > 1)
+        least = max(1000, int(hot_share * self._rows.count()))
+        hot = many.where(F.col("copies") >= least).collect()
+        near = F.broadcast(many.sparkSession.createDataFrame(hot, many.schema).withColumnRenamed("first_id", "hot_first").drop("copies"))
+        rows = self._rows.join(near, list(HASHES), "left")
+        rest = rows.where("hot_first IS NULL").join(many.where(F.col("copies") < least), list(HASHES)).select("first_id", F.col("record").alias("copy_id"))
+        out = rest.unionByName(rows.where("hot_first IS NOT NULL").select(F.col("hot_first").alias("first_id"), F.col("record").alias("copy_id")))
+        if self._clash is not None:
+            exact = self._clash.join(self._again, [*HASHES, "form"])
+            out = out.unionByName(exact.select("first_id", F.col("record").alias("copy_id")))
+        return out.where("first_id <> copy_id")

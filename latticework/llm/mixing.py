@@ -68,6 +68,7 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> d
                 b.full = min(int(b.wanted / b.available + 1e-12), b.max_repeat)
                 b.rest = max(0.0, b.wanted - b.full * b.available) if b.full < b.max_repeat else 0.0
             first = False
+            open_ = {s: b for s, b in open_.items() if b.rest > 0}
         for name, b in list(open_.items()):
             width = max(0, b.bits - STEP)
             for r in sorted((r for r in cells if r.source == name), key=lambda r: r.cell):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import lookalike, mixing, packing, terms
-from latticework.llm.dress import collapse, copies, edge_form
+from latticework.llm.dress import Collapsed, edge_form
 from latticework.llm.iceberg import frequent_values
 from latticework.sources.tables import table
 
@@ -23,12 +23,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies(table(spark, d, "edge_text"), "rec_id", edge_form("line"))
+    return Collapsed(table(spark, d, "edge_text"), "rec_id", edge_form("line")).copies()
 
 
 def p4_edges(spark: SparkSession, d: str) -> DataFrame:
-    _, groups = collapse(table(spark, d, "edge_text"), "rec_id", edge_form("line"))
-    return groups.select("first_id", "copies")
+    return Collapsed(table(spark, d, "edge_text"), "rec_id", edge_form("line")).groups.select("first_id", "copies")
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
