@@ -6,7 +6,7 @@ the form is carried as its smallest and largest value: where they differ, two fo
 these groups are counted again by the form itself.
 
 Defined results: values count as written apart from the above, so 7 and 07, 3 and +3, 16 and 0x10 differ. A
-line without two ends is no edge; it is a copy of the lines with the same lower-case text without outer white
+line without two ends, or with more than three values and no names, is no edge; it is a copy of the lines with the same lower-case text without outer white
 space. A null line is a copy of the other null lines, not of empty ones.
 """
 
@@ -28,7 +28,7 @@ def edge_form(line: str) -> Column:
     by_place = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
     named = text.rlike(NAMED)
     value = lambda name: F.regexp_extract(text, rf"(?<![a-z0-9]){name}[^0-9a-z<.+-]*({NUMBER})", 1)
-    place = lambda i: F.coalesce(F.get(by_place, F.lit(i)), F.lit(""))
+    place = lambda i: F.when(F.size(by_place).between(2, 3), F.coalesce(F.get(by_place, F.lit(i)), F.lit(""))).otherwise("")
     s, t, w = (F.when(named, value(name)).otherwise(place(i)) for i, name in enumerate("stw"))
     parts = F.struct(s.alias("s"), t.alias("t"), w.alias("w"))
     edge = F.transform(
