@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.bits import one_hot
@@ -48,8 +48,6 @@ def grown_samples(edges: DataFrame, centres: DataFrame, largest: int = 29, small
     """
     want = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(largest - smallest + 1)) + smallest).alias("want")
     chosen = centres.select("v", F.col("v").alias("id"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "v", "id"))
     for _ in range(4):
         near = chosen.join(edges.withColumnRenamed("src", "id"), "id").select("v", F.col("dst").alias("id")).distinct()
@@ -65,8 +63,6 @@ def with_negatives(centres: DataFrame, vertices: DataFrame, seed: int = 0) -> Da
 
     Labels are put in a ring and a centre takes a vertex of the next label; no two tables are paired row by row.
     """
-    from pyspark.sql import Window
-
     pick = vertices.groupBy("label").agg(F.min_by("id", F.xxhash64(F.lit(seed), "id")).alias("other"))
     labels = pick.withColumn("one", F.lit(1))
     ring = Window.partitionBy("one").orderBy("label")  # one row per label
@@ -163,11 +159,12 @@ def evaluation(found: DataFrame, truth: DataFrame, universe: DataFrame) -> DataF
     return s.select("*", part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
-def ranking_quality(scored: DataFrame) -> DataFrame:
-    """One row (auroc, average_precision) of (score, positive) pairs, from counts per score; equal scores count half."""
-    from pyspark.sql import Window
+def ranking_quality(scored: DataFrame, digits: int = 6) -> DataFrame:
+    """One row (auroc, average_precision) of (score, positive) pairs, scores from 0 to 1; equal scores count half.
 
-    by = scored.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("q"))
+    It is computed from counts per score, rounded to ``digits``, so that what is put in order is bounded.
+    """
+    by = scored.groupBy(F.round("score", digits).alias("score")).agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("q"))
     total = by.agg(F.sum("p"), F.sum("q")).first()
     up = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # over the different scores only
     c = by.withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("q").over(up))

@@ -86,7 +86,8 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
         alive = n
         edges = edges.join(live.withColumnRenamed("v", "src"), "src", "left_semi").join(live.withColumnRenamed("v", "dst"), "dst", "left_semi")
         edges = cut(edges.select("src", "dst", "label"))
-    return cand, edges.select("src", "dst").distinct() if multigraph else edges.select("src", "dst"), rounds
+    edges = edges.select("src", "dst")
+    return cand, edges.where("src <> dst").distinct() if multigraph else edges, rounds
 
 
 def by_neighbour_candidates(edges: DataFrame, cand: DataFrame, p: Pattern, max_rounds: int | None = None) -> DataFrame:

@@ -21,10 +21,10 @@ def _neighbours(simple: DataFrame, v: int, seed: int) -> list[int]:
     return [r.dst for r in near.collect()]
 
 
-def walk(graph: Graph, n: int, seed: int = 0, jump: bool = False, start: int | None = None) -> list[int]:
+def walk(graph: Graph, n: int, seed: int = 0, jump: bool = False, start: int | None = None, simple: DataFrame | None = None) -> list[int]:
     """n vertices of a self-avoiding random walk; fewer if it gets stuck, unless it may jump back to a walked vertex."""
     rng = random.Random(seed)
-    simple = cut(graph.simple)
+    simple = cut(graph.simple) if simple is None else simple
     if start is None:
         first = simple.select("src").distinct().orderBy(F.xxhash64(F.lit(seed), "src")).first()
         if first is None:
@@ -58,21 +58,24 @@ def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: i
     kind: "path" has the walk's edges, "cycle" also its closing edge, "tree" a spanning tree of the induced graph,
     "other" a tree and up to n more of its edges. constrained: only queries with a walk constraint.
     """
+    simple = cut(graph.simple)
     for t in range(tries):
         rng = random.Random(seed * 1000 + t)
-        path = walk(graph, n, seed * 1000 + t)
+        path = walk(graph, n, seed * 1000 + t, simple=simple)
         if len(path) < n:
             continue
         at = {v: i for i, v in enumerate(path)}
         some = graph.lines.sparkSession.createDataFrame([(v,) for v in path], "id long")
+        near = F.broadcast(some.withColumnRenamed("id", "src"))
+        induced = simple.join(near, "src").join(F.broadcast(some.withColumnRenamed("id", "dst")), "dst").where("src < dst").collect()
+        induced = sorted({(min(at[r.src], at[r.dst]), max(at[r.src], at[r.dst])) for r in induced})
+        if kind == "cycle" and (0, n - 1) not in induced:
+            continue
         label = {r.id: r.label for r in graph.vertices.join(F.broadcast(some), "id", "left_semi").collect()}
         if len(label) < n:
             continue
-        induced = sorted({(min(at[r.src], at[r.dst]), max(at[r.src], at[r.dst])) for r in graph.induced(some).where("src <> dst").select("src", "dst").distinct().collect()})
         steps = [(i, i + 1) for i in range(n - 1)]
         if kind == "cycle":
-            if (0, n - 1) not in induced:
-                continue
             steps.append((0, n - 1))
         elif kind in ("tree", "other"):
             tree, inside = [], {0}

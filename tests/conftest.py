@@ -14,5 +14,6 @@ def spark(tmp_path_factory):
 
     s = local_session(cores=4, shuffle_partitions=4, memory="4g", app="tests")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return s

@@ -147,8 +147,8 @@ def test_samples(spark):
     ids = {r.id for r in v.collect()}
     assert len(ids) == 12 and {tuple(r) for r in e.collect()} == {(a, b) for a, b in near if {a, b} <= ids}
     for kind in ("path", "cycle", "tree", "other"):
-        p = sample.query(g, 4, kind, seed=1, tries=60, constrained=False)
-        assert p.connected() and p.n == 4 and match.match(g, p).count() > 0
+        p = sample.query(g, 4, kind, seed=1, tries=30, constrained=False)
+        assert p.connected() and p.n == 4 and match.match(g, p, pruning=False).count() > 0
         assert len(p.edges) == {"path": 3, "cycle": 4, "tree": 3}.get(kind, len(p.edges))
     assert sorted(sample.queries_from(g, 2, 3, "path", first_number=5)) == [5, 6]
     assert sample.walk(graph(spark, []), 3) == []
