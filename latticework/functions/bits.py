@@ -69,10 +69,13 @@ def scramble_array(x: np.ndarray, n: int) -> np.ndarray:
 def scramble_column(x: Column, n: int) -> Column:
     """The same permutation in an expression; every window hashes what the last one left."""
     width, shifts = _windows(n)
+
+    def at(s: int):
+        rest = F.lit(~(((1 << width) - 1) << s))
+        return lambda v: v.bitwiseAND(rest).bitwiseOR(F.shiftleft(hash_column(F.shiftrightunsigned(v, s), width), s))
+
     for s in shifts:
-        window = ((1 << width) - 1) << s
-        hashed = lambda v, s=s, w=window: v.bitwiseAND(F.lit(~w)).bitwiseOR(F.shiftleft(hash_column(F.shiftrightunsigned(v, s), width), s))
-        x = F.transform(F.array(x.cast("long")), hashed)[0]  # a variable, so that x is not spelled out again and again
+        x = F.transform(F.array(x.cast("long")), at(s))[0]  # a variable, so that x is not spelled out again and again
     return x
 
 

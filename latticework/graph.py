@@ -74,6 +74,11 @@ class Graph:
         """(label, n)"""
         return self.vertices.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
+    def vertex_table(self, hub_degree: int = 1_048_576) -> DataFrame:
+        """(id, degree, label, hub): every vertex with its degree (0 without an edge), its label, and whether it is a hub."""
+        deg = self.vertices.join(self.degrees(), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), "label")
+        return deg.withColumn("hub", F.col("degree") >= hub_degree)
+
     def with_degree_labels(self) -> Graph:
         """The same edges, each vertex with an edge labelled by ceil(log2(degree + 1))."""
         return Graph(self.lines, self.degrees().select("id", degree_label(F.col("degree")).alias("label")), self.undirected)

@@ -65,8 +65,8 @@ def components(graph: Graph, edge: Column | None = None, vertex: Column | None =
 
     edge, vertex: conditions on (src, dst, weight) and (id, label) that edges and vertices must meet; a vertex that
     meets its condition but keeps no edge is its own component. Direction is ignored. Each round hangs every
-    component on its smallest neighbour, halves the paths, and goes on with the edges between what is left; the
-    rounds are logarithmic and the edges shrink, so long paths need no long loop.
+    component on its smallest neighbour, shortens the paths to their roots, and goes on with the edges between what is
+    left; components at least halve in a round and a path in a step, so long paths need no long loop.
     """
     lines = graph.lines
     ids = lines.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -81,9 +81,12 @@ def components(graph: Graph, edge: Column | None = None, vertex: Column | None =
     while not pairs.isEmpty():
         ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
         up = pairs.select(ends.alias("e")).groupBy("e.x").agg(F.least(F.col("x"), F.min("e.y")).alias("p"))
-        up = cut(up)
-        far = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        up = cut(up.join(far, "p").select("x", F.col("q").alias("p")))
+        up, moving = cut(up), True
+        while moving:  # every path to a root is halved until it has one step
+            far = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
+            up = cut(up.join(far, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            moving = not up.where("moved").isEmpty()
+        up = up.drop("moved")
         label = cut(label.join(up, label.cc == up.x, "left").select("id", F.coalesce("p", "cc").alias("cc")))
         a = up.select(F.col("x").alias("a"), F.col("p").alias("pa"))
         b = up.select(F.col("x").alias("b"), F.col("p").alias("pb"))

@@ -133,6 +133,31 @@ def statistics(spark, d):
     return domain(spark, d).statistics(hub_degree=1000).drop("max_id")
 
 
+@query(f"""WITH {_DOMAIN}, deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src)
+SELECT id, coalesce(n, 0) AS degree, label, coalesce(n, 0) >= 1000 AS hub FROM vertices LEFT JOIN deg ON src = id""")
+def vertex_table(spark, d):
+    return domain(spark, d).vertex_table(hub_degree=1000)
+
+
+@query(f"WITH {_DOMAIN} SELECT id, coalesce(u.l, label) AS label FROM vertices FULL JOIN (SELECT v AS id, min(query_no)::BIGINT AS l FROM cand WHERE v IS NOT NULL GROUP BY v) u USING (id)")
+def label_update(spark, d):
+    new = table(spark, d, "cand").select(F.col("v").alias("id"), F.col("query_no").cast("long").alias("label"))
+    return domain(spark, d).with_labels(new).vertices
+
+
+@query(f"WITH {_DOMAIN} SELECT DISTINCT v, u FROM cand WHERE v IS NOT NULL AND query_no = 8 EXCEPT SELECT id, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 8")
+def stated_not_by_label(spark, d):
+    stated = table(spark, d, "cand").where("query_no = 8 AND v IS NOT NULL").select("v", "u").distinct()
+    return stated.join(prune.label_candidates(domain(spark, d).vertices, pattern(spark, d, 8)), ["v", "u"], "left_anti")
+
+
+@query(f"WITH {_DOMAIN}, x AS (SELECT id AS v, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 8) SELECT u, count(*) AS n FROM (SELECT v, u FROM x UNION SELECT v, u FROM cand WHERE v IS NOT NULL AND query_no = 8) GROUP BY u")
+def candidate_union(spark, d):
+    stated = table(spark, d, "cand").where("query_no = 8 AND v IS NOT NULL").select("v", "u")
+    both = stated.unionByName(prune.label_candidates(domain(spark, d).vertices, pattern(spark, d, 8))).distinct()
+    return both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def edge_owner(spark, d):
     e = domain(spark, d).pairs
@@ -400,6 +425,12 @@ def triangle_count(spark, d):
     return dense.triangle_count(domain(spark, d))
 
 
+@query(f"WITH {_DOMAIN}, {_DOD} SELECT sum(n * (n - 1) // 2)::BIGINT AS wedges FROM (SELECT count(*) AS n FROM dod GROUP BY lo)")
+def wedge_count(spark, d):
+    out = dense.oriented(domain(spark, d).pairs).groupBy("lo").agg(F.count(F.lit(1)).alias("n"))
+    return out.agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("wedges"))
+
+
 @query(f"WITH {_DOMAIN}, {_DOD}, {_SIDES} SELECT a, b, n FROM per")
 def triangle_per_edge(spark, d):
     return dense.edge_triangles(domain(spark, d).pairs)
@@ -429,6 +460,11 @@ def cc_sizes(spark, d):
     return traverse.component_sizes(traverse.components(domain(spark, d)))
 
 
+@query(_cc_sql("SELECT src, dst FROM simple", "SELECT cc, count(*) AS n FROM {} GROUP BY cc ORDER BY cc LIMIT 2"))
+def cc_first(spark, d):
+    return traverse.component_sizes(traverse.components(domain(spark, d))).orderBy("cc").limit(2)
+
+
 @query(_cc_sql("SELECT DISTINCT src, dst FROM edges WHERE weight <= 0.2 AND src <> dst", "SELECT id, cc FROM {}", 40))
 def cc_weight_filtered(spark, d):
     return traverse.components(domain(spark, d), edge=F.col("weight") <= 0.2)
@@ -483,6 +519,11 @@ def pagerank_1(spark, d):
     return traverse.pagerank(domain(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query(_pagerank_sql(1, None).replace("SELECT count(*)::DOUBLE AS n FROM vertices", "SELECT max(id)::DOUBLE AS n FROM vertices").replace("round(rank, 9)", "round(rank, 12)"))
+def pagerank_max_id(spark, d):
+    return traverse.pagerank(domain(spark, d), normalizer="max_id").select("id", F.round("rank", 12).alias("rank"))
+
+
 @query(_pagerank_sql(5, 0.85))
 def pagerank_n(spark, d):
     return traverse.pagerank(domain(spark, d), 5, 0.85).select("id", F.round("rank", 9).alias("rank"))
