@@ -14,39 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.operators.prune import by_neighbour_labels, label_candidates, labelled_edges, prune
+from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, prune
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import cut
 
 
-def _step(edges: DataFrame, cand: DataFrame, a: int, b: int) -> DataFrame:
-    """(m<a>, m<b>): the edges that can stand for the query edge (a, b)."""
-    e = edges.select(F.col("src").alias(f"m{a}"), F.col("dst").alias(f"m{b}"))
-    for u in (a, b):
-        e = e.join(cand.where(F.col("u") == u).select(F.col("v").alias(f"m{u}")), f"m{u}", "left_semi")
-    return e.select(f"m{a}", f"m{b}")
-
-
 def _alike(p: Pattern, a: int, b: int) -> bool:
     return p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b])
 
 
 def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int]) -> DataFrame:
-    """A left-deep join along the order: the first matched neighbour expands, the others check by semi-join.
+    """A left-deep join along the order: the matched neighbour with the fewest edges expands, the others check by semi-join.
 
     Only vertices of equal labels can be the same one, so only these are told apart.
     """
     rows, done = None, []
-    for u, before in zip(order, order_of.extensions(p, order)):
+    plan = list(zip(order, order_of.extensions(p, order)))
+    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before])
+    for u, before in plan:
         if rows is None:
             rows = cand.where(F.col("u") == u).select(F.col("v").alias(f"m{u}"))
         elif not before:
             raise ValueError("the query is not connected")
         else:
-            rows = rows.join(_step(edges, cand, before[0], u), f"m{before[0]}")
+            before = sorted(before, key=lambda w: (steps.sizes.get((w, u), 0), w))
+            rows = rows.join(steps.of(before[0], u, f"m{before[0]}", f"m{u}"), f"m{before[0]}")
             for w in before[1:]:
-                rows = rows.join(edges.select(F.col("src").alias(f"m{w}"), F.col("dst").alias(f"m{u}")), [f"m{w}", f"m{u}"], "left_semi")
+                rows = rows.join(steps.of(w, u, f"m{w}", f"m{u}"), [f"m{w}", f"m{u}"], "left_semi")
             for w in done:
                 if w not in before and _alike(p, w, u):
                     rows = rows.where(F.col(f"m{w}") != F.col(f"m{u}"))
@@ -57,15 +52,17 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
 def enumerate_by_walk(edges: DataFrame, cand: DataFrame, p: Pattern, start: int = 0) -> DataFrame:
     """The same rows by one walk over all query edges: each step finds a new vertex or checks an edge."""
     walk = p.covering_walk(start) if p.n > 1 else [0]
-    rows, done, checked = cand.where(F.col("u") == walk[0]).select(F.col("v").alias(f"m{walk[0]}")), [walk[0]], set()
+    rows, done = cand.where(F.col("u") == walk[0]).select(F.col("v").alias(f"m{walk[0]}")), [walk[0]]
+    first = {frozenset(s): s for s in reversed(list(zip(walk, walk[1:])))}
+    steps = Steps(edges, cand, list(first.values()))
     for a, b in zip(walk, walk[1:]):
-        if frozenset((a, b)) in checked:
+        if first.pop(frozenset((a, b)), None) is None:
             continue
-        checked.add(frozenset((a, b)))
+        step = steps.of(a, b, f"m{a}", f"m{b}")
         if b in done:
-            rows = rows.join(edges.select(F.col("src").alias(f"m{a}"), F.col("dst").alias(f"m{b}")), [f"m{a}", f"m{b}"], "left_semi")
+            rows = rows.join(step, [f"m{a}", f"m{b}"], "left_semi")
         else:
-            rows = rows.join(_step(edges, cand, a, b), f"m{a}")
+            rows = rows.join(step, f"m{a}")
             for w in done:
                 if w != a and _alike(p, w, b):
                     rows = rows.where(F.col(f"m{w}") != F.col(f"m{b}"))
@@ -80,13 +77,15 @@ def enumerate_by_intersection(edges: DataFrame, cand: DataFrame, p: Pattern, ord
     is for pruned edges; hubs are better served by enumerate_matches.
     """
     rows, done = None, []
-    for u, before in zip(order, order_of.extensions(p, order)):
+    plan = list(zip(order, order_of.extensions(p, order)))
+    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before])
+    for u, before in plan:
         if rows is None:
             rows = cand.where(F.col("u") == u).select(F.col("v").alias(f"m{u}"))
         else:
             lists = []
             for w in before:
-                near = _step(edges, cand, w, u).groupBy(f"m{w}").agg(F.collect_list(f"m{u}").alias(f"near{w}"))
+                near = steps.of(w, u, f"m{w}", f"m{u}").groupBy(f"m{w}").agg(F.collect_list(f"m{u}").alias(f"near{w}"))
                 rows = rows.join(near, f"m{w}")
                 lists.append(F.col(f"near{w}"))
             both = reduce(F.array_intersect, lists)

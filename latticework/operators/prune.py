@@ -21,6 +21,34 @@ def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+#: Rows of a table that may be broadcast once they were counted; beyond it Spark shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def counted(df: DataFrame, n: int) -> DataFrame:
+    """df, which has n rows, to be broadcast if these are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+class Steps:
+    """The data edges that can stand for some of the query's edges, each in one direction.
+
+    They are found by two joins for all of them together and written once, with the number of edges of each.
+    """
+
+    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]]):
+        wanted = _local(edges.sparkSession, sorted(set(steps)), "a int, b int")
+        from_ = cand.select(F.col("v").alias("src"), F.col("u").alias("a")).join(wanted, "a")
+        to = cand.select(F.col("v").alias("dst"), F.col("u").alias("b"))
+        self._edges = cut(edges.join(from_, "src").join(to, ["dst", "b"]).select("a", "b", "src", "dst"))
+        self.sizes = {(r.a, r.b): r.n for r in self._edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def of(self, a: int, b: int, left: str, right: str) -> DataFrame:
+        """(left, right): the edges for the query edge from a to b."""
+        some = self._edges.where((F.col("a") == a) & (F.col("b") == b)).select(F.col("src").alias(left), F.col("dst").alias(right))
+        return counted(some, self.sizes.get((a, b), 0))
+
+
 def label_candidates(vertices: DataFrame, p: Pattern) -> DataFrame:
     """(v, u): vertices with the label of a query vertex; a query vertex without a label takes all."""
     spark = vertices.sparkSession
@@ -49,13 +77,14 @@ def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFr
     v = graph.vertices
     if all(label is not None for label in p.labels):
         v = v.where(F.col("label").isin(sorted(set(p.labels))))
-    edges = graph.edges.select("src", "dst") if multigraph else graph.simple
-    e = edges.join(v.select(F.col("id").alias("src"), F.col("label").alias("from_label")), "src")
+    e = graph.edges.select("src", "dst") if multigraph else graph.edges.where("src <> dst").select("src", "dst")
+    e = e.join(v.select(F.col("id").alias("src"), F.col("label").alias("from_label")), "src")
     e = e.join(v.select(F.col("id").alias("dst"), "label"), "dst")
-    if any(label is None for pair in pairs for label in pair) or multigraph:
+    if multigraph:
         return e.select("src", "dst", "label")
-    kinds = _local(spark, sorted(pairs), "from_label long, label long")
-    return e.join(kinds, ["from_label", "label"], "left_semi").select("src", "dst", "label")
+    if not any(label is None for pair in pairs for label in pair):
+        e = e.join(_local(spark, sorted(pairs), "from_label long, label long"), ["from_label", "label"], "left_semi")
+    return e.select("src", "dst", "label").distinct()  # after the labels, which leave few edges of a large graph
 
 
 def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
@@ -84,7 +113,8 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
         if n == alive:
             break
         alive = n
-        edges = edges.join(live.withColumnRenamed("v", "src"), "src", "left_semi").join(live.withColumnRenamed("v", "dst"), "dst", "left_semi")
+        for end in ("src", "dst"):
+            edges = edges.join(counted(live.withColumnRenamed("v", end), n), end, "left_semi")
         edges = cut(edges.select("src", "dst", "label"))
     edges = edges.select("src", "dst")
     return cand, edges.where("src <> dst").distinct() if multigraph else edges, rounds
@@ -121,14 +151,14 @@ def live_edges(edges: DataFrame, cand: DataFrame) -> DataFrame:
 
 def walk_rows(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
     """(m<u>, ...): all ways to take the walk. Positions with one query vertex are one data vertex, others differ."""
+    steps = Steps(edges, cand, list(zip(w.vertices, w.vertices[1:])))
     rows = cand.where(F.col("u") == w.vertices[0]).select(F.col("v").alias(f"m{w.vertices[0]}"))
     done = [w.vertices[0]]
     for a, b in zip(w.vertices, w.vertices[1:]):
+        step = steps.of(a, b, f"m{a}", f"m{b}")
         if b in done:
-            rows = rows.join(edges.select(F.col("src").alias(f"m{a}"), F.col("dst").alias(f"m{b}")), [f"m{a}", f"m{b}"], "left_semi")
+            rows = rows.join(step, [f"m{a}", f"m{b}"], "left_semi")
             continue
-        step = edges.select(F.col("src").alias(f"m{a}"), F.col("dst").alias(f"m{b}"))
-        step = step.join(cand.where(F.col("u") == b).select(F.col("v").alias(f"m{b}")), f"m{b}", "left_semi")
         rows = rows.join(step, f"m{a}")
         for c in done:
             if c != a and (p.labels[c] == p.labels[b] or None in (p.labels[c], p.labels[b])):
