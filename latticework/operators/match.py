@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, prune
+from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import cut
 
 
+#: A pruning round that kills a smaller part of the vertices costs more than it saves; matches are the same.
+LEAST_GAIN = 0.1
+
+
 def _alike(p: Pattern, a: int, b: int) -> bool:
     return p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b])
 
@@ -132,7 +136,7 @@ def match(
         raise ValueError("the query is not connected")
     began = time.perf_counter()
     if pruning:
-        cand, edges, counts = prune(graph, p, walks, multigraph)
+        cand, edges, counts = prune(graph, p, walks, multigraph, least_gain=LEAST_GAIN)
     else:
         cand, edges, counts = label_candidates(graph.vertices, p), labelled_edges(graph, p).select("src", "dst"), {}
         cand, edges = cut(cand), cut(edges)
@@ -143,7 +147,7 @@ def match(
         order = order_of.vf3_order(p, label_rarity(graph, p)) if order == "vf3" else order_of.size_order(p, sizes)
     if report is not None:
         report |= counts | {"seconds_pruning": time.perf_counter() - began, "candidates": sizes, "order": list(order)}
-        report |= {"vertices": graph.vertices.count(), "edges": graph.simple.count(), "live_vertices": cand.select("v").distinct().count(), "live_edges": edges.count()}
+        report |= {"vertices": graph.vertices.count(), "edges": graph.simple.count(), "live_vertices": cand.select("v").distinct().count(), "live_edges": live_edges(edges, cand).count()}
     if strategy == "walk":
         out = enumerate_by_walk(edges, cand, p, order[0])
     elif strategy == "intersect":

@@ -87,10 +87,12 @@ def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFr
     return e.select("src", "dst", "label").distinct()  # after the labels, which leave few edges of a large graph
 
 
-def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_rounds: int | None = None, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
     """(candidates, edges, rounds): v stays a candidate of u while it has at least as many live neighbours of every
     label as u has in the query; a vertex that is no candidate any more is dead. Runs until no vertex dies, or for
-    max_rounds. edges (src, dst) are those between live vertices. multigraph: repeated edges and loops count too,
+    max_rounds, or until a round kills no more than ``least_gain`` of the vertices; stopping early keeps more, never less
+    than all matches need. edges (src, dst) are those between live vertices (as of the last round but one, if stopped
+    by its gain). multigraph: repeated edges and loops count too,
     which keeps more. A query of one vertex needs a label only.
     """
     spark = graph.lines.sparkSession
@@ -110,7 +112,7 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
         cand = cut(cand.join(met, ["v", "u"], "left").join(kinds, "u").where(F.coalesce("met", F.lit(0)) >= F.col("kinds")).select("v", "u"))
         live = cand.select("v").distinct()
         n = live.count()
-        if n == alive:
+        if alive is not None and alive - n <= least_gain * alive:
             break
         alive = n
         for end in ("src", "dst"):
@@ -181,13 +183,13 @@ def failing(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame
     return cand.where(F.col("u") == u).join(able, "v", "left_anti")
 
 
-def prune(graph: Graph, p: Pattern, walks: Sequence[Walk] = (), multigraph: bool = False, max_rounds: int | None = None, arc: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+def prune(graph: Graph, p: Pattern, walks: Sequence[Walk] = (), multigraph: bool = False, max_rounds: int | None = None, arc: bool = False, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, dict]:
     """(candidates, edges, counts) after the neighbour labels and every walk; arc: also the neighbours' candidates.
 
     Candidates only get fewer: after a walk that asks for it and dropped some, the neighbours' candidates are
     checked on what is left.
     """
-    cand, edges, rounds = by_neighbour_labels(graph, p, multigraph, max_rounds)
+    cand, edges, rounds = by_neighbour_labels(graph, p, multigraph, max_rounds, least_gain)
     if arc:
         cand = by_neighbour_candidates(edges, cand, p)
         edges = cut(live_edges(edges, cand))
