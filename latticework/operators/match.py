@@ -132,6 +132,8 @@ def match(
     """
     if not p.n:
         raise ValueError("the query has no vertex")
+    if p.directed:
+        raise ValueError("directed queries can be pruned by, not matched")
     if not p.connected():
         raise ValueError("the query is not connected")
     began = time.perf_counter()

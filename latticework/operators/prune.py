@@ -73,7 +73,7 @@ def neighbour_counts(graph: Graph, multigraph: bool = False) -> DataFrame:
 def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFrame:
     """(src, dst, label of dst): edges whose two labels stand at an edge of the query; all that a query can use."""
     spark = graph.lines.sparkSession
-    pairs = {(p.labels[a], p.labels[b]) for e in p.edges for a, b in (e, e[::-1])}
+    pairs = {(p.labels[a], p.labels[b]) for e in p.edges for a, b in ((e,) if p.directed else (e, e[::-1]))}
     v = graph.vertices
     if all(label is not None for label in p.labels):
         v = v.where(F.col("label").isin(sorted(set(p.labels))))
@@ -93,7 +93,8 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
     max_rounds, or until a round kills no more than ``least_gain`` of the vertices; stopping early keeps more, never less
     than all matches need. edges (src, dst) are those between live vertices (as of the last round but one, if stopped
     by its gain). multigraph: repeated edges and loops count too,
-    which keeps more. A query of one vertex needs a label only.
+    which keeps more. A query of one vertex needs a label only. A directed query is for a directed graph: what a
+    vertex points to is counted.
     """
     spark = graph.lines.sparkSession
     cand = label_candidates(graph.vertices, p)

@@ -42,6 +42,10 @@ class Pattern:
     def neighbours(self, u: int) -> list[int]:
         return sorted({b if a == u else a for a, b in self.edges if u in (a, b)})
 
+    def successors(self, u: int) -> list[int]:
+        """The ends of u's edges: all neighbours, or in a directed pattern those that u points to."""
+        return sorted({b for a, b in self.edges if a == u}) if self.directed else self.neighbours(u)
+
     def out_degree(self, u: int) -> int:
         return sum(a == u for a, _ in self.edges) if self.directed else self.degree(u)
 
@@ -52,10 +56,10 @@ class Pattern:
         return len(self.neighbours(u))
 
     def need(self) -> list[tuple[int, int, int]]:
-        """(u, label, k): u has k neighbours with that label."""
+        """(u, label, k): u has k neighbours with that label; in a directed pattern, of those it points to."""
         out: dict[tuple[int, int], int] = {}
         for u in range(self.n):
-            for w in self.neighbours(u):
+            for w in self.successors(u):
                 if self.labels[w] is not None:
                     out[u, self.labels[w]] = out.get((u, self.labels[w]), 0) + 1
         return [(u, label, k) for (u, label), k in sorted(out.items())]

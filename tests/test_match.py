@@ -116,6 +116,14 @@ def test_pruning_like_brute_force(spark, seed):
     assert set(rows(P.failing(e, cand, w, p))) == set(rows(cand)) - kept
 
 
+def test_directed_pruning(spark):
+    p = Pattern.of([0, 1, 0], [(0, 1), (1, 2)], directed=True)
+    g = graph(spark, [(1, 2), (2, 3), (5, 4), (6, 4), (4, 5)], {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1}, undirected=False)
+    assert set(rows(P.by_neighbour_labels(g, p)[0])) == {(1, 0), (2, 1), (3, 2), (5, 0), (4, 1), (5, 2), (1, 2)}
+    with pytest.raises(ValueError):
+        M.match(g, p)
+
+
 def test_a_round_limit_keeps_more(spark):
     edges, labels = random_graph(1, n=24, m=30)
     g, p = graph(spark, edges, labels), PATTERNS["cycle"]
