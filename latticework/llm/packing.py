@@ -14,11 +14,13 @@ null or empty text has no tokens and takes no room: it is listed once, with a nu
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.tokens import VOCABULARY, token_counts
+from latticework.llm.tokens import VOCABULARY, encoding, token_counts
 from latticework.session import cut
 
 #: Pieces per hash group, in which ranks are counted by one task.
@@ -101,6 +103,34 @@ def pack(df: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary
     return placed.unionByName(none)
 
 
+def contents(df: DataFrame, doc_id: str, text: str, packed: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(container, doc_id, part, content): each piece's bytes; a text's parts in order give its UTF-8 bytes again.
+
+    Bytes, as a cut between tokens can fall within a character. Document ids must be unique. A text is tokenized once
+    more only if it was cut; a null text has a null content.
+    """
+    piece = F.struct("container", "part", "first_token", "n_tokens")
+    pieces = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))  # as many as one text has
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(pieces, "doc_id")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoding(vocabulary)
+        for b in batches:
+            out = []
+            for i, t, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ids = e.encode_ordinary(t) if t and len(some) > 1 else None
+                for x in some:
+                    lo = x["first_token"]
+                    body = None if t is None else t.encode() if ids is None else e.decode_bytes(ids[lo : lo + x["n_tokens"]])
+                    out.append((x["container"], i, x["part"], body))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = (pa.int64(), b.schema.field(0).type, pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["container", "doc_id", "part", "content"])
+
+    return rows.select("doc_id", "text", "pieces").mapInArrow(run, f"container bigint, doc_id {kind}, part int, content binary")
+
+
 def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """(container, n_items, n_tokens, slack) per container."""
     out = packed.where(F.col("container").isNotNull()).groupBy("container")

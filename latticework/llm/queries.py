@@ -49,6 +49,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), CAPACITY)
 
 
+def p7_contents(spark: SparkSession, d: str) -> DataFrame:
+    return packing.contents(table(spark, d, "documents"), "doc_id", "text", p7_containers(spark, d))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), "doc_id", "text", "source")
 
@@ -75,7 +79,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequent, p4_found, p4_edges, p6_found, p6_terms, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
+    for f in (p1_found, p1_frequent, p4_found, p4_edges, p6_found, p6_terms, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
 _NUMBER = r"(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"

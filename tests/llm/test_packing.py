@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from latticework.llm import packing
-from latticework.llm.packing import fill, fullest, pack, plan
+from latticework.llm.packing import contents, fill, fullest, pack, plan
 from latticework.llm.tokens import VOCABULARY, encoding, token_counts
 
 
@@ -66,6 +66,17 @@ def test_pack(spark, monkeypatch, group_rows):
     assert {r.container: (r.n_tokens, r.slack) for r in fill(pack(df, "id", "text", 128), 128).collect()} == {c: (n, 128 - n) for c, n in held.items()}
 
 
+def test_contents_give_the_texts_again(spark):
+    rows = [(1, "点線" * 300, 0), (2, None, 0), (3, "", 0), (4, "short", 0), (5, "a b\n" * 500, 0)]
+    df = spark.createDataFrame(rows, "id long, text string, part int")
+    got = contents(df, "id", "text", pack(df, "id", "text", 64)).collect()
+    for i, t, _ in rows:
+        parts = sorted((r.part, r.content) for r in got if r.doc_id == i)
+        assert (t is None and parts == [(0, None)]) or b"".join(bytes(c) for _, c in parts) == t.encode()
+    assert max(sum(r.doc_id in (1, 5) for r in got if r.container == c) for c in {r.container for r in got}) >= 1
+    assert contents(df.limit(0), "id", "text", pack(df.limit(0), "id", "text", 64)).count() == 0
+
+
 def test_nothing_to_pack(spark):
     df = spark.createDataFrame([(1, None)], "id long, text string")
     assert [tuple(r) for r in pack(df, "id", "text", 8).collect()] == [(None, 1, 0, 0, 0)]
