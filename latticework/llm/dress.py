@@ -25,16 +25,16 @@ NAMED = "(?<![a-z0-9])[stw](?![a-z0-9])"
 def edge_form(line: str) -> Column:
     """The one form of an edge line: its ends in text order and its weight, or the bare text if it has no two ends."""
     text = F.regexp_replace(F.lower(F.col(line)), GROUPING, "")
-    by_place = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
-    named = text.rlike(NAMED)
-    value = lambda name: F.regexp_extract(text, rf"(?<![a-z0-9]){name}[^0-9a-z<.+-]*({NUMBER})", 1)
-    place = lambda i: F.when(F.size(by_place).between(2, 3), F.coalesce(F.get(by_place, F.lit(i)), F.lit(""))).otherwise("")
-    s, t, w = (F.when(named, value(name)).otherwise(place(i)) for i, name in enumerate("stw"))
-    parts = F.struct(s.alias("s"), t.alias("t"), w.alias("w"))
-    edge = F.transform(
-        F.array(parts),
-        lambda p: F.when((p.s != "") & (p.t != ""), F.concat_ws(" ", F.least(p.s, p.t), F.greatest(p.s, p.t), p.w)),
-    )[0]
+
+    def values(x: Column) -> Column:
+        named = F.array(*(F.regexp_extract(x, rf"(?<![a-z0-9]){name}[^0-9a-z<.+-]*({NUMBER})", 1) for name in "stw"))
+        return F.when(x.rlike(NAMED), named).otherwise(F.regexp_extract_all(x, F.lit(f"({NUMBER})"), 1))
+
+    def joined(v: Column) -> Column:
+        s, t, w = (F.coalesce(F.get(v, F.lit(i)), F.lit("")) for i in range(3))
+        return F.when(F.size(v).between(2, 3) & (s != "") & (t != ""), F.concat_ws(" ", F.least(s, t), F.greatest(s, t), w))
+
+    edge = F.transform(F.transform(F.array(text), values), joined)[0]  # variables, so that nothing is matched twice
     return F.coalesce(edge, F.concat(F.lit("text "), F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")), F.lit("null"))
 
 
