@@ -1,8 +1,9 @@
 """Queries and SQL of the graph operators.
 
 Two graphs: the *domain* graph has all lines of edge_list as undirected edges and, as a vertex's label, the one
-last set of those that are not gone; the *part* graph joins parts returned in one order (lineitem with flag R),
-labelled by the rank of their type.
+last set of those that are not gone; the *part* graph joins parts of one order (all of lineitem), labelled by the
+rank of their type. Queries whose SQL is over the lines with flag R are over its *returned* part; the same over the
+whole part graph end in _all.
 """
 
 from __future__ import annotations
@@ -34,7 +35,15 @@ def domain(spark: SparkSession, d: str) -> Graph:
 
 
 def parts(spark: SparkSession, d: str) -> Graph:
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
+    return _joined(spark, d, table(spark, d, "lineitem"))
+
+
+def returned_parts(spark: SparkSession, d: str) -> Graph:
+    return _joined(spark, d, table(spark, d, "lineitem").where("l_returnflag = 'R'"))
+
+
+def _joined(spark: SparkSession, d: str, lines: DataFrame) -> Graph:
+    lines = lines.select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     edges = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type")
@@ -54,6 +63,7 @@ _PARTS = """simple AS MATERIALIZED (SELECT DISTINCT x.l_partkey AS src, y.l_part
   ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R'),
 pairs AS MATERIALIZED (SELECT src AS a, dst AS b FROM simple WHERE src < dst),
 vertices AS MATERIALIZED (SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_type) - 1 AS label FROM part)"""
+_ALL_PARTS = _PARTS.replace(" WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R'", "")
 
 
 def query(sql: str | None = None):
@@ -333,18 +343,22 @@ SHAPES: dict[str, Pattern] = {
 }
 
 
-def _shape(p: Pattern, **how):
-    return lambda spark, d: matching.match(parts(spark, d), p, **how)
+def _shape(graph: Callable[[SparkSession, str], Graph], p: Pattern, **how):
+    return lambda spark, d: matching.match(graph(spark, d), p, **how)
 
 
-for _name, _p in SHAPES.items():
-    QUERIES[f"match_{_name}"] = _shape(_p)
-    SQL[f"match_{_name}"] = match_sql(_PARTS, _p.labels, _p.edges, _p.n)
-for _how, _options in {"walk": {"strategy": "walk"}, "intersect": {"strategy": "intersect"}, "vf3": {"order": "vf3", "pruning": False}}.items():
-    QUERIES[f"match_diamond_{_how}"] = _shape(SHAPES["diamond"], **_options)
-    SQL[f"match_diamond_{_how}"] = SQL["match_diamond"]
-QUERIES["match_induced_path3"] = _shape(SHAPES["path3"], induced=True)
-SQL["match_induced_path3"] = match_sql(_PARTS, SHAPES["path3"].labels, SHAPES["path3"].edges, 3, " AND NOT EXISTS (SELECT 1 FROM simple x WHERE x.src = {v0} AND x.dst = {v2})")
+#: The part graph's queries by the end of their names.
+PART_GRAPHS = {"": (returned_parts, _PARTS), "_all": (parts, _ALL_PARTS)}
+
+for _end, (_graph, _tables) in PART_GRAPHS.items():
+    for _name, _p in SHAPES.items():
+        QUERIES[f"match_{_name}{_end}"] = _shape(_graph, _p)
+        SQL[f"match_{_name}{_end}"] = match_sql(_tables, _p.labels, _p.edges, _p.n)
+    for _how, _options in {"walk": {"strategy": "walk"}, "intersect": {"strategy": "intersect"}, "vf3": {"order": "vf3", "pruning": False}}.items():
+        QUERIES[f"match_diamond_{_how}{_end}"] = _shape(_graph, SHAPES["diamond"], **_options)
+        SQL[f"match_diamond_{_how}{_end}"] = SQL[f"match_diamond{_end}"]
+    QUERIES[f"match_induced_path3{_end}"] = _shape(_graph, SHAPES["path3"], induced=True)
+    SQL[f"match_induced_path3{_end}"] = match_sql(_tables, SHAPES["path3"].labels, SHAPES["path3"].edges, 3, " AND NOT EXISTS (SELECT 1 FROM simple x WHERE x.src = {v0} AND x.dst = {v2})")
 
 
 def _given(number: int, **how):
@@ -375,16 +389,21 @@ for _no, _edges in GIVEN.items():
     SQL[f"match_given{_no}"] = given_sql([0] * _n, _edges, _no)
 
 
-@query(f"""WITH m AS ({SQL['match_diamond']}) SELECT u, v, count(*) AS n FROM (SELECT 0 AS u, m0 AS v FROM m UNION ALL SELECT 1, m1 FROM m
-UNION ALL SELECT 2, m2 FROM m UNION ALL SELECT 3, m3 FROM m) GROUP BY u, v""")
-def match_count_by_vertex(spark, d):
-    return matching.matches_per_vertex(matching.match(parts(spark, d), SHAPES["diamond"]))
+def _by_vertex(graph: Callable[[SparkSession, str], Graph]):
+    return lambda spark, d: matching.matches_per_vertex(matching.match(graph(spark, d), SHAPES["diamond"]))
+
+
+def _edited(graph: Callable[[SparkSession, str], Graph]):
+    return lambda spark, d: matching.match_edited(graph(spark, d), SHAPES["diamond"], 1)
 
 
-@query(" UNION ALL ".join(
-    f"SELECT {i} AS prototype, m0, m1, m2, m3 FROM ({match_sql(_PARTS, q.labels, q.edges, q.n)})" for i, q in enumerate(SHAPES["diamond"].prototypes(1))))
-def match_edit1(spark, d):
-    return matching.match_edited(parts(spark, d), SHAPES["diamond"], 1)
+for _end, (_graph, _tables) in PART_GRAPHS.items():
+    QUERIES[f"match_count_by_vertex{_end}"] = _by_vertex(_graph)
+    SQL[f"match_count_by_vertex{_end}"] = f"""WITH m AS ({SQL[f'match_diamond{_end}']}) SELECT u, v, count(*) AS n FROM (SELECT 0 AS u, m0 AS v FROM m UNION ALL SELECT 1, m1 FROM m
+UNION ALL SELECT 2, m2 FROM m UNION ALL SELECT 3, m3 FROM m) GROUP BY u, v"""
+    QUERIES[f"match_edit1{_end}"] = _edited(_graph)
+    SQL[f"match_edit1{_end}"] = " UNION ALL ".join(
+        f"SELECT {i} AS prototype, m0, m1, m2, m3 FROM ({match_sql(_tables, q.labels, q.edges, q.n)})" for i, q in enumerate(SHAPES["diamond"].prototypes(1)))
 
 
 @query()
