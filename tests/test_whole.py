@@ -2,7 +2,8 @@
 
 import random
 
-from graphs import embeddings
+from graphs import embeddings, random_graph
+from latticework.plans.pattern import Pattern
 from latticework.queries import graphs as Q
 
 
@@ -33,3 +34,30 @@ def test_part_graph_has_all_lines(spark, tmp_path):
     assert rows(Q.QUERIES["match_induced_path3_all"](spark, d)) == induced
     report = Q.QUERIES["match_report"](spark, d).first()
     assert (report.matches, report.edges) == (len(embeddings(edges, labels, Q.SHAPES["diamond"])), 2 * len(edges))
+
+
+def domain_tables(spark, folder, patterns, edges, labels, cand=()):
+    return write(
+        spark, folder, edge_list=([(a, b, 1.0) for a, b in edges], "s long, t long, weight double"),
+        vertex_label=([(v, x, None, None) for v, x in labels.items()], "a long, l long, set_at timestamp, gone_at timestamp"),
+        pattern_v=([(n, u, x) for n, p in patterns.items() for u, x in enumerate(p.labels)], "query_no int, u int, label long"),
+        pattern_e=([(n, a, b) for n, p in patterns.items() for a, b in p.edges], "query_no int, a int, b int"),
+        cand=(list(cand), "query_no int, v long, u int"),
+    )
+
+
+#: Of pattern 1 the cycle of five, of 8 and 10 the patterns of seven vertices, over few labels.
+GIVEN = {
+    1: Pattern.of([0, 1, 2, 0, 1], [(0, 1), (0, 4), (1, 2), (2, 3), (3, 4)]),
+    8: Pattern.of([0, 1, 2, 1, 0, 2, 1], [(0, 1), (1, 2), (1, 3), (1, 5), (1, 6), (2, 4)]),
+    10: Pattern.of([0, 1, 1, 2, 0, 2, 0], [(0, 1), (0, 2), (0, 3), (0, 4), (1, 5), (2, 6), (5, 6)]),
+}
+
+
+def test_all_given_patterns_are_matched(spark, tmp_path):
+    edges, labels = random_graph(3, n=14, m=60)
+    d = domain_tables(spark, tmp_path, GIVEN, edges, labels)
+    assert {f"match_given{n}" for n in range(12)} <= set(Q.QUERIES)
+    for n, p in GIVEN.items():
+        want = embeddings(edges, labels, p)
+        assert want and rows(Q.QUERIES[f"match_given{n}"](spark, d)) == want
