@@ -168,6 +168,23 @@ def candidate_union(spark, d):
     return both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_DOMAIN} SELECT DISTINCT query_no, v, u FROM cand WHERE v IS NOT NULL EXCEPT SELECT query_no, id, u FROM vertices JOIN pattern_v USING (label)")
+def stated_not_by_label_all(spark, d):
+    stated = table(spark, d, "cand").where("v IS NOT NULL").select("query_no", "v", "u").distinct()
+    return stated.join(_by_label(spark, d), ["query_no", "v", "u"], "left_anti")
+
+
+@query(f"WITH {_DOMAIN}, x AS (SELECT query_no, id AS v, u FROM vertices JOIN pattern_v USING (label)) SELECT query_no, u, count(*) AS n FROM (SELECT query_no, v, u FROM x UNION SELECT query_no, v, u FROM cand WHERE v IS NOT NULL) GROUP BY query_no, u")
+def candidate_union_all(spark, d):
+    stated = table(spark, d, "cand").where("v IS NOT NULL").select("query_no", "v", "u")
+    return stated.unionByName(_by_label(spark, d)).distinct().groupBy("query_no", "u").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_label(spark: SparkSession, d: str) -> DataFrame:
+    """(query_no, v, u): the label candidates of all patterns."""
+    return domain(spark, d).vertices.join(table(spark, d, "pattern_v"), "label").select("query_no", F.col("id").alias("v"), "u")
+
+
 @query()
 def edge_owner(spark, d):
     e = domain(spark, d).pairs
@@ -268,6 +285,35 @@ def lcc_arc(spark, d):
     return prune.by_neighbour_candidates(edges, cand, p)
 
 
+def _pruned(number: int, then: Callable[[Graph, DataFrame], DataFrame], **how):
+    def run(spark, d):
+        g = domain(spark, d)
+        return then(g, prune.by_neighbour_labels(g, pattern(spark, d, number), **how)[0])
+
+    return run
+
+
+def _arc(number: int):
+    def run(spark, d):
+        g, p = domain(spark, d), pattern(spark, d, number)
+        cand, edges, _ = prune.by_neighbour_labels(g, p)
+        return prune.by_neighbour_candidates(edges, cand, p)
+
+    return run
+
+
+# The same for every pattern, its number at the end of the name.
+for _no in GIVEN_PATTERNS:
+    QUERIES |= {
+        f"lcc_candidates{_no}": _pruned(_no, lambda g, cand: cand),
+        f"lcc_nlf_vertices{_no}": _pruned(_no, lambda g, cand: cand.select(F.col("v").alias("id")).distinct()),
+        f"lcc_multigraph{_no}": _pruned(_no, lambda g, cand: cand, multigraph=True),
+        f"lcc_active_edges{_no}": _pruned(_no, lambda g, cand: prune.live_edges(g.simple, cand)),
+        f"lcc_bits{_no}": _pruned(_no, lambda g, cand: prune.candidate_bits(cand, g.vertices)),
+        f"lcc_arc{_no}": _arc(_no),
+    }
+
+
 def _walk_query(walk: Sequence[int], labels: Sequence[int]) -> str:
     seen, froms, where = [walk[0]], [f"vertices v{walk[0]}"], [f"v{walk[0]}.label = {labels[walk[0]]}"]
     for i, (a, b) in enumerate(zip(walk, walk[1:])):

@@ -1,6 +1,7 @@
 """Queries that read all of their tables, over small tables written here, against plain Python."""
 
 import random
+from collections import Counter
 
 from graphs import embeddings, random_graph
 from latticework.plans.pattern import Pattern
@@ -61,3 +62,18 @@ def test_all_given_patterns_are_matched(spark, tmp_path):
     for n, p in GIVEN.items():
         want = embeddings(edges, labels, p)
         assert want and rows(Q.QUERIES[f"match_given{n}"](spark, d)) == want
+
+
+def test_candidates_of_all_patterns(spark, tmp_path):
+    edges, labels = random_graph(3, n=14, m=60)
+    stated = [(n, v, u) for n in GIVEN for v in (0, 5, 9) for u in (0, 2)] + [(1, None, 0)]
+    d = domain_tables(spark, tmp_path, GIVEN, edges, labels, stated)
+    by_label = {(n, v, u) for n, p in GIVEN.items() for u, x in enumerate(p.labels) for v in labels if labels[v] == x}
+    said = {x for x in stated if x[1] is not None}
+    assert rows(Q.QUERIES["stated_not_by_label_all"](spark, d)) == sorted(said - by_label)
+    both = Counter((n, u) for n, _, u in said | by_label)
+    assert rows(Q.QUERIES["candidate_union_all"](spark, d)) == sorted((*k, n) for k, n in both.items())
+    for n, p in GIVEN.items():
+        matched = {(m[u], u) for m in embeddings(edges, labels, p) for u in range(p.n)}
+        got, arc = (set(rows(Q.QUERIES[f"{name}{n}"](spark, d))) for name in ("lcc_candidates", "lcc_arc"))
+        assert matched and matched <= arc <= got <= {(v, u) for m, v, u in by_label if m == n}
