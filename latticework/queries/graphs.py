@@ -689,6 +689,22 @@ def ego_network(spark, d):
     return learned.ego_nodes(g.simple, g.vertices.where("label = 496").select(F.col("id").alias("v")), hops=1)
 
 
+def _ego(spark: SparkSession, d: str, number: int) -> tuple[DataFrame, DataFrame]:
+    """The edges that pruning leaves for a pattern, and on them the neighbourhoods of its candidates."""
+    cand, edges, _ = prune.prune(domain(spark, d), pattern(spark, d, number))
+    return edges, learned.ego_nodes(edges, cand.select("v").distinct())
+
+
+@query()
+def ego_network_pruned(spark, d):
+    return _ego(spark, d, BIG)[1]
+
+
+@query()
+def ego_edges_pruned(spark, d):
+    return learned.ego_edges(*_ego(spark, d, BIG))
+
+
 @query(f"""WITH m AS MATERIALIZED ({SQL['match_given9']}), t AS MATERIALIZED (SELECT m0 AS v, 0 AS u FROM m UNION SELECT m1, 1 FROM m UNION SELECT m2, 2 FROM m UNION SELECT m3, 3 FROM m),
 {_DOMAIN}, c AS MATERIALIZED (SELECT id AS v, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 9)
 SELECT (SELECT count(*) FROM t) AS tp, (SELECT count(*) FROM c) - (SELECT count(*) FROM t) AS fp""")

@@ -77,3 +77,14 @@ def test_candidates_of_all_patterns(spark, tmp_path):
         matched = {(m[u], u) for m in embeddings(edges, labels, p) for u in range(p.n)}
         got, arc = (set(rows(Q.QUERIES[f"{name}{n}"](spark, d))) for name in ("lcc_candidates", "lcc_arc"))
         assert matched and matched <= arc <= got <= {(v, u) for m, v, u in by_label if m == n}
+
+
+def test_ego_networks_have_three_hops_and_their_edges(spark, tmp_path):
+    path = Pattern.of([0, 1, 2, 3, 4, 5, 6], [(i, i + 1) for i in range(6)])
+    edges = [(i, i + 1) for i in range(6)] + [(0, 7), (20, 21)]
+    d = domain_tables(spark, tmp_path, {Q.BIG: path}, edges, {**{v: v for v in range(7)}, 7: 9, 20: 0, 21: 5})
+    nodes = [(v, w, abs(v - w)) for v in range(7) for w in range(7) if abs(v - w) <= 3]
+    assert rows(Q.QUERIES["ego_network_pruned"](spark, d)) == nodes
+    near = {(v, w) for v, w, _ in nodes}
+    inside = [(v, a, b) for v in range(7) for a in range(7) for b in (a - 1, a + 1) if (v, a) in near and (v, b) in near]
+    assert rows(Q.QUERIES["ego_edges_pruned"](spark, d)) == inside
