@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.graph import Graph
 from latticework.plans.pattern import Pattern, Walk
-from latticework.session import cut
+from latticework.session import counted, cut
 
 
 def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -21,15 +21,6 @@ def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-#: Rows of a table that may be broadcast once they were counted; beyond it Spark shuffles.
-BROADCAST_ROWS = 100_000
-
-
-def counted(df: DataFrame, n: int) -> DataFrame:
-    """df, which has n rows, to be broadcast if these are few."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 class Steps:
     """The data edges that can stand for some of the query's edges, each in one direction.
 
