@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import lookalike, mixing, packing, terms
-from latticework.llm.dress import Collapsed, edge_form
+from latticework.llm.dress import Collapsed, edge_form, text_form
 from latticework.llm.iceberg import frequent_values
 from latticework.sources.tables import table
 
@@ -30,6 +30,11 @@ def p4_edges(spark: SparkSession, d: str) -> DataFrame:
     return Collapsed(table(spark, d, "edge_text"), "rec_id", edge_form("line")).groups.select("first_id", "copies")
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "raw_lines")
+    return Collapsed(lines, "row_id", F.concat_ws("\x1e", "kind", text_form(F.col("line")))).groups.select("first_id", "copies")
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "vertex_label")
     found = terms.term_counts(labels, "l", "a", "set_at")
@@ -79,7 +84,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequent, p4_found, p4_edges, p6_found, p6_terms, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
+    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
 _NUMBER = r"(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
@@ -95,6 +100,7 @@ parts AS (SELECT rec_id,
   CASE WHEN named THEN regexp_extract(x, '(?:^|[^a-z0-9])t[^0-9a-z<.+-]*([+-]?{_NUMBER})', 1) ELSE coalesce(p[2], '') END AS t,
   CASE WHEN named THEN regexp_extract(x, '(?:^|[^a-z0-9])w[^0-9a-z<.+-]*([+-]?{_NUMBER})', 1) ELSE coalesce(p[3], '') END AS w FROM found),
 keyed AS (SELECT rec_id, least(s, t) AS a, greatest(s, t) AS b, w FROM parts)"""
+_PUNCTUATION = """!"#$%&''()*+-./:<=>?@[\\]^_`{}~"""  # '' is one quote in SQL
 _TERMS = """terms AS (SELECT l, count(*) AS n_rows, count(DISTINCT a) AS n_vertices FROM vertex_label WHERE l IS NOT NULL GROUP BY l),
 marks AS (SELECT *, CASE WHEN n_vertices = 0 THEN NULL WHEN n_vertices <= 2 THEN 'rare'
   WHEN n_vertices >= 0.1 * (SELECT count(DISTINCT a) FROM vertex_label WHERE l IS NOT NULL) THEN 'common' END AS mark FROM terms)"""
@@ -127,6 +133,9 @@ SQL = {
     "p4_found": f"""WITH {_EDGES}, firsts AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY a, b, w) AS f FROM keyed)
 SELECT f AS first_id, rec_id AS copy_id FROM firsts WHERE f <> rec_id""",
     "p4_edges": f"WITH {_EDGES} SELECT min(rec_id) AS first_id, count(*) AS copies FROM keyed GROUP BY a, b, w",
+    "p4_records": f"""SELECT min(row_id) AS first_id, count(*) AS copies FROM raw_lines
+GROUP BY kind, list_sort(list_filter(list_transform(string_split(translate(lower(line), ';|' || chr(9) || chr(10) || chr(13) || chr(160), ',,,,, '), ','),
+  lambda f: list_filter(string_split(translate(f, '{_PUNCTUATION}', '{' ' * (len(_PUNCTUATION) - 1)}'), ' '), lambda w: w <> '')), lambda f: len(f) > 0))""",
     "p6_found": f"WITH {_TERMS} SELECT l, mark FROM marks WHERE mark IS NOT NULL",
     "p6_terms": f"WITH {_TERMS} SELECT l, n_rows, n_vertices, mark FROM marks",
     "p9_found": f"""WITH {_LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b
