@@ -134,7 +134,7 @@ SQL = {
 SELECT f AS first_id, rec_id AS copy_id FROM firsts WHERE f <> rec_id""",
     "p4_edges": f"WITH {_EDGES} SELECT min(rec_id) AS first_id, count(*) AS copies FROM keyed GROUP BY a, b, w",
     "p4_records": f"""SELECT min(row_id) AS first_id, count(*) AS copies FROM raw_lines
-GROUP BY kind, list_sort(list_filter(list_transform(string_split(translate(lower(line), ';|' || chr(9) || chr(10) || chr(13) || chr(160), ',,,,, '), ','),
+GROUP BY kind, list_sort(list_filter(list_transform(string_split(translate(lower(line), ';|０１２３４５６７８９' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203), ',,0123456789,,,  '), ','),
   lambda f: list_filter(string_split(translate(f, '{_PUNCTUATION}', '{' ' * (len(_PUNCTUATION) - 1)}'), ' '), lambda w: w <> '')), lambda f: len(f) > 0))""",
     "p6_found": f"WITH {_TERMS} SELECT l, mark FROM marks WHERE mark IS NOT NULL",
     "p6_terms": f"WITH {_TERMS} SELECT l, n_rows, n_vertices, mark FROM marks",
