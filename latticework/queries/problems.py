@@ -91,7 +91,10 @@ checked AS (SELECT *, CASE WHEN NOT clean THEN 'quoting'
 
 SQL = {
     "p2_found": f"WITH {_REFS} SELECT tab, row_id, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS yyyymm FROM orphans",
-    "p2_report": f"WITH {_REFS} SELECT tab, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS yyyymm, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM orphans GROUP BY ALL",
+    "p2_report": f"""WITH {_REFS}, first AS (SELECT a, min(set_at) AS since FROM vertex_label WHERE a IS NOT NULL GROUP BY a)
+SELECT tab, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS yyyymm, count(*) AS n_refs, count(DISTINCT k) AS n_keys,
+count(*) FILTER (since IS NULL) AS n_missing, count(*) FILTER (since <= ts) AS n_gone, count(*) FILTER (since > ts) AS n_early
+FROM orphans LEFT JOIN first ON first.a = k GROUP BY tab, yyyymm""",
     "p3_totals": """SELECT 's' AS side, s AS vertex_id, count(*) AS n_rows, count(DISTINCT t) AS n_neighbours, round(sum(weight), 4) AS sum_weight
 FROM edge_list WHERE s IS NOT NULL GROUP BY s UNION ALL
 SELECT 't', t, count(*), count(DISTINCT s), round(sum(weight), 4) FROM edge_list WHERE t IS NOT NULL GROUP BY t""",

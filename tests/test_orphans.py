@@ -2,9 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.operators import orphans
-from latticework.operators.orphans import Orphans, Reference, live_spans
+from latticework.operators.orphans import Orphans, Reference
 
 T0 = datetime(2024, 1, 1)
 STATES = "a long, l long, set_at timestamp_ntz, gone_at timestamp_ntz, n int"
@@ -27,6 +28,10 @@ def brute(refs, states):
     return sorted(out, key=str)
 
 
+def moment(seconds):
+    return (F.lit(1_700_000_000) + seconds).cast("timestamp").cast("timestamp_ntz")
+
+
 def run(spark, refs, states, **how):
     parts = [Reference(name, spark.createDataFrame(rows, REFS), "k", "at", "rid") for name, rows in refs.items()]
     return Orphans(parts, spark.createDataFrame(states, STATES), "a", "set_at", "gone_at", **how)
@@ -46,26 +51,47 @@ def data(seed):
     return refs, states
 
 
-@pytest.mark.parametrize("seed,broadcast", [(1, 100_000), (2, 100_000), (3, 0)])
-def test_like_brute_force(spark, monkeypatch, seed, broadcast):
-    monkeypatch.setattr(orphans, "BROADCAST_ROWS", broadcast)  # 0: heavy keys find no room and are shuffled
+@pytest.mark.parametrize("seed,near,share", [(1, 64, 0.1), (2, 64, 0.001), (3, 0, 0.1), (4, 3, 0.01), (5, 0, 1.0)])
+def test_like_brute_force(spark, monkeypatch, seed, near, share):
+    monkeypatch.setattr(orphans, "NEAR_STATEMENTS", near)  # 0: all heavy keys are split by time
     refs, states = data(seed)
-    o = run(spark, refs, states, share=0.1)
+    o = run(spark, refs, states, share=share)
     got = sorted(map(tuple, o.found().collect()), key=str)
     want = brute(refs, states)
     assert got == want
-    report = {(r.tab, r.yyyymm): r.n_refs for r in o.report().collect()}
-    assert sum(report.values()) == len(want)
-    assert all(n == sum((t, m) == k for t, _, m in want) for k, n in report.items())
+    report = {(r.tab, r.yyyymm): r for r in o.report().collect()}
+    assert sum(r.n_refs for r in report.values()) == len(want)
+    assert all(r.n_refs == sum((t, m) == k for t, _, m in want) == r.n_missing + r.n_gone + r.n_early for k, r in report.items())
+    first = {}
+    for a, _, s, _, _ in states:
+        if a is not None and s is not None:
+            first[a] = min(s, first.get(a, s))
+    for g in o.groups.collect():
+        assert g.cause == ("missing" if g.key_ not in first else "gone" if g["at"] is not None and first[g.key_] <= g["at"] else "early")
+
+
+def test_one_key_with_very_many_spans(spark, monkeypatch):
+    """200,000 disjoint spans of one key: its slices are several, and none holds more than a small part of them."""
+    made = []
+    real = orphans._slice
+    monkeypatch.setattr(orphans, "_slice", lambda x, bounds: made.append(len(bounds)) or real(x, bounds))
+    i = F.col("id")
+    states = spark.range(200_000).select(F.lit(1).alias("a"), moment(i * 20).alias("set_at"), moment(i * 20 + 10).alias("gone_at"))
+    refs = spark.range(50_000).select(i.alias("rid"), F.lit(1).alias("k"), moment(i * 80 + F.when(i % 2 == 0, 5).otherwise(15)).alias("at"))
+    o = Orphans([Reference("x", refs, "k", "at", "rid")], states, "a", "set_at", "gone_at")
+    assert [r.row_id % 2 for r in o.found().collect()] == [1] * 25_000
+    assert made == [orphans.SLICES - 1]
+    assert {r.cause for r in o.groups.select("cause").distinct().collect()} == {"gone"}
+
+
+def test_heavy_orphaned_group(spark):
+    states = spark.createDataFrame([], STATES)
+    refs = spark.range(5_000).select(F.col("id").alias("rid"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)).alias("k"), moment(F.lit(0)).alias("at"))
+    o = Orphans([Reference("x", refs, "k", "at", "rid")], states, "a", "set_at", "gone_at")
+    assert sorted(r.row_id for r in o.found().collect()) == list(range(5_000))
 
 
 def test_empty_tables(spark):
     refs, states = data(4)
     assert run(spark, {"x": []}, states).found().count() == 0
     assert run(spark, {"x": refs["x"]}, []).found().count() == sum(r[1] is not None for r in refs["x"])
-
-
-def test_spans_merge(spark):
-    rows = [(1, 0, day(0), day(10), 0), (1, 0, day(5), day(40), 0), (1, 0, day(40), day(50), 0), (1, 0, day(60), None, 0), (1, 0, day(70), day(80), 0), (2, 0, day(9), day(3), 0), (None, 0, day(1), None, 0)]
-    spans = live_spans(spark.createDataFrame(rows, STATES), "a", "set_at", "gone_at")
-    assert sorted(map(tuple, spans.collect()), key=str) == [(1, day(0), day(50)), (1, day(60), None)]
