@@ -1,12 +1,11 @@
 """Results per key where a handful of keys holds most rows.
 
-Heavy keys are told from a bounded sample. All other keys are range-partitioned by key: quantiles of Spark's
-sample balance the partitions, and each partition finishes its keys without another shuffle. The heavy keys'
-rows are range-partitioned by the composite (key, neighbour, tie), so that such a key is split over as many
-partitions as its rows need, and even copies of one (key, neighbour) pair are split by the tie. Each partition
-then scans its sorted rows once and leaves one partial state per key; the states of a key that crosses
-partition boundaries are stitched in partition order, where a neighbour that ends one state and starts the
-next is counted once.
+Rows are range-partitioned by the composite (key, neighbour, tie), with the quantiles of Spark's sample. A frequent key
+is thereby split over as many partitions as its rows need, and even copies of one (key, neighbour) pair are split by
+the tie; other keys share partitions. Each partition scans its sorted rows once and leaves one partial state per key.
+Only a partition's first and last key can go on in another one: the states of such a key are stitched in partition
+order, where a neighbour that ends one state and starts the next is counted once. Several (key, neighbour) columns of
+one table are done together, so the table is read once for the sample and once for the rows.
 
 Defined results: rows without a key are left out; a missing neighbour counts as a row, not as a neighbour; a
 missing weight is left out of the sum, which is null where no row has one. Sums are of doubles in no fixed
@@ -15,7 +14,7 @@ order: round them before comparing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.operators.heavy import heavy_keys
+#: Parts into which the rows of one (key, neighbour) pair may be split.
+TIES = 1 << 16
 
 
 def _starts(*columns: pa.Array) -> np.ndarray:
@@ -43,57 +43,71 @@ def _starts(*columns: pa.Array) -> np.ndarray:
 
 
 def _states(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One state per key of a partition sorted by (key, neighbour); a state may go on in the next batch."""
+    """One state per (side, key) of a partition sorted by (side, key, neighbour); a state may go on in the next batch.
+
+    Input: side, key, neighbour, weight. The states of a batch are made by whole columns; only its first and last,
+    which may be parts, are handled one by one.
+    """
     part = TaskContext.get().partitionId()
-    open_: list | None = None  # key, rows, neighbours, weight, weights, first neighbour, last neighbour
-    done: list[list] = []
+    open_: list | None = None  # side, key, rows, neighbours, weight, weights, first neighbour, last neighbour
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*done)) if done else [[] for _ in range(7)]
-        columns = [columns[0], [part] * len(done), *columns[1:]]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-        done.clear()
-        return batch
+    def one(state: list) -> pa.RecordBatch:
+        row = [*state[:2], part, *state[2:]]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     for b in batches:
         if not b.num_rows:
             continue
-        key, nbr, w = b.column(0), b.column(1), b.column(2)
-        at = np.flatnonzero(_starts(key))
+        side, key, nbr, w = (b.column(i) for i in range(4))
+        at = np.flatnonzero(_starts(side, key))
+        ends = np.append(at[1:], b.num_rows)
         seen = nbr.is_valid().to_numpy(zero_copy_only=False)
-        first = (_starts(key, nbr) & seen).astype(np.int64)
         weighs = w.is_valid().to_numpy(zero_copy_only=False)
         values = np.where(weighs, w.fill_null(0).to_numpy(zero_copy_only=False), 0.0)
-        ends = np.append(at[1:], b.num_rows)
-        sums = [np.add.reduceat(x, at) for x in (first, values, weighs.astype(np.int64), seen.astype(np.int64))]
-        for i, (lo, hi) in enumerate(zip(at.tolist(), ends.tolist())):
-            some = int(sums[3][i])  # missing neighbours come first
-            state = [key[lo].as_py(), hi - lo, int(sums[0][i]), float(sums[1][i]), int(sums[2][i]), nbr[hi - some].as_py() if some else None, nbr[hi - 1].as_py()]
-            if open_ is not None and open_[0] == state[0]:
-                same = state[5] is not None and state[5] == open_[6]
-                open_[1] += state[1]
-                open_[2] += state[2] - same
-                open_[3] += state[3]
-                open_[4] += state[4]
-                open_[5] = state[5] if open_[5] is None else open_[5]
-                open_[6] = state[6] if state[6] is not None else open_[6]
-            else:
-                if open_ is not None:
-                    done.append(open_)
-                open_ = state
-        if len(done) >= 10_000:
-            yield flush()
+        fresh = (_starts(side, key, nbr) & seen).astype(np.int64)
+        nbrs, sums, weights, some = (np.add.reduceat(x, at) for x in (fresh, values, weighs.astype(np.int64), seen.astype(np.int64)))
+        head = np.where(some > 0, ends - some, ends - 1)  # missing neighbours come first
+
+        def state(i: int) -> list:
+            lo, hi = int(at[i]), int(ends[i])  # noqa: B023
+            known = int(some[i])  # noqa: B023
+            return [side[lo].as_py(), key[lo].as_py(), hi - lo, int(nbrs[i]), float(sums[i]), int(weights[i]), nbr[int(head[i])].as_py() if known else None, nbr[hi - 1].as_py()]  # noqa: B023
+
+        begins = state(0)
+        if open_ is not None and open_[:2] == begins[:2]:
+            same = begins[6] is not None and begins[6] == open_[7]
+            open_ = [*open_[:2], open_[2] + begins[2], open_[3] + begins[3] - same, open_[4] + begins[4], open_[5] + begins[5],
+                     begins[6] if open_[6] is None else open_[6], open_[7] if begins[7] is None else begins[7]]
+        else:
+            if open_ is not None:
+                yield one(open_)
+            open_ = begins
+        if len(at) == 1:
+            continue
+        yield one(open_)
+        if len(at) > 2:
+            mid = slice(1, len(at) - 1)
+            lo, hd, tl = pa.array(at[mid]), pa.array(head[mid]), pa.array(ends[mid] - 1)
+            n = len(lo)
+            whole = [side.take(lo), key.take(lo), pa.array(np.full(n, part), pa.int32()), pa.array(ends[mid] - at[mid]), pa.array(nbrs[mid]),
+                     pa.array(sums[mid]), pa.array(weights[mid]), nbr.take(hd), nbr.take(tl)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(whole, schema)], schema=schema)
+        open_ = state(len(at) - 1)
     if open_ is not None:
-        done.append(open_)
-    yield flush()
+        yield one(open_)
+
 
+def totals(df: DataFrame, sides: Sequence[tuple[str, str]], weight: str, tie: str) -> DataFrame:
+    """(side, k, n_rows, n_neighbours, sum_weight) for each (key, neighbour) of ``sides`` and every key that is not null.
 
-def split_totals(df: DataFrame, key: str, neighbour: str, weight: str, tie: str) -> DataFrame:
-    """Totals of df's keys by splitting every key over range partitions and stitching the states; see the module."""
-    rows = df.select(F.col(key).alias("k"), F.col(neighbour).alias("n"), F.col(weight).cast("double").alias("w"), F.col(tie).alias("tie_"))
+    side is the key column's name. tie: a column that tells rows of one (key, neighbour) apart, such as the row's id.
+    """
+    both = F.array(*(F.struct(F.lit(i).cast("byte").alias("side"), F.col(k).alias("k"), F.col(n).alias("n")) for i, (k, n) in enumerate(sides)))
+    rows = df.select(F.explode(both).alias("e"), F.col(weight).cast("double").alias("w"), F.pmod(F.xxhash64(tie), F.lit(TIES)).cast("int").alias("tie_"))
+    rows = rows.select("e.side", "e.k", "e.n", "w", "tie_").where(F.col("k").isNotNull())
     kind, other = rows.schema["k"].dataType, rows.schema["n"].dataType
     out = T.StructType([
-        T.StructField("k", kind), T.StructField("part", T.IntegerType()), T.StructField("rows", T.LongType()),
+        T.StructField("side", T.ByteType()), T.StructField("k", kind), T.StructField("part", T.IntegerType()), T.StructField("rows", T.LongType()),
         T.StructField("nbrs", T.LongType()), T.StructField("w", T.DoubleType()), T.StructField("ws", T.LongType()),
         T.StructField("first", other), T.StructField("last", other),
     ])
@@ -101,32 +115,19 @@ def split_totals(df: DataFrame, key: str, neighbour: str, weight: str, tie: str)
 
     schema = to_arrow_schema(out)
     states = (
-        rows.repartitionByRange("k", "n", "tie_").drop("tie_").sortWithinPartitions("k", "n")
+        rows.repartitionByRange("side", "k", "n", "tie_").drop("tie_").sortWithinPartitions("side", "k", "n")
         .mapInArrow(lambda it: _states(it, schema), out)
     )
-    w = Window.partitionBy("k").orderBy("part")
+    w = Window.partitionBy("side", "k").orderBy("part")  # a key has a state per partition it stands in
     last = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     stitched = states.withColumn("again", F.coalesce((last == F.col("first")).cast("long"), F.lit(0)))
-    return stitched.groupBy("k").agg(
+    name = F.element_at(F.array(*(F.lit(k) for k, _ in sides)), F.col("side") + 1).alias("side")
+    return stitched.groupBy("side", "k").agg(
         F.sum("rows").alias("n_rows"), (F.sum("nbrs") - F.sum("again")).alias("n_neighbours"),
         F.when(F.sum("ws") > 0, F.sum("w")).alias("sum_weight"),
-    )
-
+    ).select(name, "k", "n_rows", "n_neighbours", "sum_weight")
 
-def keyed_totals(df: DataFrame, key: str, neighbour: str, weight: str, tie: str, share: float = 0.002) -> DataFrame:
-    """(k, n_rows, n_neighbours, sum_weight) for every key of df that is not null.
 
-    tie: a column that tells rows of one (key, neighbour) apart, such as the row's id. share: the part of the
-    rows from which a key counts as heavy; it only steers the plan.
-    """
-    rows = df.where(F.col(key).isNotNull())
-    heavy = heavy_keys(rows, key, share)
-    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
-    light = (
-        rows.where(~is_heavy).select(F.col(key).alias("k"), F.col(neighbour).alias("n"), F.col(weight).cast("double").alias("w"))
-        .repartitionByRange("k").groupBy("k")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("n").alias("n_neighbours"), F.sum("w").alias("sum_weight"))
-    )
-    if not heavy:
-        return light
-    return light.unionByName(split_totals(rows.where(is_heavy), key, neighbour, weight, tie))
+def keyed_totals(df: DataFrame, key: str, neighbour: str, weight: str, tie: str) -> DataFrame:
+    """(k, n_rows, n_neighbours, sum_weight) for every key of df that is not null."""
+    return totals(df, [(key, neighbour)], weight, tie).drop("side")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators.orphans import Orphans, Reference
 from latticework.operators.rowparse import parse_rows, typed
-from latticework.operators.skew import keyed_totals
+from latticework.operators.skew import totals
 from latticework.sources.tables import table
 
 RULES = {
@@ -33,14 +33,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_totals(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "edge_list")
-    sides = [
-        keyed_totals(edges, key, other, "weight", "line_id").select(
-            F.lit(key).alias("side"), F.col("k").alias("vertex_id"), "n_rows", "n_neighbours", F.round("sum_weight", 4).alias("sum_weight")
-        )
-        for key, other in (("s", "t"), ("t", "s"))
-    ]
-    return sides[0].unionByName(sides[1])
+    found = totals(table(spark, d, "edge_list"), [("s", "t"), ("t", "s")], "weight", "line_id")
+    return found.select("side", F.col("k").alias("vertex_id"), "n_rows", "n_neighbours", F.round("sum_weight", 4).alias("sum_weight"))
 
 
 def p3_found(spark: SparkSession, d: str, share: float = 0.02) -> DataFrame:
