@@ -8,7 +8,8 @@ fields have valid values, loads. Else the edits state the reason: ``quoting`` if
 
 A deleted delimiter joins two fields, an inserted one adds an empty field beside a delimiter or at the line's
 end, so neither can hide broken quoting. The bound grows with the cost: lines that the automaton reads at
-cost 0 never reach the table of the dynamic program.
+cost 0 never reach the table of the dynamic program. Most of these never reach Python: a pattern that only lines
+without edits and with valid values can match, of ids and numbers of a common length, is tried in the JVM first.
 
 Defined results: a null line is read as an empty one; a line of an unknown kind has the reason ``kind``.
 """
@@ -20,7 +21,7 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG_MAX = 2**63 - 1
@@ -130,6 +131,40 @@ def cheapest(line: str, columns: int) -> tuple[int, int, list[str]]:
     return total // QUOTE_EDIT, total % QUOTE_EDIT, ops[::-1]
 
 
+EDIT = re.compile(r"(insert|delete) (quote|delimiter) at ([0-9]+)")
+
+
+def mended(line: str, edits: str) -> tuple[str, int]:
+    """The line with its quote edits made, and how many fields the delimiter edits add.
+
+    A deleted delimiter leaves two values in one field, which no line can say; so these are counted, not made.
+    """
+    out, at, more = [], 0, 0
+    for m in EDIT.finditer(edits):
+        place = int(m[3])
+        if m[2] == "delimiter":
+            more += 1 if m[1] == "insert" else -1
+            continue
+        out += [line[at:place], '"'] if m[1] == "insert" else [line[at:place]]
+        at = place + (m[1] == "delete")
+    return "".join([*out, line[at:]]), more
+
+
+def mend(df: DataFrame, parsed: DataFrame, row_id: str = "row_id", line: str = "line") -> DataFrame:
+    """(row_id, kind, reason, line, more): the lines that don't split into fields; see ``mended``."""
+    edited = parsed.where(F.col("reason").isin("quoting", "columns")).select("row_id", "kind", "reason", "edits")
+    rows = edited.join(df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(line), F.lit("")).alias("line")), "row_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [mended(t, e) for t, e in zip(b.column(4).to_pylist(), b.column(3).to_pylist())]
+            lines, more = zip(*made) if made else ((), ())
+            columns = [*b.columns[:3], pa.array(lines, pa.string()), pa.array(more, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "kind", "reason", "line", "more"])
+
+    return rows.select("row_id", "kind", "reason", "edits", "line").mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, kind string, reason string, line string, more int")
+
+
 def read_line(line: str | None, rule: Sequence[tuple[str, str]]) -> tuple[str | None, str | None, list[str] | None]:
     """(reason, edits, fields): the reason null and the fields given for a line that loads."""
     line = line or ""
@@ -141,14 +176,45 @@ def read_line(line: str | None, rule: Sequence[tuple[str, str]]) -> tuple[str |
     return "quoting" if quotes else "columns", "; ".join(ops), None
 
 
+# What a line that loads looks like, for values of a length that can't be too large; other lines may load too.
+PLAINLY = {
+    "id": r'(?: *0*[0-9]{1,18} *|" *0*[0-9]{1,18} *")',
+    "number": r'(?:| *[+-]?(?:[0-9]{1,100}(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]{1,2})? *|""|" *[+-]?(?:[0-9]{1,100}(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]{1,2})? *")',
+    "text": FIELD,
+}
+
+
+def _plainly(kind: Column, line: Column, rules: Mapping[str, Sequence[tuple[str, str]]]) -> Column:
+    """Whether the line surely loads."""
+    out = F.lit(False)
+    for k, rule in rules.items():
+        out = F.when(kind == k, line.rlike(r"(?s)\A" + ",".join(PLAINLY[what] for _, what in rule) + r"\z")).otherwise(out)
+    return out
+
+
+def _split(line: Column) -> Column:
+    """The fields of a line without edits, quotes taken off."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f"(?s),({FIELD})"), F.lit(1))
+    bare = lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(fields, bare)
+
+
+def clean_fields(line: Column) -> Column:
+    """The fields of a line, null if it can't be read without quote edits."""
+    return F.when(line.rlike(rf"\A{FIELD}(?:,{FIELD})*+\z"), _split(line))
+
+
 def parse_rows(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]], row_id: str = "row_id", kind: str = "kind", line: str = "line") -> DataFrame:
     """(row_id, kind, reason, edits, fields), one row per row of df.
 
     rules: for each kind of line its fields in order, as (name, "id" | "number" | "text"). reason and edits are
-    null for lines that load, fields for the others. One narrow pass; nothing is shuffled.
+    null for lines that load, fields for the others. A narrow pass; nothing is shuffled.
     """
     rules = {k: list(v) for k, v in rules.items()}
-    picked = df.select(F.col(row_id).alias("row_id"), F.col(kind).alias("kind"), F.col(line).alias("line"))
+    picked = df.select(F.col(row_id).alias("row_id"), F.col(kind).alias("kind"), F.coalesce(F.col(line), F.lit("")).alias("line"))
+    plain = F.coalesce(_plainly(F.col("kind"), F.col("line"), rules), F.lit(False))
+    none = F.lit(None).cast("string")
+    good = picked.where(plain).select("row_id", "kind", none.alias("reason"), none.alias("edits"), _split(F.col("line")).alias("fields"))
     out = pa.schema([("reason", pa.string()), ("edits", pa.string()), ("fields", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +226,8 @@ def parse_rows(df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]], ro
             made = [pa.array(c, f.type) for c, f in zip(zip(*got) if got else ([], [], []), out)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["row_id", "kind", *out.names])
 
-    return picked.mapInArrow(run, f"row_id {picked.schema['row_id'].dataType.simpleString()}, kind string, reason string, edits string, fields array<string>")
+    kinds = f"row_id {picked.schema['row_id'].dataType.simpleString()}, kind string, reason string, edits string, fields array<string>"
+    return good.unionByName(picked.where(~plain).mapInArrow(run, kinds))
 
 
 def typed(parsed: DataFrame, kind: str, rule: Sequence[tuple[str, str]]) -> DataFrame:

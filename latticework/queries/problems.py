@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators.orphans import Orphans, Reference
-from latticework.operators.rowparse import parse_rows, typed
+from latticework.operators.rowparse import clean_fields, mend, parse_rows, typed
 from latticework.operators.skew import totals
 from latticework.sources.tables import table
 
@@ -55,6 +55,14 @@ def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
     return p5_parsed(spark, d).where(F.col("reason").isNotNull()).select("row_id", "kind", "reason", "edits")
 
 
+def p5_mends(spark: SparkSession, d: str) -> DataFrame:
+    """Of the lines that don't split into the right fields, how many do by their edits."""
+    lines = mend(table(spark, d, "raw_lines"), p5_parsed(spark, d))
+    columns = F.when(F.col("kind") == "edge_list", len(RULES["edge_list"])).otherwise(len(RULES["vertex_label"]))
+    clean = F.size(clean_fields(F.col("line"))) + F.col("more") == columns
+    return lines.groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(clean, 1)).alias("n_clean"))
+
+
 def p5_edges(spark: SparkSession, d: str) -> DataFrame:
     return typed(p5_parsed(spark, d), "edge_list", RULES["edge_list"])
 
@@ -63,7 +71,7 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return typed(p5_parsed(spark, d), "vertex_label", RULES["vertex_label"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_totals, p5_found, p5_repairs, p5_edges, p5_labels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_totals, p5_found, p5_repairs, p5_mends, p5_edges, p5_labels)}
 
 _REFS = """refs AS (
   SELECT 'edge_list' AS tab, line_id AS row_id, s AS k, loaded_at AS ts FROM edge_list WHERE s IS NOT NULL
@@ -96,6 +104,7 @@ SELECT 't', t, count(*), count(DISTINCT s), round(sum(weight), 4) FROM edge_list
 HAVING count(*) >= 0.02 * (SELECT count(s) FROM edge_list) UNION ALL
 SELECT 't', t FROM edge_list WHERE t IS NOT NULL GROUP BY t HAVING count(*) >= 0.02 * (SELECT count(t) FROM edge_list)""",
     "p5_found": f"WITH {_SPLIT} SELECT row_id, reason FROM checked WHERE reason IS NOT NULL",
+    "p5_mends": f"WITH {_SPLIT} SELECT kind, reason, count(*) AS n, count(*) AS n_clean FROM checked WHERE reason IN ('quoting', 'columns') GROUP BY kind, reason",
     "p5_edges": f"""WITH {_SPLIT} SELECT row_id, CAST(trim(f[1]) AS BIGINT) AS s, CAST(trim(f[2]) AS BIGINT) AS t,
 CASE WHEN f[3] <> '' THEN CAST(trim(f[3]) AS DOUBLE) END AS weight, f[4] AS note FROM checked WHERE kind = 'edge_list' AND reason IS NULL""",
     "p5_labels": f"""WITH {_SPLIT} SELECT row_id, CAST(trim(f[1]) AS BIGINT) AS a, CAST(trim(f[2]) AS BIGINT) AS l, f[3] AS note
