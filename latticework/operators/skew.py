@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 #: Parts into which the rows of one (key, neighbour) pair may be split.
 TIES = 1 << 16
+#: Rows that a range partition should have at most.
+PARTITION_ROWS = 4_000_000
 
 
 def _starts(*columns: pa.Array) -> np.ndarray:
@@ -43,7 +45,7 @@ def _starts(*columns: pa.Array) -> np.ndarray:
 
 
 def _states(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One state per (side, key) of a partition sorted by (side, key, neighbour); a state may go on in the next batch.
+    """One state per (side, key) of a partition sorted by (key, side, neighbour); a state may go on in the next batch.
 
     Input: side, key, neighbour, weight. The states of a batch are made by whole columns; only its first and last,
     which may be parts, are handled one by one.
@@ -97,6 +99,14 @@ def _states(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
         yield one(open_)
 
 
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """rows by ranges; as many as the session says, or as n rows need."""
+    order = ("k", "side", "n", "tie_")
+    parts = -(-n // PARTITION_ROWS)
+    known = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order) if parts > known else rows.repartitionByRange(*order)
+
+
 def totals(df: DataFrame, sides: Sequence[tuple[str, str]], weight: str, tie: str) -> DataFrame:
     """(side, k, n_rows, n_neighbours, sum_weight) for each (key, neighbour) of ``sides`` and every key that is not null.
 
@@ -115,7 +125,7 @@ def totals(df: DataFrame, sides: Sequence[tuple[str, str]], weight: str, tie: st
 
     schema = to_arrow_schema(out)
     states = (
-        rows.repartitionByRange("side", "k", "n", "tie_").drop("tie_").sortWithinPartitions("side", "k", "n")
+        _ranged(rows, df.count() * len(sides)).drop("tie_").sortWithinPartitions("k", "side", "n")
         .mapInArrow(lambda it: _states(it, schema), out)
     )
     w = Window.partitionBy("side", "k").orderBy("part")  # a key has a state per partition it stands in
