@@ -42,6 +42,11 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("term").alias("l"), F.col("n").alias("n_rows"), F.col("n_records").alias("n_vertices"), terms.mark(found, vertices, 2, 0.1).alias("mark"))
 
 
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = terms.run_counts(table(spark, d, "vertex_label"), "a", "l", ["set_at", "l"])
+    return found.select(F.array_join(F.transform("run", lambda x: x.cast("string")), " ").alias("run"), "length", "n", "n_records")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_terms(spark, d).where(F.col("mark").isNotNull()).select("l", "mark")
 
@@ -84,7 +89,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
+    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p6_runs, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
 }
 
 _NUMBER = r"(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
@@ -137,6 +142,13 @@ SELECT f AS first_id, rec_id AS copy_id FROM firsts WHERE f <> rec_id""",
 GROUP BY kind, list_sort(list_filter(list_transform(string_split(translate(lower(line), ';|０１２３４５６７８９' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203), ',,0123456789,,,  '), ','),
   lambda f: list_filter(string_split(translate(f, '{_PUNCTUATION}', '{' ' * (len(_PUNCTUATION) - 1)}'), ' '), lambda w: w <> '')), lambda f: len(f) > 0))""",
     "p6_found": f"WITH {_TERMS} SELECT l, mark FROM marks WHERE mark IS NOT NULL",
+    "p6_runs": """WITH seqs AS (SELECT a, list(l ORDER BY set_at NULLS FIRST, l) AS ls FROM vertex_label WHERE a IS NOT NULL AND l IS NOT NULL GROUP BY a),
+starts AS (SELECT a, ls, unnest(range(1, len(ls) + 1)) AS i FROM seqs),
+pieces AS (SELECT a, ls[i:k] AS run FROM (SELECT a, ls, i, unnest(range(i, len(ls) + 1)) AS k FROM starts)
+  UNION ALL SELECT NULL, [l] FROM vertex_label WHERE a IS NULL AND l IS NOT NULL),
+counts AS (SELECT run, len(run) AS length, count(*) AS n, count(DISTINCT a) AS n_records FROM pieces GROUP BY run)
+SELECT array_to_string(c.run, ' ') AS run, c.length::INTEGER AS length, c.n, c.n_records FROM counts c
+LEFT JOIN counts p ON p.run = c.run[1:c.length - 1] WHERE c.n > 1 OR c.length = 1 OR p.n > 1""",
     "p6_terms": f"WITH {_TERMS} SELECT l, n_rows, n_vertices, mark FROM marks",
     "p9_found": f"""WITH {_LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b
 ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from latticework.llm import terms
 from latticework.llm.terms import mark, run_counts, term_counts
 
 
@@ -28,21 +29,40 @@ def test_terms_like_counting(spark, many_partitions, seed):
         assert got == {t: (n[t], len(recs[t])) for t in n}
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_runs_like_counting(spark, many_partitions, depth):
-    rng = random.Random(depth)
-    rows = [(i, None if i == 7 else [rng.choice(["a", "b", "c", "a b"]) for _ in range(rng.randrange(9))]) for i in range(80)] + [(90, ["a"] * 200), (91, ["a", None, "b"])]
+def runs_by_counting(rows, longest=None):
+    """{run: (occurrences, records)} of all runs; rows: (sequence, record, terms)."""
     n, recs = Counter(), defaultdict(set)
-    for rec, seq in rows:
+    for _, rec, seq in rows:
         seq = [t for t in seq or [] if t is not None]
-        for k in range(1, depth + 1):
+        for k in range(1, min(len(seq), longest or len(seq)) + 1):
             for i in range(len(seq) - k + 1):
-                run = tuple(seq[i : i + k])
-                n[run] += 1
-                recs[run].add(rec)
-    got = run_counts(spark.createDataFrame(rows, "id long, words array<string>"), "id", "words", depth).collect()
-    assert {tuple(r[1 : 1 + r.length]): (r.n, r.n_records) for r in got} == {r: (n[r], len(recs[r])) for r in n}
-    assert len(got) == len(n)
+                n[tuple(seq[i : i + k])] += 1
+                recs[tuple(seq[i : i + k])] |= {rec} - {None}
+    return {r: (n[r], len(recs[r])) for r in n if n[r] > 1 or len(r) == 1 or n[r[:-1]] > 1}
+
+
+def as_table(spark, rows):
+    flat = [(s, rec, i, t, "x") for s, rec, seq in rows for i, t in enumerate(seq or [])]
+    return spark.createDataFrame(flat, "seq long, rec long, at int, word string, place string").repartition(3)
+
+
+@pytest.mark.parametrize("seed,longest,window", [(1, None, 16), (2, None, 3), (3, 2, 16), (4, 5, 2)])
+def test_runs_like_counting(spark, many_partitions, monkeypatch, seed, longest, window):
+    monkeypatch.setattr(terms, "WINDOW", window)
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(12), None if i == 7 else [rng.choice(["a", "b", "c", "a b"]) for _ in range(rng.randrange(9))]) for i in range(40)]
+    rows += [(90, 90, ["a"] * 12), (91, 91, ["a", None, "b"]), (92, 3, ["q", "r", "s", "t", "u", "v"]), (93, 93, ["q", "r", "s", "t", "u", "w"]), (94, None, ["z", "a"])]
+    got = run_counts(as_table(spark, rows), "rec", "word", ["at"], "seq", longest).collect()
+    want = runs_by_counting(rows, longest)
+    assert {tuple(r.run): (r.n, r.n_records) for r in got} == want
+    assert len(got) == len(want) and all(len(r.run) == r.length for r in got)
+
+
+def test_rows_without_a_record_and_empty(spark):
+    rows = [(1, 1, ["a", "b"]), (None, None, ["a", "b"]), (2, 1, ["a", "b"])]
+    got = run_counts(as_table(spark, rows), "rec", "word", ["at"]).collect()
+    assert {tuple(r.run): (r.n, r.n_records) for r in got} == {("a",): (3, 1), ("b",): (3, 1), ("a", "a"): (1, 1), ("a", "b"): (1, 1), ("b", "b"): (1, 1)}
+    assert run_counts(as_table(spark, rows).limit(0), "rec", "word", ["at"]).count() == 0
 
 
 def test_empty_and_marks(spark):
