@@ -4,7 +4,8 @@ A text loses its invisible characters, gets plain spaces and plain ASCII for ful
 (NFC). Each token with a character beyond ASCII is then spelled in one script: every letter has the set of
 scripts in which it can be drawn (a Cyrillic or Greek letter drawn like a Latin one shares that letter's set),
 the sets are intersected over the token, and the token is spelled in the first of Latin, Cyrillic and Greek that
-is left. Where none is (a token that really mixes scripts), letters that can be Latin become Latin. The sets of
+is left. Where none is (a token that really mixes scripts), letters that can be Latin become Latin. Tokens of mixed
+scripts, and those of another script that look like Latin as a whole, can be counted per text. The sets of
 look-alikes are equal, so texts that look the same get the same form; a form's letters say which look they have,
 so others don't.
 
@@ -25,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.session import cut
+from latticework.session import counted, stored
 
 # Letters drawn like Latin ones, and characters that are not drawn at all.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеһіјорсԁѕухԛԝ", "ABESIJKMHOPCTYXaehijopcdsyxqw"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"))
+# Where two letters of a script are drawn like one Latin letter, the commoner comes first.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜѴҮӀаеһіјорсԁѕухԛԝѵ", "ABESIJKMHOPCTYXGQWVYIaehijopcdsyxqwv"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABEZHIKMNOPTYXCJovcj"))
 INVISIBLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
     (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
@@ -46,21 +48,26 @@ ODD = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in (*INVISIBLE,
 # A word with a character beyond ASCII; found at a word's start only, so long ASCII words are passed once.
 TOKEN = re.compile(r"(?<![\ẁ-ͯ])[A-Za-z0-9_]*+(?:[^\x00-\x7f\W]|[̀-ͯ])[\ẁ-ͯ]*+")
 TWIN = {c: (CYRILLIC.get(c) or GREEK.get(c)) for c in [*CYRILLIC, *GREEK]}
-INTO = {CYR: {v: k for k, v in CYRILLIC.items()}, GRE: {v: k for k, v in GREEK.items()}}
+INTO = {CYR: {v: k for k, v in reversed(CYRILLIC.items())}, GRE: {v: k for k, v in reversed(GREEK.items())}}
 MARKS = ("Mn", "Mc", "Me")
 
 
 @lru_cache(maxsize=100_000)
 def _scripts(ch: str) -> int:
     """The scripts in which a letter can be drawn; all of them for what is no letter."""
-    latin = TWIN.get(ch, ch)
-    out = (latin in INTO[CYR] and CYR) | (latin in INTO[GRE] and GRE)
     if not ch.isalpha():
         return LATIN | CYR | GRE | OTHER
+    latin = TWIN.get(ch, ch)
     if ch in TWIN or ch.isascii():
-        return out | LATIN
+        return LATIN | (latin in INTO[CYR] and CYR) | (latin in INTO[GRE] and GRE)
+    return _script(ch)
+
+
+@lru_cache(maxsize=100_000)
+def _script(ch: str) -> int:
+    """The script that a letter is of."""
     name = unicodedata.name(ch, "")
-    return LATIN if name.startswith("LATIN") else CYR if name.startswith("CYRILLIC") else GRE if name.startswith("GREEK") else OTHER
+    return LATIN if ch.isascii() or name.startswith("LATIN") else CYR if name.startswith("CYRILLIC") else GRE if name.startswith("GREEK") else OTHER
 
 
 @lru_cache(maxsize=200_000)
@@ -126,23 +133,58 @@ def _hashed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def lookalike_pairs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_a, doc_b): documents that look the same but differ in their characters.
 
-    Classes with one text only, however many copies it has, are left before anything is joined; the others are
-    paired text by text, and these pairs meet their documents, so work follows the number of pairs that come out.
+    Classes with one text only, however many copies it has, are left before anything is joined, and so are their
+    documents; the others are paired text by text, and these pairs meet their documents, so work follows the number of
+    pairs that come out.
     """
-    hashed = cut(_hashed(df, doc_id, text))
-    texts = hashed.groupBy("c1", "c2", "r1", "r2").agg(F.count(F.lit(1)).alias("n"))
-    mixed = texts.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
-    texts = texts.join(mixed, ["c1", "c2"], "left_semi").drop("n")
+    hashed = stored(_hashed(df, doc_id, text))
+    ends = hashed.groupBy("c1", "c2").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("r1", "r2") for f in (F.min, F.max)))
+    mixed = stored(ends.where("min_r1 <> max_r1 OR min_r2 <> max_r2").select("c1", "c2"))
+    docs = stored(hashed.join(counted(mixed, mixed.count()), ["c1", "c2"], "left_semi"))
+    texts = docs.select("c1", "c2", "r1", "r2").distinct()
     a, b = texts.alias("a"), texts.alias("b")
     pairs = a.join(b, (F.col("a.c1") == F.col("b.c1")) & (F.col("a.c2") == F.col("b.c2")) & (F.struct("a.r1", "a.r2") < F.struct("b.r1", "b.r2")))
     pairs = pairs.select(F.col("a.r1").alias("a1"), F.col("a.r2").alias("a2"), F.col("b.r1").alias("b1"), F.col("b.r2").alias("b2"))
-    docs = hashed.select("doc_id", "r1", "r2")
     left = docs.select(F.col("doc_id").alias("x"), F.col("r1").alias("a1"), F.col("r2").alias("a2"))
     right = docs.select(F.col("doc_id").alias("y"), F.col("r1").alias("b1"), F.col("r2").alias("b2"))
     found = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
     return found.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def confusables(text: str) -> tuple[int, int]:
+    """(mixed, whole): the tokens with letters of several scripts, and those of letters of one script other than Latin
+    that can all be drawn in Latin; counted in the text without invisible characters, composed."""
+    if text.isascii():
+        return 0, 0
+    mixed = whole = 0
+    for m in TOKEN.finditer(unicodedata.normalize("NFC", text.translate(PLAIN))):
+        letters = [ch for ch in unicodedata.normalize("NFD", m[0]) if ch.isalpha()]
+        own = {_script(ch) for ch in letters} - {OTHER}
+        mixed += len(own) > 1
+        whole += len(own) == 1 and LATIN not in own and all(_scripts(ch) & LATIN for ch in letters)
+    return mixed, whole
+
+
+def suspects(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, n_mixed, n_whole) of the texts with such tokens; see ``confusables``."""
+    picked = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [confusables(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1))], names=["doc_id", "n_mixed", "n_whole"])
+
+    found = picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, n_mixed bigint, n_whole bigint")
+    return found.where("n_mixed > 0 OR n_whole > 0")
+
+
+def skeleton(form: str) -> str:
+    """A form with every look-alike as Latin: what two texts share that look the same, whatever script they are in."""
+    if form.isascii():
+        return form
+    return unicodedata.normalize("NFC", "".join(TWIN.get(ch, ch) for ch in unicodedata.normalize("NFD", form)))
+
+
 def classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(class_id, n_docs, n_texts) of each class of texts that look the same; class_id is its smallest document."""
     hashed = _hashed(df, doc_id, text).groupBy("c1", "c2", "r1", "r2").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("n"))

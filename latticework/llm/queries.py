@@ -3,6 +3,9 @@ look-alikes (9)."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +86,28 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.forms(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text's form, what is left once look-alikes are Latin, as a hash."""
+    forms = p9_forms(spark, d).where("form IS NOT NULL")
+    rows = forms.mapInArrow(lambda batches: (_skeletons(b) for b in batches), "doc_id bigint, look string")
+    return rows.select("doc_id", F.md5("look").alias("look"))
+
+
+def _skeletons(b: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array([lookalike.skeleton(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "look"])
+
+
+def p9_suspects(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.suspects(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.classes(table(spark, d, "documents"), "doc_id", "text")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p6_runs, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)
+    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p6_runs, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_skeletons, p9_suspects, p9_classes)
 }
 
 _NUMBER = r"(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
@@ -111,26 +129,39 @@ marks AS (SELECT *, CASE WHEN n_vertices = 0 THEN NULL WHEN n_vertices <= 2 THEN
   WHEN n_vertices >= 0.1 * (SELECT count(DISTINCT a) FROM vertex_label WHERE l IS NOT NULL) THEN 'common' END AS mark FROM terms)"""
 
 
-def _look_sql() -> str:
-    """The look-alike form in SQL: every look-alike as Latin, which equals where the one-script spellings equal."""
-    twins = lookalike.TWIN
-    whole = {}
-    import unicodedata
+# The SQL's own tables: look-alikes as pairs of code points, spaces and invisible characters as ranges.
+_TWINS = """0410A 0412B 0415E 0405S 0406I 0408J 041AK 041CM 041DH 041EO 0420P 0421C 0422T 0423Y 0425X 050CG 051AQ 051CW 0474V 04AEY 04C0I
+0430a 0435e 04BBh 0456i 0458j 043Eo 0440p 0441c 0501d 0455s 0443y 0445x 051Bq 051Dw 0475v
+0391A 0392B 0395E 0396Z 0397H 0399I 039AK 039CM 039DN 039FO 03A1P 03A4T 03A5Y 03A7X 03F9C 037FJ 03BFo 03BDv 03F2c 03F3j"""
+_BLANKS = "00A0 1680 2000-200A 202F 205F 3000"
+_UNSEEN = "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8"
+
 
-    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+def _codes(ranges: str) -> list[int]:
+    ends = [r.split("-") for r in ranges.split()]
+    return [c for e in ends for c in range(int(e[0], 16), int(e[-1], 16) + 1)]
+
+
+def _look_sql() -> str:
+    """The look in SQL: every look-alike as Latin, also under combining marks; equal where the one-script forms are."""
+    twins = {chr(int(x[:4], 16)): x[4] for x in _TWINS.split()}
+    marked = {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):  # composed letters whose base is a look-alike
         base = unicodedata.normalize("NFD", c)
         if len(base) > 1 and base[0] in twins:
             to = unicodedata.normalize("NFC", twins[base[0]] + base[1:])
             if len(to) == 1:
-                whole[c] = to
-    pairs = twins | whole | {chr(c): p for c, p in lookalike.PLAIN.items() if p}
-    gone = [chr(c) for c, p in lookalike.PLAIN.items() if p is None and c < 0x10000]
-    quote = lambda s: s.replace("'", "''")
-    plain = f"translate(text, '{quote(''.join([*pairs, *gone]))}', '{quote(''.join(pairs.values()))}')"
-    return f"looks AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize({plain}), '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}')) AS look FROM documents WHERE text <> '')"
+                marked[c] = to
+    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {chr(c): " " for c in _codes(_BLANKS)}
+    text = lambda parts: "".join(parts).replace("'", "''")
+    plain = f"nfc_normalize(translate(text, '{text([*wide, *map(chr, _codes(_UNSEEN))])}', '{text(wide.values())}'))"
+    look = f"nfc_normalize(translate(plain, '{text([*twins, *marked])}', '{text([*twins.values(), *marked.values()])}'))"
+    return f"plains AS (SELECT doc_id, text, {plain} AS plain FROM documents WHERE text IS NOT NULL),\nlooks AS (SELECT *, {look} AS look FROM plains)"
 
 
 _LOOKS = _look_sql()
+_DRAWN = {chr(int(x[:4], 16)) for x in _TWINS.split()}
+_LATIN_LIKE = "".join(c for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]) if unicodedata.normalize("NFD", c)[0] in _DRAWN)
 
 SQL = {
     "p1_found": "SELECT s FROM edge_list WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= 0.005 * (SELECT count(s) FROM edge_list)",
@@ -151,6 +182,12 @@ SELECT array_to_string(c.run, ' ') AS run, c.length::INTEGER AS length, c.n, c.n
 LEFT JOIN counts p ON p.run = c.run[1:c.length - 1] WHERE c.n > 1 OR c.length = 1 OR p.n > 1""",
     "p6_terms": f"WITH {_TERMS} SELECT l, n_rows, n_vertices, mark FROM marks",
     "p9_found": f"""WITH {_LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b
-ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
-    "p9_classes": f"WITH {_LOOKS} SELECT min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM looks GROUP BY look",
+ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.text <> '' AND b.text <> ''""",
+    "p9_classes": f"WITH {_LOOKS} SELECT min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM looks WHERE text <> '' GROUP BY look",
+    "p9_skeletons": f"WITH {_LOOKS} SELECT doc_id, md5(look) AS look FROM looks",
+    "p9_suspects": rf"""WITH {_LOOKS}, tokens AS (SELECT doc_id, unnest(regexp_extract_all(plain, '[\p{{L}}\p{{N}}_\x{{300}}-\x{{36f}}]+')) AS token FROM looks),
+scripts AS (SELECT doc_id, regexp_matches(token, '\p{{Latin}}')::INT + regexp_matches(token, '\p{{Cyrillic}}')::INT + regexp_matches(token, '\p{{Greek}}')::INT AS n,
+  regexp_full_match(token, '[{_LATIN_LIKE}\p{{N}}_\x{{300}}-\x{{36f}}]+') AS drawn FROM tokens)
+SELECT doc_id, count(*) FILTER (n > 1) AS n_mixed, count(*) FILTER (n = 1 AND drawn) AS n_whole FROM scripts GROUP BY doc_id
+HAVING count(*) FILTER (n > 1) + count(*) FILTER (n = 1 AND drawn) > 0""",
 }

@@ -11,7 +11,7 @@ def data(seed, n=4000):
     return [(None if (r := rng.random()) < 0.1 else 1 if r < 0.3 else 2 if r < 0.35 else rng.randrange(1000), 1) for _ in range(n)]
 
 
-@pytest.mark.parametrize("share,buckets", [(0.01, 0), (0.05, 8), (0.001, 0), (1.0, 0)])
+@pytest.mark.parametrize("share,buckets", [(0.01, 0), (0.05, 8), (0.001, 0), (1.0, 0), (1e-7, 0), (0.0005, 64), (0.3, 1)])
 def test_like_counting(spark, share, buckets):
     rows = data(int(share * 100))
     df = spark.createDataFrame(rows, "value long, n int")
@@ -30,6 +30,6 @@ def test_exact_share_text_and_empty(spark):
 
 def test_bounds(spark):
     df = spark.range(3)
-    for bad in ({"share": 0.0}, {"share": 1e-9}, {"share": 0.5, "buckets": 1000}):
+    for bad in ({"share": 0.0}, {"share": 1.5}, {"share": 0.5, "buckets": 1000}):
         with pytest.raises(ValueError):
             frequent_values(df, "id", **bad)

@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticework.llm.lookalike import CYRILLIC, GREEK, INVISIBLE, SPACES, classes, form, forms, lookalike_pairs
+from latticework.llm.lookalike import CYRILLIC, GREEK, INVISIBLE, SPACES, classes, confusables, form, forms, lookalike_pairs, suspects
+from latticework.llm.lookalike import skeleton as skeleton_of
 
 
 def skeleton(text):
@@ -61,3 +62,38 @@ def test_pairs_and_classes(spark):
     assert sorted(map(tuple, classes(df, "doc_id", "text").collect())) == [(1, 4, 3), (5, 1, 1), (8, 2, 2), (10, 1, 1)]
     assert {r.doc_id: r.form for r in forms(df, "doc_id", "text").collect()} == {1: "scope", 2: "scope", 3: "scope", 4: "scope", 5: "Scope", 6: None, 7: "", 8: "", 9: "", 10: "x"}
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
+
+
+# Written by name, apart from the module's tables.
+NAMED = {
+    "CYRILLIC": {"A": "A", "VE": "B", "IE": "E", "DZE": "S", "BYELORUSSIAN-UKRAINIAN I": "I", "JE": "J", "KA": "K", "EM": "M", "EN": "H", "O": "O", "ER": "P", "ES": "C", "TE": "T", "U": "Y", "HA": "X", "QA": "Q", "WE": "W", "STRAIGHT U": "Y", "KOMI SJE": "G", "IZHITSA": "V"},
+    "GREEK": {"ALPHA": "A", "BETA": "B", "EPSILON": "E", "ZETA": "Z", "ETA": "H", "IOTA": "I", "KAPPA": "K", "MU": "M", "NU": "N", "OMICRON": "O", "RHO": "P", "TAU": "T", "UPSILON": "Y", "CHI": "X", "YOT": "J"},
+}
+
+
+@pytest.mark.parametrize("script", NAMED)
+def test_capitals_by_name(script):
+    for name, latin in NAMED[script].items():
+        ch = unicodedata.lookup(f"{script} CAPITAL LETTER {name}")
+        assert form(ch) == latin and form(f"z{ch}z") == f"z{latin}z"
+    assert form("Ӏ") == "I" and form("Ϲ") == "C"
+
+
+@pytest.mark.parametrize("capital,small", ["Ѕѕ", "Іі", "Јј", "Оо", "Рр", "Сс", "Ее", "Хх", "Ԛԛ", "Ԝԝ", "Ѵѵ", "Ϲϲ", "Ϳϳ", "Οο", "Аа"])
+def test_capitals_and_small_letters_alike(capital, small):
+    assert form(capital).isascii() and form(small) == form(capital).lower()
+
+
+def test_confusables(spark):
+    assert confusables("paypal раураl слово сор сop лz") == (3, 1)
+    assert confusables("plain") == confusables("") == (0, 0)
+    assert confusables("é ñ ΑΒΕ λόγος") == (0, 1)
+    rows = spark.createDataFrame([(1, "plain", 0), (2, "сop", 0), (3, None, 0), (4, "слово", 0), (5, "", 0)], "doc_id long, text string, n_mixed int")
+    assert [tuple(r) for r in suspects(rows, "doc_id", "text").collect()] == [(2, 1, 0)]
+    assert suspects(rows.limit(0), "doc_id", "text").count() == 0
+
+
+@given(LETTERS)
+@settings(max_examples=300, deadline=None)
+def test_skeletons_of_forms(text):
+    assert skeleton_of(form(text)) == skeleton(text)
