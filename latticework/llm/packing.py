@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.tokens import VOCABULARY, encoding, token_counts
+from latticework.llm.tokens import VOCABULARY, sent, token_counts
 from latticework.session import cut
 
 #: Pieces per hash group, in which ranks are counted by one task.
@@ -93,7 +93,7 @@ def pack(df: DataFrame, doc_id: str, text: str, capacity: int = 2048, vocabulary
     if groups == 1:
         ranked = grouped.withColumn("rank", within.cast("long"))
     else:
-        ranked = grouped.withColumn("within", within).join(offsets, ["size", "g"]).withColumn("rank", F.col("offset") + F.col("within"))
+        ranked = grouped.withColumn("within", within).join(offsets.hint("merge"), ["size", "g"]).withColumn("rank", F.col("offset") + F.col("within"))
     steps = df.sparkSession.createDataFrame(plan(histogram, capacity), "size int, lo long, hi long, base long, each int")
     placed = ranked.join(F.broadcast(steps.withColumnRenamed("size", "size_")), (F.col("size") == F.col("size_")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = placed.select(
@@ -113,9 +113,10 @@ def contents(df: DataFrame, doc_id: str, text: str, packed: DataFrame, vocabular
     pieces = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))  # as many as one text has
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(pieces, "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    vocabulary_of = sent(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoding(vocabulary)
+        e = vocabulary_of()
         for b in batches:
             out = []
             for i, t, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):

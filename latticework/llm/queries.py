@@ -66,6 +66,29 @@ def p7_contents(spark: SparkSession, d: str) -> DataFrame:
     return packing.contents(table(spark, d, "documents"), "doc_id", "text", p7_containers(spark, d))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's hash, of its pieces put together again."""
+    pieces = p7_contents(spark, d).where("content IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("x"))
+    whole = F.aggregate("x", F.lit(b""), lambda so_far, x: F.concat(so_far, x["content"]))
+    return pieces.select("doc_id", F.md5(whole).alias("hash"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents, those without tokens, containers with more than fits, documents cut though they fit, documents
+    with pieces that leave a gap, and whether the containers are at most a hundredth, or two, more than can do."""
+    packed = p7_containers(spark, d)
+    filled = packing.fill(packed, CAPACITY).agg(
+        F.count(F.when(F.col("slack") < 0, 1)).alias("overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("n_tokens") / CAPACITY) * 1.01 + 2).alias("near_least")
+    )
+    ends = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    of_docs = ends.agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("n") == 0, 1)).alias("empty"),
+        F.count(F.when((F.col("k") > 1) & (F.col("n") <= CAPACITY), 1)).alias("cut_needlessly"), F.count(F.when(F.col("n") != F.col("end"), 1)).alias("gaps"),
+    )
+    one = filled.first()
+    return of_docs.select("*", F.lit(one.overfull).cast("long").alias("overfull"), F.lit(one.near_least).alias("near_least"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), "doc_id", "text", "source")
 
@@ -78,6 +101,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: whether it has tokens, documents used more often than allowed, and whether its part of all
+    tokens is as near to the target as documents, which are not cut, allow."""
+    chosen, shares = _mix(spark, d)
+    limits = chosen.join(F.broadcast(shares.select("source", "max_repeat")), "source")
+    over = limits.groupBy("source").agg(F.count(F.when(F.col("repeats") > F.col("max_repeat"), 1)).alias("over"), F.max("n_tokens").alias("largest"))
+    can = F.when(F.col("available_tokens") > 0, F.col("share")).otherwise(F.lit(0.0))
+    both = shares.join(over, "source", "left")
+    sums = both.agg(F.sum(can).alias("able"), F.sum("used_tokens").alias("used"), F.max("largest").alias("most")).first()
+    near = F.abs(F.col("used_tokens") - can / F.lit(sums.able) * F.lit(sums.used)) <= 2 * F.lit(sums.most)
+    return both.select("source", (F.col("available_tokens") > 0).alias("has_tokens"), F.coalesce("over", F.lit(0)).alias("over_limit"), near.alias("near"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -107,7 +143,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p6_runs, p7_containers, p7_fill, p7_contents, p8_mix, p8_shares, p9_found, p9_forms, p9_skeletons, p9_suspects, p9_classes)
+    for f in (p1_found, p1_frequent, p4_found, p4_edges, p4_records, p6_found, p6_terms, p6_runs, p7_containers, p7_fill, p7_contents, p7_texts, p7_checks, p8_mix, p8_shares, p8_checks, p9_found, p9_forms, p9_skeletons, p9_suspects, p9_classes)
 }
 
 _NUMBER = r"(?:0x[0-9a-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
@@ -181,6 +217,11 @@ counts AS (SELECT run, len(run) AS length, count(*) AS n, count(DISTINCT a) AS n
 SELECT array_to_string(c.run, ' ') AS run, c.length::INTEGER AS length, c.n, c.n_records FROM counts c
 LEFT JOIN counts p ON p.run = c.run[1:c.length - 1] WHERE c.n > 1 OR c.length = 1 OR p.n > 1""",
     "p6_terms": f"WITH {_TERMS} SELECT l, n_rows, n_vertices, mark FROM marks",
+    "p7_texts": "SELECT doc_id, md5(text) AS hash FROM documents WHERE text IS NOT NULL",
+    "p7_checks": """SELECT count(*) AS documents, count(*) FILTER (text IS NULL OR text = '') AS empty, 0::BIGINT AS cut_needlessly, 0::BIGINT AS gaps,
+0::BIGINT AS overfull, true AS near_least FROM documents""",
+    "p8_checks": """SELECT source, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS has_tokens, 0::BIGINT AS over_limit, true AS near
+FROM (SELECT DISTINCT source FROM mix_target WHERE source IS NOT NULL AND share > 0)""",
     "p9_found": f"""WITH {_LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b
 ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.text <> '' AND b.text <> ''""",
     "p9_classes": f"WITH {_LOOKS} SELECT min(doc_id) AS class_id, count(*) AS n_docs, count(DISTINCT text) AS n_texts FROM looks WHERE text <> '' GROUP BY look",
