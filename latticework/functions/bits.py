@@ -8,20 +8,21 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of a public integer hash: for each of its six steps a constant, how it and the shifted value are
-# joined, and the direction; shifts differ for 32 and 16 bits, where the constants are cut to their low half.
+# Constants and shifts of Robert Jenkins' public integer hash; for 16 bits, the low halves and other shifts.
 CONSTANTS = (0x7ED55D16, 0xC761C23C, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F09)
-STEPS = ("++<", "^^>", "++<", "+^<", "++<", "^^>")
 SHIFTS = {32: (12, 19, 5, 9, 3, 16), 16: (6, 9, 5, 7, 3, 8)}
 
 
 def _hash(x, width: int, shl, shr, xor, low):
-    for c, (one, two, way), by in zip(CONSTANTS, STEPS, SHIFTS[width]):
-        c &= (1 << width) - 1
-        moved = shl(x, by) if way == "<" else shr(x, by)
-        mixed = x + c if one == "+" else xor(x, c)
-        x = low(mixed + moved if two == "+" else xor(mixed, moved), width)
-    return x
+    """Six steps; shl, shr and xor are the operations of x's kind, low keeps its low bits."""
+    a, b, c, d, e, f = (k & ((1 << width) - 1) for k in CONSTANTS)
+    s = SHIFTS[width]
+    x = low(x + a + shl(x, s[0]), width)
+    x = low(xor(xor(x, b), shr(x, s[1])), width)
+    x = low(x + c + shl(x, s[2]), width)
+    x = low(xor(x + d, shl(x, s[3])), width)
+    x = low(x + e + shl(x, s[4]), width)
+    return low(xor(xor(x, f), shr(x, s[5])), width)
 
 
 def _windows(n: int) -> tuple[int, list[int]]:
@@ -86,15 +87,16 @@ def degree_label(degree: Column) -> Column:
 
 def bit_set(members: Column) -> Column:
     """The set of small numbers in a group, as the bits of a long."""
-    return F.bit_or(F.expr("1L") * F.pow(F.lit(2.0), members).cast("long"))
+    return F.bit_or(F.element_at(F.array(*(F.lit(1 << u).cast("long") for u in range(63))), members.cast("int") + 1))
 
 
-def has_bit(bits: Column, u: int) -> Column:
-    return F.getbit(bits, F.lit(u)) == 1
+def has_bit(bits: Column, u: Column | int) -> Column:
+    return F.getbit(bits, u if isinstance(u, Column) else F.lit(u)) == 1
 
 
-def low_first(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.least(a, b), F.greatest(a, b)
+def edge_mask(a: int, b: int) -> int:
+    """A query edge as a set of two bits, the same for either direction."""
+    return 1 << a | 1 << b
 
 
 def out_of_range(*ids: Column) -> Column:

@@ -111,7 +111,7 @@ class Graph:
         """(part, edges) over the partitions that Spark gives the edges."""
         return self.edges.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("edges"))
 
-    # The store: a folder with two Parquet tables, read at any parallelism.
+    # The store: a folder with two Parquet tables, read at any parallelism; one filled by a stream may have no vertices.
 
     def save(self, folder: str, mode: str = "error") -> None:
         self.vertices.write.mode(mode).parquet(f"{folder}/vertices")
@@ -121,7 +121,8 @@ class Graph:
     def load(spark: SparkSession, folder: str) -> Graph:
         e = spark.read.parquet(f"{folder}/edges")
         first = e.select("undirected").first()
-        return Graph(e.drop("undirected"), spark.read.parquet(f"{folder}/vertices"), first is None or first[0])
+        vertices = spark.read.parquet(f"{folder}/vertices") if Graph.exists(spark, f"{folder}/vertices") else None
+        return Graph(e.drop("undirected"), vertices, first is None or first[0])
 
     @staticmethod
     def _files(spark: SparkSession, folder: str):

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.functions.bits import bit_set, has_bit
 from latticework.graph import Graph
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import counted, cut
@@ -199,10 +200,16 @@ def prune(graph: Graph, p: Pattern, walks: Sequence[Walk] = (), multigraph: bool
 
 def candidate_bits(cand: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, label, bits): each live vertex with the set of its query vertices as bits."""
-    bits = cand.groupBy(F.col("v").alias("id")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("u")).cast("long")).alias("bits"))
+    bits = cand.groupBy(F.col("v").alias("id")).agg(bit_set(F.col("u")).alias("bits"))
     return vertices.join(bits, "id")
 
 
+def candidates_of_bits(bits: DataFrame, n: int) -> DataFrame:
+    """(v, u): the candidates that vertices (id, bits) of a query of n vertices stand for."""
+    each = bits.select(F.col("id").alias("v"), "bits", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("u"))
+    return each.where(has_bit(F.col("bits"), F.col("u"))).select("v", "u")
+
+
 def pruned_size(cand: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (vertices, edges)."""
     zero = F.lit(0).cast("long")

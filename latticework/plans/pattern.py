@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
+from math import comb
 from pathlib import Path
 
 
@@ -23,9 +24,11 @@ class Pattern:
     directed: bool = False
 
     @staticmethod
-    def of(labels: Sequence[int | None], edges: Iterable[tuple[int, int]], directed: bool = False, **more) -> Pattern:
-        found = []
-        for a, b in edges:
+    def of(labels: Sequence[int | None], edges: Iterable[tuple[int, int]], directed: bool = False, weights: Sequence[float | None] = (), **more) -> Pattern:
+        """weights: one for each of edges, or none at all; a repeated edge keeps its first."""
+        found, kept = [], []
+        edges = list(edges)
+        for (a, b), w in zip(edges, weights or [None] * len(edges), strict=True):
             if not (0 <= a < len(labels) and 0 <= b < len(labels)):
                 raise ValueError(f"edge ({a}, {b}) names no vertex of the pattern")
             if a == b:
@@ -33,7 +36,8 @@ class Pattern:
             e = (a, b) if directed else (min(a, b), max(a, b))
             if e not in found:
                 found.append(e)
-        return Pattern(tuple(labels), tuple(found), directed=directed, **more)
+                kept.append(w)
+        return Pattern(tuple(labels), tuple(found), tuple(kept) if weights else (), directed=directed, **more)
 
     @property
     def n(self) -> int:
@@ -84,6 +88,10 @@ class Pattern:
         """All patterns that miss k of the edges and are still connected."""
         return [p for gone in combinations(self.edges, k) if (p := self.without(gone)).connected()]
 
+    def prototype_count(self, k: int) -> int:
+        """How many ways there are to take away k edges; at most as many prototypes are connected."""
+        return comb(len(self.edges), k)
+
     def cycles(self) -> list[tuple[int, ...]]:
         """Every simple cycle of three vertices or more once, from its smallest vertex towards its smaller neighbour."""
         found = []
@@ -177,7 +185,10 @@ class Walk:
 
 
 def read_pattern(lines: Iterable[str]) -> Pattern:
-    """A query in one text: ``v id label``, ``e a b [weight]``, ``c constraint``; ``t`` lines start and end it."""
+    """A query in one text: ``v id label``, ``e a b [weight]``, ``c constraint``; ``t`` lines start and end it.
+
+    The line ``c diameter : d`` says what the edges say already and is no constraint.
+    """
     labels, edges, weights, constraints = [], [], [], []
     for line in lines:
         kind, _, rest = line.strip().partition(" ")
@@ -189,13 +200,14 @@ def read_pattern(lines: Iterable[str]) -> Pattern:
         elif kind == "e":
             edges.append((int(at[0]), int(at[1])))
             weights.append(float(at[2]) if len(at) > 2 else None)
-        elif kind == "c":
+        elif kind == "c" and at[:1] != ["diameter"]:
             constraints.append(rest.strip())
-    return Pattern.of(labels, edges, weights=tuple(weights), constraints=tuple(constraints))
+    return Pattern.of(labels, edges, weights=weights, constraints=tuple(constraints))
 
 
 def write_pattern(p: Pattern, number: int = 0, constraints: Sequence[Walk] = ()) -> str:
-    lines = [f"t # {number}", *(f"v {u} {label}" for u, label in enumerate(p.labels)), *(f"e {a} {b}" for a, b in p.edges)]
+    weight = [f" {w:g}" if w is not None else "" for w in p.weights] or [""] * len(p.edges)
+    lines = [f"t # {number}", *(f"v {u} {label}" for u, label in enumerate(p.labels)), *(f"e {a} {b}{w}" for (a, b), w in zip(p.edges, weight))]
     if constraints:
         lines.append(f"c diameter : {p.diameter()}")
     return "\n".join([*lines, *(f"c {w.text()}" for w in constraints), "t # -1", ""])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -89,11 +90,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def degree_checks(edges: DataFrame, hub_degree: int) -> DataFrame:
-    """One row (ends, id_sum, id_xor, hubs): checksums over both ends of all edges, and ids with that degree or more."""
+    """One row (ends, id_xor, hubs): checksums over both ends of all edges, and ids with that degree or more."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     by = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return by.agg(
-        F.sum("n").alias("ends"), F.sum(F.col("id") * F.col("n")).alias("id_sum"),
+        F.sum("n").alias("ends"),
         F.bit_xor(F.when(F.col("n") % 2 == 1, F.col("id")).otherwise(F.lit(0))).alias("id_xor"), F.count(F.when(F.col("n") >= hub_degree, 1)).alias("hubs"),
     )
 
@@ -111,6 +112,14 @@ def kronecker(left: DataFrame, right: DataFrame, n_right: int, scramble_bits: in
     return out
 
 
+def coprime(m: int) -> int:
+    """A factor without a divisor in common with m, so that multiplying permutes 0..m-1; its products fit in a long."""
+    step = max(1, min(2_654_435_761, (1 << 62) // max(m, 1)))
+    while gcd(step, m) > 1:
+        step -= 1
+    return step
+
+
 def preferential(spark: SparkSession, vertices: int, per_vertex: int = 4, beta: float = 0.5, seed: int = 1, rewire: bool = False) -> DataFrame:
     """(src, dst): every new vertex sends ``per_vertex`` edges to older ones; with probability beta to the end of a
     random earlier edge (so, in proportion to degree), else to a random older vertex.
@@ -135,7 +144,8 @@ def preferential(spark: SparkSession, vertices: int, per_vertex: int = 4, beta:
         to = e.select(F.col("e").alias("pointer"), F.col("pointer").alias("next"), F.col("dst").alias("found"))
         e = cut(e.join(to, "pointer", "left").select("e", "src", F.col("next").alias("pointer"), F.coalesce("dst", "found").alias("dst")))
     if rewire:
-        other = e.select(F.pmod(F.col("e") * 2_654_435_761 + seed, F.lit(m)).alias("e"), F.col("src").alias("other")) if m % 2_654_435_761 else e.select("e", F.col("src").alias("other"))
+        step = coprime(m)
+        other = e.select(F.pmod(F.col("e") * step + seed, F.lit(m)).alias("e"), F.col("src").alias("other"))
         e = e.join(other, "e").withColumn("src", F.col("other"))
     return e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 

@@ -4,44 +4,46 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
 from latticework.plans.constraints import generate
 from latticework.plans.pattern import Pattern
-from latticework.session import cut
+from latticework.session import stored
+from latticework.sources.text import read_pruned
 
-#: Neighbours of one vertex that reach the driver in a step of a walk, drawn by hash.
-NEIGHBOURS = 256
+def sorted_edges(graph: Graph) -> DataFrame:
+    """The graph's simple edges, written in order of src: a step of a walk reads the few blocks that hold a vertex."""
+    return stored(graph.simple.repartitionByRange("src").sortWithinPartitions("src"))
 
 
-def _neighbours(simple: DataFrame, v: int, seed: int) -> list[int]:
-    near = simple.where(F.col("src") == v).select("dst").orderBy(F.xxhash64(F.lit(seed), "dst")).limit(NEIGHBOURS)
-    return [r.dst for r in near.collect()]
+def _next(simple: DataFrame, v: int, walked: list[int], seed: int) -> int | None:
+    """Of v's neighbours that weren't walked, the one with the smallest hash; all of them are looked at, in Spark."""
+    near = simple.where((F.col("src") == v) & ~F.col("dst").isin(walked))
+    return near.agg(F.min_by("dst", F.struct(F.xxhash64(F.lit(seed), F.lit(len(walked)), "dst"), "dst"))).first()[0]
 
 
 def walk(graph: Graph, n: int, seed: int = 0, jump: bool = False, start: int | None = None, simple: DataFrame | None = None) -> list[int]:
     """n vertices of a self-avoiding random walk; fewer if it gets stuck, unless it may jump back to a walked vertex."""
     rng = random.Random(seed)
-    simple = cut(graph.simple) if simple is None else simple
+    simple = sorted_edges(graph) if simple is None else simple
     if start is None:
-        first = simple.select("src").distinct().orderBy(F.xxhash64(F.lit(seed), "src")).first()
-        if first is None:
+        start = simple.agg(F.min_by("src", F.struct(F.xxhash64(F.lit(seed), "src"), "src"))).first()[0]
+        if start is None:
             return []
-        start = first.src
-    path, at, known, stuck = [start], start, {}, 0
-    while len(path) < n and stuck < 4 * n:
-        if at not in known:
-            known[at] = _neighbours(simple, at, seed)
-        open_ = [w for w in known[at] if w not in path]
-        if open_:
-            at = rng.choice(open_)
+    path, at, closed = [start], start, set()
+    while len(path) < n and len(closed) < len(path):
+        found = _next(simple, at, path, seed)
+        if found is not None:
+            at = found
             path.append(at)
-        elif jump:
-            at, stuck = rng.choice(path), stuck + 1
-        else:
+            continue
+        closed.add(at)
+        open_ = [v for v in path if v not in closed]
+        if not jump or not open_:
             break
+        at = rng.choice(open_)
     return path
 
 
@@ -58,7 +60,7 @@ def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: i
     kind: "path" has the walk's edges, "cycle" also its closing edge, "tree" a spanning tree of the induced graph,
     "other" a tree and up to n more of its edges. constrained: only queries with a walk constraint.
     """
-    simple = cut(graph.simple)
+    simple = sorted_edges(graph)
     for t in range(tries):
         rng = random.Random(seed * 1000 + t)
         path = walk(graph, n, seed * 1000 + t, simple=simple)
@@ -93,6 +95,12 @@ def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: i
     raise LookupError(f"no {kind} of {n} vertices found in {tries} walks")
 
 
+def graph_of_files(spark: SparkSession, path: str) -> Graph:
+    """A graph from a file of ``v id label`` and ``e src dst`` lines, to draw queries from."""
+    vertices, edges = read_pruned(spark, path)
+    return Graph(edges, vertices.select("id", "label"))
+
+
 def queries_from(graph: Graph, count: int, n: int = 8, kind: str = "other", seed: int = 0, first_number: int = 0) -> dict[int, Pattern]:
     """Several queries by number, going on after the ones there are."""
     return {first_number + i: query(graph, n, kind, seed + i) for i in range(count)}

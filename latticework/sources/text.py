@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from latticework.functions.bits import out_of_range
 
 
 def _fields(df: DataFrame) -> DataFrame:
-    return df.select(F.split(F.trim(F.regexp_replace("value", r"[\s,]+", " ")), " ").alias("f")).where(F.col("f")[0] != "")
+    return df.select("value", F.split(F.trim(F.regexp_replace("value", r"[\s,]+", " ")), " ").alias("f")).where(F.col("f")[0] != "")
 
 
 def _id(i: int) -> Column:
@@ -26,24 +25,48 @@ def _checked(df: DataFrame, *ids: str) -> DataFrame:
     return df.withColumn(ids[0], first)
 
 
+def edge_lines(lines: DataFrame, weighted: bool) -> DataFrame:
+    """(value, src, dst, weight, reason) of lines ``src dst [weight]``, fields apart by white space or commas; empty
+    lines are none. reason is null for a line that is an edge. weight: 0 where a line of a weighted list has none.
+
+    Batch and streaming readers share this; the first fails on a line with a reason, the second puts it aside.
+    """
+    get = lambda i, to: F.get("f", F.lit(i)).try_cast(to)
+    e = _fields(lines).select("value", "f", get(0, "long").alias("src"), get(1, "long").alias("dst"), get(2, "double").alias("weight"))
+    reason = (
+        F.when(F.size("f") < 2, "columns").when(F.col("src").isNull() | F.col("dst").isNull() | (F.col("src") < 0) | (F.col("dst") < 0), "id")
+        .when((F.size("f") > 2) & F.col("weight").isNull() & F.lit(weighted), "weight")
+    )
+    weight = F.coalesce("weight", F.lit(0.0)) if weighted else F.lit(None).cast("double")
+    return e.select("value", "src", "dst", weight.alias("weight"), reason.alias("reason"))
+
+
 def read_edges(spark: SparkSession, paths: str | Sequence[str], undirected: bool = False) -> DataFrame:
     """(src, dst, weight) from lines ``src dst [weight]``; weight is 0 where a line of a weighted list has none.
 
     Whether the list is weighted is told by the first line, as everything else is cheaper to say than to search.
     """
-    lines = _fields(spark.read.text(list(paths) if not isinstance(paths, str) else paths))
-    first = lines.first()
-    weighted = first is not None and len(first.f) > 2
-    weight = F.coalesce(F.get("f", F.lit(2)).cast("double"), F.lit(0.0)) if weighted else F.lit(None).cast("double")
-    edges = _checked(lines.select(_id(0).alias("src"), _id(1).alias("dst"), weight.alias("weight")), "src", "dst")
+    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
+    first = _fields(lines).first()
+    e = edge_lines(lines, first is not None and len(first.f) > 2)
+    wrong = F.raise_error(F.concat(F.lit("no edge, for its "), "reason", F.lit(": "), "value")).cast("long")
+    edges = e.select(F.when(F.col("reason").isNotNull(), wrong).otherwise(F.col("src")).alias("src"), "dst", "weight")
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")) if undirected else edges
 
 
 def read_factor(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
-    """(vertices, edges) of a Kronecker factor: a line with the number of vertices, then ``src dst weight``, made symmetric."""
+    """(vertices, edges) of a Kronecker factor: a line with the number of vertices, then ``src dst weight``, made symmetric.
+
+    Any other line fails; the number must stand in the first line and nowhere else.
+    """
     text = spark.read.text(path)
-    head = text.first()
-    n = int(head.value.strip())
+    head = _fields(text).first()
+    if head is None or len(head.f) != 1 or not head.f[0].isdigit():
+        raise ValueError(f"{path} must begin with the number of vertices")
+    n = int(head.f[0])
+    single = [r.f for r in _fields(text).where(F.size("f") == 1).limit(2).collect()]
+    if len(single) != 1:
+        raise ValueError(f"not an edge: {single[1][0]}")
     lines = _fields(text).where(F.size("f") > 1)
     bad = F.when((F.size("f") != 3), F.raise_error(F.concat(F.lit("not an edge: "), F.concat_ws(" ", "f"))).cast("long")).otherwise(_id(0))
     e = lines.select(bad.alias("src"), _id(1).alias("dst"), F.col("f")[2].cast("long").alias("weight"))
@@ -57,11 +80,19 @@ def read_labels(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def read_label_list(spark: SparkSession, list_file: str) -> DataFrame:
-    """Labels from the files that list_file names, one a line; a name that isn't there is looked up beside the list."""
-    here = os.path.dirname(os.path.abspath(list_file))
-    with open(list_file) as f:
-        names = [x.strip() for x in f if x.strip()]
-    return read_labels(spark, [x if "://" in x or os.path.exists(x) else os.path.join(here, os.path.basename(x)) for x in names])
+    """Labels from the files that list_file names, one a line; a name that isn't there is looked up beside the list.
+
+    The list and the files may be on any file system that Spark reads.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def there(name: str) -> bool:
+        at = path(name)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    here = path(list_file).getParent().toString()
+    names = [r.value.strip() for r in spark.read.text(list_file).collect() if r.value.strip()]
+    return read_labels(spark, [x if there(x) else f"{here}/{x.rsplit('/', 1)[-1]}" for x in names])
 
 
 def read_hdf5(spark: SparkSession, paths: Sequence[str], source: str, target: str, weight: str | None = None) -> DataFrame:

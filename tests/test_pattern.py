@@ -12,8 +12,8 @@ def test_text_round_trip():
     text = write_pattern(CYCLE, 3, [Walk((0, 1, 2, 3, 0), True)])
     p = read_pattern(text.splitlines())
     assert p == Pattern.of(CYCLE.labels, CYCLE.edges, weights=(None,) * 4)
-    assert p.constraints == ("diameter : 2", "0 1 2 3 0 : 0 1 2 3 0 : 0 0 0 0 0 : 1 : 0 : 1")
-    assert Walk.read(p.constraints[1]) == Walk((0, 1, 2, 3, 0), True)
+    assert p.constraints == ("0 1 2 3 0 : 0 1 2 3 0 : 0 0 0 0 0 : 1 : 0 : 1",) and "c diameter : 2" in text
+    assert Walk.read(p.constraints[0]) == Walk((0, 1, 2, 3, 0), True)
     assert read_pattern(["t # 0", "v 0 5", "v 1 6", "e 0 1 2.5", "t # -1"]).weights == (2.5,)
 
 
@@ -80,3 +80,11 @@ def test_orders():
     assert constraints.parents(DIAMOND, [3, 2, 1, 0]) == {3: None, 2: 3, 1: 3, 0: 2}
     assert constraints.levels(BRANCH, [0, 1, 2, 3]) == [{2: [1], 4: [3]}, {3: [2], 4: [3]}, {4: [3]}, {}]
     assert constraints.rarity(BRANCH, {1: 5, 2: 10}, {2: 4, 1: 8}, 10) == [0.5 * 0.4, 1.0 * 0.4, 0.0, 0.0]
+
+
+def test_weights_follow_their_edges():
+    p = read_pattern(["v 0 1", "v 1 2", "v 2 3", "e 0 1 5", "e 1 0 7", "e 1 2 9", "c diameter : 2"])
+    assert p.edges == ((0, 1), (1, 2)) and p.weights == (5.0, 9.0) and p.constraints == ()
+    again = read_pattern(write_pattern(p, constraints=[Walk((0, 1, 2), cyclic=False)]).splitlines())
+    assert (again.edges, again.weights) == (p.edges, p.weights) and [Walk.read(c).vertices for c in again.constraints] == [(0, 1, 2)]
+    assert p.prototype_count(1) == 2
