@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.bits import one_hot
 from latticework.plans.pattern import Pattern
+from latticework.session import stored
 
 HOPS = 3
 
@@ -42,68 +43,140 @@ def ego_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def grown_samples(edges: DataFrame, centres: DataFrame, largest: int = 29, smallest: int = 3, seed: int = 0) -> DataFrame:
-    """(v, id): a connected node set around each centre, of a random size; it grows by the neighbours with the smallest hashes.
+    """(v, id, full): a connected node set around each centre, of a random size; it grows by the neighbours with the smallest hashes.
 
-    Every round adds to each set the not yet chosen neighbours up to its size, so all sets grow at once.
+    Every round adds to each set the not yet chosen neighbours, a third of its size at most, so all sets grow at once,
+    until each has its size or no neighbour is left. full: whether it has; where whole sets are wanted, take these.
     """
-    want = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(largest - smallest + 1)) + smallest).alias("want")
-    chosen = centres.select("v", F.col("v").alias("id"))
-    w = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "v", "id"))
-    for _ in range(4):
-        near = chosen.join(edges.withColumnRenamed("src", "id"), "id").select("v", F.col("dst").alias("id")).distinct()
+    size = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(largest - smallest + 1)) + smallest).alias("want")
+    chosen = stored(centres.select("v", F.col("v").alias("id")).distinct())
+    w = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "v", "id"), "id")
+    while True:
+        have = chosen.groupBy("v").agg(F.count(F.lit(1)).alias("have")).select("v", "have", size)
+        open_ = chosen.join(have.where("have < want"), "v")
+        near = open_.join(edges.withColumnRenamed("src", "id"), "id").select("v", F.col("dst").alias("id"), "have", "want").distinct()
         near = near.join(chosen, ["v", "id"], "left_anti")
-        have = chosen.groupBy("v").agg(F.count(F.lit(1)).alias("have")).select("v", "have", want)
-        more = near.withColumn("r", F.row_number().over(w)).join(have, "v").where("have + r <= want AND r <= greatest(1, want div 3)")
-        chosen = chosen.unionByName(more.select("v", "id"))
-    return chosen
+        more = near.withColumn("r", F.row_number().over(w)).where("have + r <= want AND r <= greatest(1, want div 3)")
+        more = stored(more.select("v", "id"))
+        if more.isEmpty():
+            return chosen.join(have.select("v", (F.col("have") == F.col("want")).alias("full")), "v").select("v", "id", "full")
+        chosen = stored(chosen.unionByName(more))
+
+
+#: Labels from which negative centres are drawn, one vertex each.
+POOL = 256
 
 
 def with_negatives(centres: DataFrame, vertices: DataFrame, seed: int = 0) -> DataFrame:
     """(v, other, positive): each centre with itself, and with a vertex of another label drawn by hash.
 
-    Labels are put in a ring and a centre takes a vertex of the next label; no two tables are paired row by row.
+    Negatives come from a pool of one vertex for each of up to POOL labels, both drawn by hash; a centre that meets its
+    own label takes the next of the pool. The pool is broadcast; no two tables are paired row by row.
     """
-    pick = vertices.groupBy("label").agg(F.min_by("id", F.xxhash64(F.lit(seed), "id")).alias("other"))
-    labels = pick.withColumn("one", F.lit(1))
-    ring = Window.partitionBy("one").orderBy("label")  # one row per label
-    first = F.first("other").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ring_rows = labels.select("label", F.coalesce(F.lead("other").over(ring), first).alias("other"))
+    drawn = vertices.groupBy("label").agg(F.min_by("id", F.struct(F.xxhash64(F.lit(seed), "id"), "id")).alias("other"))
+    pool = drawn.orderBy(F.xxhash64(F.lit(seed), "label"), "label").limit(POOL).collect()
     v = centres.join(vertices.withColumnRenamed("id", "v"), "v")
-    neg = v.join(ring_rows, "label").where(F.col("other") != F.col("v")).select("v", "other", F.lit(False).alias("positive"))
-    return v.select("v", F.col("v").alias("other"), F.lit(True).alias("positive")).unionByName(neg)
+    out = v.select("v", F.col("v").alias("other"), F.lit(True).alias("positive"))
+    if len(pool) < 2:
+        return out
+    near = F.broadcast(vertices.sparkSession.createDataFrame([(i, r.label, r.other, pool[(i + 1) % len(pool)].other) for i, r in enumerate(pool)], "at int, its long, first long, second long"))
+    neg = v.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), F.lit("pool"), "v"), F.lit(len(pool))).cast("int")).join(near, "at")
+    other = F.when(F.col("label") == F.col("its"), F.col("second")).otherwise(F.col("first"))
+    return out.unionByName(neg.select("v", other.alias("other"), F.lit(False).alias("positive")))
+
+
+def relu(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, 0)
+
+
+def leaky(x: np.ndarray, slope: float = 0.1) -> np.ndarray:
+    return np.where(x > 0, x, slope * x)
+
+
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max()
+    return x - np.log(np.exp(x).sum())
+
 
+def _gather(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Each node's sum over its incoming neighbours."""
+    out = np.zeros_like(x)
+    if len(edges):
+        np.add.at(out, edges[:, 1], x[edges[:, 0]])
+    return out
 
-def gin_embedding(features: np.ndarray, edges: np.ndarray, weights: Mapping[str, np.ndarray], layers: int = 4) -> np.ndarray:
-    """The sum-pooled embedding of one graph by an isomorphism network: in each layer a node's state and its
-    neighbours' are summed and pass two linear maps with a leaky ramp; every layer also sees all layers before it.
 
-    weights: ``pre.w, pre.b``, for each layer i ``i.w1, i.b1, i.w2, i.b2``, then ``post.w, post.b``.
+def _convolve(kind: str, x: np.ndarray, edges: np.ndarray, linear: Callable[[str, np.ndarray], np.ndarray]) -> np.ndarray:
+    """One convolution. GIN: two linear maps of a node's state and its neighbours' sum. SAGE: a linear map of the
+    neighbours' mapped sum beside the node's state. GCN: a linear map summed with both ends' degrees as norm."""
+    if kind == "GIN":
+        return linear("2", relu(linear("1", x + _gather(x, edges))))
+    if kind == "SAGE":
+        return linear("2", np.concatenate([_gather(linear("1", x), edges), x], axis=1))
+    if kind == "GCN":
+        own = np.arange(len(x))
+        both = np.concatenate([edges, np.stack([own, own], axis=1)])
+        norm = 1 / np.sqrt(np.bincount(both[:, 1], minlength=len(x)))[:, None]
+        return linear("1", _gather(x * norm, both) * norm)  # mapped after the sum, which is the same
+    raise ValueError(kind)
+
+
+def graph_embedding(features: np.ndarray, edges: np.ndarray, weights: Mapping[str, np.ndarray], layers: int = 4, kind: str = "GIN", skip: str = "all") -> np.ndarray:
+    """The sum-pooled embedding of one graph (features of its nodes; edges in both directions, no loops).
+
+    A linear map, then layers of convolutions, each followed by a ramp; with skip "all" a layer sees the states of all
+    layers before it side by side, with "learnable" each of them times the sigmoid of a weight, with "none" the last
+    one. All states are summed over the nodes and pass a head of four linear maps with a leaky ramp and two ramps.
+
+    weights: ``pre``, ``<layer>.1`` and ``<layer>.2``, ``post.1`` to ``post.4``, each as ``.w`` (inputs x outputs) and
+    ``.b``; ``skip`` (layers x layers) if learnable.
     """
-    ramp = lambda x: np.where(x > 0, x, 0.1 * x)
-    x = features @ weights["pre.w"] + weights["pre.b"]
+    def linear(name: str) -> Callable:
+        return lambda x: x @ weights[f"{name}.w"] + weights[f"{name}.b"]
+
+    edges = edges[edges[:, 0] != edges[:, 1]] if len(edges) else edges.reshape(0, 2)
+    x = linear("pre")(features)
     seen = [x]
     for i in range(layers):
-        x = np.concatenate(seen, axis=1)
-        near = np.zeros_like(x)
-        if len(edges):
-            np.add.at(near, edges[:, 1], x[edges[:, 0]])
-        x = ramp(ramp((x + near) @ weights[f"{i}.w1"] + weights[f"{i}.b1"]) @ weights[f"{i}.w2"] + weights[f"{i}.b2"])
+        if skip == "learnable":
+            parts = [s / (1 + np.exp(-weights["skip"][i, k])) for k, s in enumerate(seen)]
+        else:
+            parts = seen if skip == "all" else seen[-1:]
+        x = relu(_convolve(kind, np.concatenate(parts, axis=1), edges, lambda name, y: linear(f"{i}.{name}")(y)))  # noqa: B023
         seen.append(x)
-    return np.concatenate(seen, axis=1).sum(axis=0) @ weights["post.w"] + weights["post.b"]
+    out = leaky(linear("post.1")(np.concatenate(seen, axis=1).sum(axis=0)))
+    out = relu(linear("post.2")(out))
+    return linear("post.4")(relu(linear("post.3")(out)))
 
 
 def pair_probability(data: np.ndarray, query: np.ndarray, weights: Mapping[str, np.ndarray]) -> float:
     """The probability that the query's neighbourhood is contained in the data's, by a two-layer classifier."""
-    x = np.concatenate([data, query])
-    x = np.maximum(x @ weights["mlp.w1"] + weights["mlp.b1"], 0) @ weights["mlp.w2"] + weights["mlp.b2"]
-    x = x - x.max()
-    return float(np.exp(x[1]) / np.exp(x).sum())
-
-
-def gin_score(weights: Mapping[str, np.ndarray], width: int, layers: int = 4) -> Callable[[pd.DataFrame, pd.DataFrame, Pattern, int], float]:
-    """score(nodes(id, label), edges(src, dst), pattern, u) by a network with these weights."""
+    x = relu(np.concatenate([data, query]) @ weights["mlp.1.w"] + weights["mlp.1.b"])
+    return float(np.exp(log_softmax(x @ weights["mlp.2.w"] + weights["mlp.2.b"])[1]))
+
+
+def weights_of_state(state: Mapping[str, np.ndarray], layers: int = 4, kind: str = "GIN") -> dict[str, np.ndarray]:
+    """The weights above from the arrays of a trained model's saved state, by the state's own names."""
+    inner = {"GIN": ("nn.0", "nn.2"), "SAGE": ("lin", "lin_update"), "GCN": ("lin",)}[kind]
+    names = {"pre": "emb_model.pre_mp.0", "mlp.1": "mlp.0", "mlp.2": "mlp.2"}
+    names |= {f"post.{i + 1}": f"emb_model.post_mp.{at}" for i, at in enumerate((0, 3, 5, 7))}
+    names |= {f"{i}.{k + 1}": f"emb_model.convs.{i}.{n}" for i in range(layers) for k, n in enumerate(inner)}
+    out = {}
+    for ours, theirs in names.items():
+        out[f"{ours}.w"] = np.asarray(state[f"{theirs}.weight"]).T
+        bias = f"{theirs}.bias" if f"{theirs}.bias" in state else f"{theirs.removesuffix('.lin')}.bias"
+        out[f"{ours}.b"] = np.asarray(state[bias])
+    if "emb_model.learnable_skip" in state:
+        out["skip"] = np.asarray(state["emb_model.learnable_skip"])
+    return out
+
+
+def gin_score(weights: Mapping[str, np.ndarray], width: int, layers: int = 4, kind: str = "GIN", skip: str = "all", least_label: int = 0) -> Callable[[pd.DataFrame, pd.DataFrame, Pattern, int], float]:
+    """score(nodes(id, label), edges(src, dst), pattern, u) by a network with these weights; a label is told to it as
+    one of ``width``, counted from least_label."""
     def embed(labels: list[int], edges: list[tuple[int, int]]) -> np.ndarray:
-        return gin_embedding(one_hot(labels, width), np.array(edges, dtype=np.int64).reshape(-1, 2), weights, layers)
+        features = one_hot([x - least_label for x in labels], width)
+        return graph_embedding(features, np.array(edges, dtype=np.int64).reshape(-1, 2), weights, layers, kind, skip)
 
     def score(nodes: pd.DataFrame, edges: pd.DataFrame, p: Pattern, u: int) -> float:
         at = {v: i for i, v in enumerate(nodes["id"])}
@@ -159,17 +232,26 @@ def evaluation(found: DataFrame, truth: DataFrame, universe: DataFrame) -> DataF
     return s.select("*", part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(tp + tn, tp + fp + fn + tn).alias("accuracy"))
 
 
-def ranking_quality(scored: DataFrame, digits: int = 6) -> DataFrame:
-    """One row (auroc, average_precision) of (score, positive) pairs, scores from 0 to 1; equal scores count half.
+def ranking_quality(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    """One row (auroc, average_precision) of (score, positive) pairs; equal scores count half.
 
-    It is computed from counts per score, rounded to ``digits``, so that what is put in order is bounded.
+    Different scores are counted, range-partitioned and summed within their partition; a partition goes on from the
+    totals of those before it. digits: scores are rounded first, where so many are not wanted.
     """
-    by = scored.groupBy(F.round("score", digits).alias("score")).agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("q"))
-    total = by.agg(F.sum("p"), F.sum("q")).first()
-    up = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # over the different scores only
-    c = by.withColumn("tp", F.sum("p").over(up)).withColumn("fp", F.sum("q").over(up))
-    area = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (total[0] * total[1]) if total[0] and total[1] else F.lit(None).cast("double")
-    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / total[0] if total[0] else F.lit(None).cast("double")
+    score = F.col("score") if digits is None else F.round("score", digits).alias("score")
+    by = scored.select(score.cast("double").alias("score"), F.col("positive").cast("long").alias("p")).groupBy("score")
+    by = by.agg(F.sum("p").alias("p"), (F.count(F.lit(1)) - F.sum("p")).alias("q"))
+    by = stored(by.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()))
+    sums = {r.part: (r.p, r.q) for r in by.groupBy("part").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()}  # one row a partition
+    p = q = 0
+    before = []
+    for part in sorted(sums):
+        before.append((part, p, q))
+        p, q = p + sums[part][0], q + sums[part][1]
+    up = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    c = by.join(F.broadcast(scored.sparkSession.createDataFrame(before, "part int, p0 long, q0 long")), "part")
+    c = c.withColumn("tp", F.col("p0") + F.sum("p").over(up)).withColumn("fp", F.col("q0") + F.sum("q").over(up))
+    none = F.lit(None).cast("double")
+    area = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)) / (float(p) * q) if p and q else none
+    ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / p if p else none
     return c.agg(area.alias("auroc"), ap.alias("average_precision"))
-
-

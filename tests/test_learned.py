@@ -38,27 +38,97 @@ def test_samples(spark):
     edges, labels = random_graph(7, n=40, m=120)
     g = graph(spark, edges, labels)
     c = g.vertices.select(g.vertices.id.alias("v"))
-    near, by = adjacency(edges), {}
-    for v, x in rows(L.grown_samples(g.simple, c, largest=9)):
+    near, by, full = adjacency(edges), {}, {}
+    for v, x, done in rows(L.grown_samples(g.simple, c, largest=9)):
         by.setdefault(v, set()).add(x)
+        full[v] = done
     for v, some in by.items():
         assert v in some and len(some) <= 9
         seen, front = {v}, [v]
         while front:
             front = [w for x in front for w in near.get(x, ()) if w in some and w not in seen and not seen.add(w)]
         assert seen == some
+        assert full[v] or all(w in some for x in some for w in near.get(x, ()))  # smaller only if nothing is left
+    path = graph(spark, [(i, i + 1) for i in range(60)])
+    assert all(r.full for r in L.grown_samples(path.simple, spark.createDataFrame([(i,) for i in range(0, 60, 7)], "v long")).collect())
     pairs = L.with_negatives(c, g.vertices).collect()
     assert all((r.v == r.other) == r.positive and (r.positive or labels[r.v] != labels[r.other]) for r in pairs)
     assert sum(r.positive for r in pairs) == len(labels)
 
 
-def weights(width, hidden=4, layers=2, seed=0):
+def state(width, hidden=4, layers=2, seed=0, kind="GIN", skip="all"):
+    """A saved state with the names and shapes that a trained model of this kind has."""
     r = np.random.default_rng(seed)
-    w = {"pre.w": r.normal(size=(width, hidden)), "pre.b": r.normal(size=hidden)}
+    out = {}
+
+    def linear(name, a, b):
+        out[f"{name}.weight"], out[f"{name}.bias"] = r.normal(0, 0.3, (b, a)), r.normal(0, 0.3, b)
+
+    linear("emb_model.pre_mp.0", width, hidden)
+    for i in range(layers):
+        size = hidden * (i + 1) if skip != "none" else hidden
+        if kind == "GIN":
+            linear(f"emb_model.convs.{i}.nn.0", size, hidden)
+            linear(f"emb_model.convs.{i}.nn.2", hidden, hidden)
+        elif kind == "SAGE":
+            linear(f"emb_model.convs.{i}.lin", size, hidden)
+            linear(f"emb_model.convs.{i}.lin_update", hidden + size, hidden)
+        else:
+            out[f"emb_model.convs.{i}.lin.weight"], out[f"emb_model.convs.{i}.bias"] = r.normal(0, 0.3, (hidden, size)), r.normal(0, 0.3, hidden)
+    for at, a, b in ((0, hidden * (layers + 1), hidden), (3, hidden, hidden), (5, hidden, 256), (7, 256, hidden)):
+        linear(f"emb_model.post_mp.{at}", a, b)
+    linear("mlp.0", 2 * hidden, 256)
+    linear("mlp.2", 256, 2)
+    if skip == "learnable":
+        out["emb_model.learnable_skip"] = r.normal(size=(layers, layers))
+    return out
+
+
+def weights(width, hidden=4, layers=2, seed=0, kind="GIN", skip="all"):
+    return L.weights_of_state(state(width, hidden, layers, seed, kind, skip), layers, kind)
+
+
+def by_hand(x, edges, s, layers, kind, skip):
+    """The network node by node, from the saved state."""
+    lin = lambda name, v: s[f"{name}.weight"] @ v + s[f"{name}.bias"]
+    ramp = lambda v: np.array([max(a, 0.0) for a in v])
+    n = len(x)
+    seen = [[lin("emb_model.pre_mp.0", v)] for v in x]
+    into = {v: [a for a, b in edges if b == v and a != v] for v in range(n)}
     for i in range(layers):
-        w |= {f"{i}.w1": r.normal(size=(hidden * (i + 1), hidden)), f"{i}.b1": r.normal(size=hidden), f"{i}.w2": r.normal(size=(hidden, hidden)), f"{i}.b2": r.normal(size=hidden)}
-    w |= {"post.w": r.normal(size=(hidden * (layers + 1), 3)), "post.b": r.normal(size=3)}
-    return w | {"mlp.w1": r.normal(size=(6, 5)), "mlp.b1": r.normal(size=5), "mlp.w2": r.normal(size=(5, 2)), "mlp.b2": r.normal(size=2)}
+        c = f"emb_model.convs.{i}"
+        if skip == "learnable":
+            e = [np.concatenate([h / (1 + np.exp(-s["emb_model.learnable_skip"][i, k])) for k, h in enumerate(seen[v])]) for v in range(n)]
+        else:
+            e = [np.concatenate(seen[v]) if skip == "all" else seen[v][-1] for v in range(n)]
+        new = []
+        for v in range(n):
+            if kind == "GIN":
+                y = lin(f"{c}.nn.2", ramp(lin(f"{c}.nn.0", e[v] + sum((e[w] for w in into[v]), np.zeros_like(e[v])))))
+            elif kind == "SAGE":
+                y = lin(f"{c}.lin_update", np.concatenate([sum((lin(f"{c}.lin", e[w]) for w in into[v]), np.zeros(len(seen[v][0]))), e[v]]))
+            else:
+                d = lambda w: len(into[w]) + 1
+                y = sum(s[f"{c}.lin.weight"] @ e[w] / np.sqrt(d(v) * d(w)) for w in [*into[v], v]) + s[f"{c}.bias"]
+            new.append(ramp(y))
+        for v in range(n):
+            seen[v].append(new[v])
+    pooled = sum(np.concatenate(h) for h in seen)
+    out = lin("emb_model.post_mp.0", pooled)
+    out = np.array([a if a > 0 else 0.1 * a for a in out])
+    return lin("emb_model.post_mp.7", ramp(lin("emb_model.post_mp.5", ramp(lin("emb_model.post_mp.3", out)))))
+
+
+@pytest.mark.parametrize("kind", ["GIN", "SAGE", "GCN"])
+@pytest.mark.parametrize("skip", ["all", "learnable", "none"])
+def test_network_by_hand(kind, skip):
+    x, e = np.eye(3)[[0, 1, 2, 1, 0]], np.array([(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (3, 3)])
+    s = state(3, 4, 3, 5, kind, skip)
+    w = L.weights_of_state(s, 3, kind)
+    got = L.graph_embedding(x, e, w, 3, kind, skip)
+    assert np.allclose(got, by_hand(x, e.tolist(), s, 3, kind, skip))
+    z = s["mlp.2.weight"] @ np.maximum(s["mlp.0.weight"] @ np.concatenate([got, got]) + s["mlp.0.bias"], 0) + s["mlp.2.bias"]
+    assert L.pair_probability(got, got, w) == pytest.approx(np.exp(z[1]) / np.exp(z).sum())
 
 
 def test_network_doesnt_see_the_numbering():
@@ -67,8 +137,8 @@ def test_network_doesnt_see_the_numbering():
     at = rng.permutation(4)
     moved = np.empty_like(x)
     moved[at] = x
-    a, b = L.gin_embedding(x, e, w, 2), L.gin_embedding(moved, at[e], w, 2)
-    assert np.allclose(a, b) and not np.allclose(a, L.gin_embedding(x, e[:4], w, 2))
+    a, b = L.graph_embedding(x, e, w, 2), L.graph_embedding(moved, at[e], w, 2)
+    assert np.allclose(a, b) and not np.allclose(a, L.graph_embedding(x, e[:4], w, 2))
     assert 0 <= L.pair_probability(a, b, w) <= 1
 
 
@@ -90,6 +160,22 @@ def test_candidates_and_evaluation(spark):
     assert set(rows(kept)) == {m for m in rows(M.match(g, P3)) if 0 not in m}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranking_is_exact(spark, seed):
+    """Scores that differ in the ninth digit only are different."""
+    rng = np.random.default_rng(seed)
+    data = [(float(0.5 + rng.integers(0, 400) * 1e-9), bool(rng.random() < 0.3)) for _ in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = L.ranking_quality(spark.createDataFrame(data, "score double, positive boolean")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    pos, neg = [s for s, p in data if p], [s for s, p in data if not p]
+    assert r.auroc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)), rel=1e-12)
+    want = sum(sum(p for s, p in data if s >= x) / sum(s >= x for s, _ in data) for x in pos) / len(pos)
+    assert r.average_precision == pytest.approx(want, rel=1e-12)
+
+
 def test_ranking(spark):
     data = [(0.9, True), (0.8, False), (0.7, True), (0.7, False), (0.1, False)]
     r = L.ranking_quality(spark.createDataFrame(data, "score double, positive boolean")).first()
