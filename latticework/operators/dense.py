@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.session import cut
+from latticework.session import counted, cut, stored
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -55,10 +55,15 @@ def triangle_count(graph: Graph) -> DataFrame:
     return both.agg(F.sum("wedges").alias("wedges"), F.sum("triangles").alias("triangles"))
 
 
+def _sides(x: str, y: str, z: str):
+    """The three sides of a triangle, each with its smaller end first."""
+    side = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    return F.explode(F.array(side(x, y), side(x, z), side(y, z)))
+
+
 def edge_triangles(pairs: DataFrame) -> DataFrame:
     """(a, b, n): each pair and the number of triangles it is in; their sum is three times the triangles."""
-    side = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    sides = triangles(pairs).select(F.explode(F.array(side("a", "b"), side("a", "c"), side("b", "c"))).alias("e"))
+    sides = triangles(pairs).select(_sides("a", "b", "c").alias("e"))
     n = sides.groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("n"))
     return pairs.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -74,18 +79,23 @@ def triangle_statistics(graph: Graph) -> DataFrame:
 
 
 def core(pairs: DataFrame, k: int) -> DataFrame:
-    """(a, b): the pairs left when vertices with less than k neighbours are removed until there are none."""
-    pairs = cut(pairs)
-    n = pairs.count()
-    while n:
-        weak = pair_degrees(pairs).where(F.col("d") < k).select("id")
-        kept = pairs.join(weak.withColumnRenamed("id", "a"), "a", "left_anti").join(weak.withColumnRenamed("id", "b"), "b", "left_anti")
-        kept = cut(kept.select("a", "b"))
-        left = kept.count()
-        if left == n:
-            break
-        pairs, n = kept, left
-    return pairs
+    """(a, b): the pairs left when vertices with less than k neighbours are removed until there are none.
+
+    Degrees are counted once. A round takes from them the edges of the vertices that fell below k in the last one;
+    edges are partitioned once and never move again.
+    """
+    spark = pairs.sparkSession
+    pairs = stored(pairs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = cut(_both(pairs).repartition(parts, "src"))
+    degree = cut(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")))
+    while n := (weak := degree.where(F.col("d") < k).select(F.col("id").alias("src"))).count():
+        lost = both.join(counted(weak, n), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+        degree = degree.where(F.col("d") >= k).join(lost, "id", "left")
+        degree = cut(degree.select("id", (F.col("d") - F.coalesce("lost", F.lit(0))).alias("d")))
+    left = degree.select("id")
+    kept = pairs.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
+    return stored(kept.select("a", "b"))
 
 
 def core_vertices(graph: Graph, k: int) -> DataFrame:
@@ -93,23 +103,49 @@ def core_vertices(graph: Graph, k: int) -> DataFrame:
     return pair_degrees(core(graph.pairs, k))
 
 
+class Supports:
+    """The triangles on each pair of a graph, kept while pairs are taken away.
+
+    Triangles are listed once. A round takes the pairs with too few, finds their triangles and subtracts these from
+    their other sides; no triangle is looked for again.
+    """
+
+    def __init__(self, pairs: DataFrame):
+        spark = pairs.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = triangles(pairs).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
+        at = found.select(_sides("x", "y", "z").alias("e"), "x", "y", "z").select("e.a", "e.b", "x", "y", "z")
+        self._at = cut(at.repartition(parts, "a", "b"))
+        n = self._at.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        self.pairs = stored(pairs.join(n, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n")))
+        self._gone = cut(self.pairs.select("a", "b").limit(0))
+        self.rounds = 0
+
+    def truss(self, k: int) -> DataFrame:
+        """(a, b, n): what is left when pairs in less than k-2 triangles are taken away until there are none."""
+        while n := (weak := self.pairs.where(F.col("n") < k - 2).select("a", "b")).count():
+            self.rounds += 1
+            hit = self._at.join(counted(weak, n), ["a", "b"]).select("x", "y", "z").distinct()
+            for p, q in (("x", "y"), ("x", "z"), ("y", "z")):  # a triangle that lost a side before was subtracted then
+                gone = self._gone.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+                hit = hit.join(gone, (F.least(p, q) == F.col("lo")) & (F.greatest(p, q) == F.col("hi")), "left_anti")
+            lost = hit.select(_sides("x", "y", "z").alias("e")).groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("lost"))
+            left = self.pairs.where(F.col("n") >= k - 2).join(lost, ["a", "b"], "left")
+            kept = stored(left.select("a", "b", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n")))
+            self.pairs, self._gone = kept, cut(self._gone.unionByName(weak))
+        return self.pairs
+
+
 def truss(pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, n): the pairs left when those in less than k-2 triangles are removed until there are none."""
-    pairs = core(pairs, k - 1)  # what a truss keeps is in the core; peeling it first spares triangles
-    n = pairs.count()
-    while True:
-        kept = cut(edge_triangles(pairs).where(F.col("n") >= k - 2))
-        left = kept.count()
-        if left == n:
-            return kept
-        pairs, n = kept.select("a", "b"), left
+    return Supports(core(pairs, k - 1)).truss(k)  # what a truss keeps is in the core; peeling it first spares triangles
 
 
 def truss_levels(graph: Graph, k_max: int | None = None) -> DataFrame:
     """(k, edges, vertices, triangles, dod_sources) for k = 3, 4, ... until nothing is left (or k_max)."""
-    rows, k, pairs = [], 3, graph.pairs
+    rows, k, supports = [], 3, Supports(core(graph.pairs, 2))
     while k_max is None or k <= k_max:
-        t = truss(pairs, k)
+        t = supports.truss(k)
         pairs = t.select("a", "b")
         s = t.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         v = pair_degrees(pairs).count()

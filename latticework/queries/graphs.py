@@ -578,12 +578,12 @@ def sssp(spark, d):
 
 
 def _pagerank_sql(rounds: int, damping: float | None) -> str:
-    out = [_DOMAIN, "deg AS MATERIALIZED (SELECT src, count(*) AS n FROM edges GROUP BY src)", "size AS (SELECT count(*)::DOUBLE AS n FROM vertices)",
-           "r0 AS MATERIALIZED (SELECT id, 1 / size.n AS rank FROM vertices, size)"]
+    out = [_DOMAIN, "deg AS MATERIALIZED (SELECT src, count(*) AS n FROM edges GROUP BY src)", "ids AS MATERIALIZED (SELECT id FROM vertices UNION SELECT src FROM edges)",
+           "size AS (SELECT count(*)::DOUBLE AS n FROM ids)", "r0 AS MATERIALIZED (SELECT id, 1 / size.n AS rank FROM ids, size)"]
     for i in range(1, rounds + 1):
         into = "coalesce(sum(r.rank / deg.n), 0.0)"
         into = into if damping is None else f"(1 - {damping}) / max(size.n) + {damping} * {into}"
-        out.append(f"r{i} AS MATERIALIZED (SELECT v.id, {into} AS rank FROM vertices v CROSS JOIN size LEFT JOIN edges e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN deg ON deg.src = e.src AND r.id IS NOT NULL GROUP BY v.id)")
+        out.append(f"r{i} AS MATERIALIZED (SELECT v.id, {into} AS rank FROM ids v CROSS JOIN size LEFT JOIN edges e ON e.dst = v.id LEFT JOIN r{i - 1} r ON r.id = e.src LEFT JOIN deg ON deg.src = e.src AND r.id IS NOT NULL GROUP BY v.id)")
     return "WITH " + ",\n".join(out) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
@@ -592,7 +592,7 @@ def pagerank_1(spark, d):
     return traverse.pagerank(domain(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(_pagerank_sql(1, None).replace("SELECT count(*)::DOUBLE AS n FROM vertices", "SELECT max(id)::DOUBLE AS n FROM vertices").replace("round(rank, 9)", "round(rank, 12)"))
+@query(_pagerank_sql(1, None).replace("SELECT count(*)::DOUBLE AS n FROM ids", "SELECT max(id)::DOUBLE AS n FROM ids").replace("round(rank, 9)", "round(rank, 12)"))
 def pagerank_max_id(spark, d):
     return traverse.pagerank(domain(spark, d), normalizer="max_id").select("id", F.round("rank", 12).alias("rank"))
 
@@ -631,9 +631,24 @@ def ktruss_k(spark, d):
     return dense.truss(domain(spark, d).pairs, TRUSS)
 
 
-@query()
+def _truss_levels_sql(last: int, rounds: int) -> str:
+    out, rows, before = [_DOMAIN, "t AS MATERIALIZED (SELECT src, dst, 1 AS n FROM simple)"], [], "t"
+    for k in range(3, last + 1):
+        for i in range(1, rounds + 1):
+            now = f"t{k}_{i}"
+            out.append(f"""{now} AS MATERIALIZED (SELECT x.src, x.dst, count(*) AS n FROM {before} x JOIN {before} y ON y.src = x.src JOIN {before} z ON z.src = y.dst AND z.dst = x.dst
+  GROUP BY x.src, x.dst HAVING count(*) >= {k - 2})""")
+            before = now
+        out.append(f"d{k} AS MATERIALIZED (SELECT src, count(*) AS d FROM {before} GROUP BY src)")
+        rows.append(f"""SELECT {k} AS k, (SELECT count(*) FROM {before}) // 2 AS edges, (SELECT count(*) FROM d{k}) AS vertices, (SELECT coalesce(sum(n), 0) FROM {before})::BIGINT // 6 AS triangles,
+(SELECT count(DISTINCT CASE WHEN (x.d, x.src) < (y.d, y.src) THEN x.src ELSE y.src END) FROM {before} e JOIN d{k} x ON x.src = e.src JOIN d{k} y ON y.src = e.dst) AS dod_sources""")
+    all_ = " UNION ALL ".join(rows)
+    return "WITH " + ",\n".join(out) + f", r AS (SELECT *, lag(edges) OVER (ORDER BY k) AS before FROM ({all_})) SELECT k, edges, vertices, triangles, dod_sources FROM r WHERE edges > 0 OR before > 0 OR k = 3"
+
+
+@query(_truss_levels_sql(12, 9))
 def ktruss_levels(spark, d):
-    return dense.truss_levels(parts(spark, d))
+    return dense.truss_levels(domain(spark, d))
 
 
 # --- generators, samples, the learned filter ------------------------------------------------------------------------
