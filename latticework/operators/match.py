@@ -6,11 +6,11 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
@@ -28,29 +28,49 @@ def _alike(p: Pattern, a: int, b: int) -> bool:
     return p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b])
 
 
-def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int]) -> DataFrame:
+def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int], parents: Mapping[int, int | None] | None = None, watch: Callable[[int, DataFrame], DataFrame] | None = None, symmetric: bool = True) -> DataFrame:
     """A left-deep join along the order: the matched neighbour with the fewest edges expands, the others check by semi-join.
 
-    Only vertices of equal labels can be the same one, so only these are told apart.
+    Only vertices of equal labels can be the same one, so only these are told apart. A query with automorphisms is
+    matched once for all of them: the data vertices of some pairs must be in order of (degree, id), which also keeps
+    hubs from expanding where the query allows it, and the other matches are made of these at the end. parents: the
+    neighbour that expands for each vertex. watch: sees the rows of each step. symmetric: whether vertices that
+    automorphisms map to each other have the same candidates, but for some that are in no match.
     """
+    ranked = p.asymmetry() if symmetric else []
     rows, done = None, []
     plan = list(zip(order, order_of.extensions(p, order)))
-    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before])
+    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked)
+    near = {frozenset(e) for e in p.edges}
+    loose = [(a, b) for a, b in ranked if frozenset((a, b)) not in near]  # pairs that no step compares
+    compared = {x for pair in loose for x in pair}
     for u, before in plan:
         if rows is None:
             rows = cand.where(F.col("u") == u).select(F.col("v").alias(f"m{u}"))
         elif not before:
             raise ValueError("the query is not connected")
         else:
-            before = sorted(before, key=lambda w: (steps.sizes.get((w, u), 0), w))
-            rows = rows.join(steps.of(before[0], u, f"m{before[0]}", f"m{u}"), f"m{before[0]}")
-            for w in before[1:]:
-                rows = rows.join(steps.of(w, u, f"m{w}", f"m{u}"), [f"m{w}", f"m{u}"], "left_semi")
+            first = parents[u] if parents and parents.get(u) is not None else min(before, key=lambda w: (steps.sizes.get((w, u), 0), w))
+            start = len(done) == 1 and first in compared
+            step = steps.of(first, u, f"m{first}", f"m{u}", (f"d{first}" if start else "", f"d{u}" if u in compared else ""))
+            rows = rows.join(step, f"m{first}")
+            for w in before:
+                if w != first:
+                    rows = rows.join(steps.of(w, u, f"m{w}", f"m{u}"), [f"m{w}", f"m{u}"], "left_semi")
             for w in done:
                 if w not in before and _alike(p, w, u):
                     rows = rows.where(F.col(f"m{w}") != F.col(f"m{u}"))
+            for a, b in loose:
+                if u in (a, b) and {a, b} <= {*done, u}:
+                    rows = rows.where(F.struct(f"d{a}", f"m{a}") < F.struct(f"d{b}", f"m{b}"))
+            if watch:
+                rows = watch(u, rows)
         done.append(u)
-    return rows.select(*(f"m{u}" for u in range(p.n)))
+    columns = [f"m{u}" for u in range(p.n)]
+    if not ranked:
+        return rows.select(*columns)
+    each = F.explode(F.array(*(F.struct(*(F.col(f"m{g[u]}").alias(f"m{u}") for u in range(p.n))) for g in p.automorphisms())))
+    return rows.select(each.alias("x")).select("x.*")
 
 
 def enumerate_by_walk(edges: DataFrame, cand: DataFrame, p: Pattern, start: int = 0) -> DataFrame:
@@ -74,23 +94,30 @@ def enumerate_by_walk(edges: DataFrame, cand: DataFrame, p: Pattern, start: int
     return rows.select(*(f"m{u}" for u in range(p.n)))
 
 
+#: Neighbours of one vertex that stand in one array when arrays are intersected.
+BLOCK = 4096
+
+
 def enumerate_by_intersection(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int]) -> DataFrame:
     """The same rows by intersecting the neighbour arrays of all matched neighbours of the next vertex.
 
-    Cyclic queries then make no rows that a later edge would drop. Each array holds one vertex's neighbours, so this
-    is for pruned edges; hubs are better served by enumerate_matches.
+    Cyclic queries then make no rows that a later edge would drop. Neighbours are put in blocks by a hash, so many that
+    a hub's arrays hold about BLOCK of them each, and arrays meet within their block.
     """
     rows, done = None, []
     plan = list(zip(order, order_of.extensions(p, order)))
     steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before])
+    most = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // BLOCK)
     for u, before in plan:
         if rows is None:
             rows = cand.where(F.col("u") == u).select(F.col("v").alias(f"m{u}"))
         else:
             lists = []
             for w in before:
-                near = steps.of(w, u, f"m{w}", f"m{u}").groupBy(f"m{w}").agg(F.collect_list(f"m{u}").alias(f"near{w}"))
-                rows = rows.join(near, f"m{w}")
+                near = steps.of(w, u, f"m{w}", f"m{u}").withColumn("block", F.pmod(F.xxhash64(f"m{u}"), F.lit(blocks)))
+                near = near.groupBy(f"m{w}", "block").agg(F.collect_list(f"m{u}").alias(f"near{w}"))
+                rows = rows.join(near, [f"m{w}", "block"] if lists else [f"m{w}"])
                 lists.append(F.col(f"near{w}"))
             both = reduce(F.array_intersect, lists)
             alike = [F.col(f"m{w}") for w in done if w not in before and _alike(p, w, u)]
@@ -100,24 +127,38 @@ def enumerate_by_intersection(edges: DataFrame, cand: DataFrame, p: Pattern, ord
     return rows.select(*(f"m{u}" for u in range(p.n)))
 
 
-def only_induced(matches: DataFrame, edges: DataFrame, p: Pattern) -> DataFrame:
-    """Matches without a data edge where the query has none."""
-    for a in range(p.n):
-        for b in range(a + 1, p.n):
-            if b not in p.neighbours(a):
-                matches = matches.join(edges.select(F.col("src").alias(f"m{a}"), F.col("dst").alias(f"m{b}")), [f"m{a}", f"m{b}"], "left_anti")
+def only_induced(matches: DataFrame, edges: DataFrame, cand: DataFrame, p: Pattern) -> DataFrame:
+    """Matches without a data edge where the query has none.
+
+    Only edges between candidates can be such, and only those are written, once for all pairs.
+    """
+    missing = [(a, b) for a in range(p.n) for b in range(a + 1, p.n) if b not in p.neighbours(a)]
+    if missing:
+        steps = Steps(edges, cand, missing)
+        for a, b in missing:
+            if steps.sizes.get((a, b)):
+                matches = matches.join(steps.of(a, b, f"m{a}", f"m{b}"), [f"m{a}", f"m{b}"], "left_anti")
     return matches.select(*(f"m{u}" for u in range(p.n)))
 
 
+def label_counts_of(graph: Graph, p: Pattern) -> dict[int, int]:
+    """The number of data vertices with each of the query's labels."""
+    wanted = [x for x in set(p.labels) if x is not None]
+    return {r.label: r.n for r in graph.label_histogram().where(F.col("label").isin(wanted)).collect()}
+
+
+def degree_tail(graph: Graph, degrees: Sequence[int]) -> DataFrame:
+    """(degree, n): how many vertices have at least each of these degrees."""
+    ends = graph.vertex_table().groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.broadcast(graph.lines.sparkSession.createDataFrame([(d,) for d in sorted(set(degrees))], "at_least long"))
+    both = wanted.join(ends, F.col("degree") >= F.col("at_least"), "left")
+    return both.groupBy(F.col("at_least").alias("degree")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def label_rarity(graph: Graph, p: Pattern) -> list[float]:
     """The probability that a random vertex has a query vertex's label times that it has at least its degree."""
-    n = graph.vertices.count()
-    wanted = [x for x in set(p.labels) if x is not None]
-    labels = {r.label: r.n for r in graph.label_histogram().where(F.col("label").isin(wanted)).collect()}
-    deg = graph.degrees()
-    tails = deg.agg(*(F.count(F.when(F.col("degree") >= d, 1)).alias(str(d)) for d in sorted({p.degree(u) for u in range(p.n)}))).first().asDict()
-    at_least = {int(d): c if int(d) else n for d, c in tails.items()}
-    return order_of.rarity(p, labels, at_least, n)
+    at_least = {r.degree: r.n for r in degree_tail(graph, [p.degree(u) for u in range(p.n)]).collect()}
+    return order_of.rarity(p, label_counts_of(graph, p), at_least, graph.vertices.count())
 
 
 def match(
@@ -128,7 +169,8 @@ def match(
 
     order: "size" (by the candidates left), "vf3", or the query vertices as given. strategy: "join", "walk" or
     "intersect". walks: constraints to prune by, from plans.constraints. candidate_filter: may drop candidates (v, u)
-    by other means, at the risk of matches. report: gets sizes and seconds. The query must be connected.
+    by other means, at the risk of matches. report: gets sizes and seconds, and under ``states`` an observation for
+    each step of a join with the rows it made, to be read after the matches were. The query must be connected.
     """
     if not p.n:
         raise ValueError("the query has no vertex")
@@ -145,8 +187,11 @@ def match(
     if candidate_filter:
         cand = cut(candidate_filter(cand))
     sizes = {r.u: r.n for r in cand.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parents = None
     if isinstance(order, str):
+        by_ties = order == "vf3"
         order = order_of.vf3_order(p, label_rarity(graph, p)) if order == "vf3" else order_of.size_order(p, sizes)
+        parents = order_of.parents(p, order) if by_ties else None
     if report is not None:
         report |= counts | {"seconds_pruning": time.perf_counter() - began, "candidates": sizes, "order": list(order)}
         report |= {"vertices": graph.vertices.count(), "edges": graph.simple.count(), "live_vertices": cand.select("v").distinct().count(), "live_edges": live_edges(edges, cand).count()}
@@ -155,10 +200,18 @@ def match(
     elif strategy == "intersect":
         out = enumerate_by_intersection(edges, cand, p, order)
     elif strategy == "join":
-        out = enumerate_matches(edges, cand, p, order)
+        states: dict[int, Observation] = {}
+
+        def watch(u: int, rows: DataFrame) -> DataFrame:
+            states[u] = Observation(f"rows with query vertex {u}")
+            return rows.observe(states[u], F.count(F.lit(1)).alias("rows"))
+
+        out = enumerate_matches(edges, cand, p, order, parents, None if report is None else watch, candidate_filter is None)
+        if report is not None:
+            report["states"] = states
     else:
         raise ValueError(strategy)
-    return only_induced(out, graph.simple, p) if induced else out
+    return only_induced(out, graph.simple, cand, p) if induced else out
 
 
 def match_edited(graph: Graph, p: Pattern, k: int = 1, **how) -> DataFrame:

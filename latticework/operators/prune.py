@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from latticework.functions.bits import bit_set, has_bit
 from latticework.graph import Graph
 from latticework.plans.pattern import Pattern, Walk
-from latticework.session import counted, cut
+from latticework.session import counted, cut, stored
 
 
 def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -25,19 +25,35 @@ def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
 class Steps:
     """The data edges that can stand for some of the query's edges, each in one direction.
 
-    They are found by two joins for all of them together and written once, with the number of edges of each.
+    They are found by two joins for all of them together and written once, with the number of edges of each. ranked:
+    pairs of query vertices of which the first one's data vertex must come before the second one's, by (degree, id) in
+    ``edges``; steps between them are left out that don't, and rows can carry degrees to compare others.
     """
 
-    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]]):
-        wanted = _local(edges.sparkSession, sorted(set(steps)), "a int, b int")
+    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]], ranked: Sequence[tuple[int, int]] = ()):
+        spark = edges.sparkSession
+        wanted = _local(spark, sorted(set(steps)), "a int, b int")
         from_ = cand.select(F.col("v").alias("src"), F.col("u").alias("a")).join(wanted, "a")
         to = cand.select(F.col("v").alias("dst"), F.col("u").alias("b"))
-        self._edges = cut(edges.join(from_, "src").join(to, ["dst", "b"]).select("a", "b", "src", "dst"))
+        names = ["a", "b", "src", "dst"]
+        if ranked:
+            degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+            edges = edges.join(degree.select(F.col("id").alias("src"), F.col("d").alias("d_src")), "src")
+            edges = edges.join(degree.select(F.col("id").alias("dst"), F.col("d").alias("d_dst")), "dst")
+            names += ["d_src", "d_dst"]
+        found = edges.join(from_, "src").join(to, ["dst", "b"]).select(*names)
+        if ranked:
+            up = F.struct("d_src", "src") < F.struct("d_dst", "dst")
+            for first, second in ranked:
+                a, b = F.col("a"), F.col("b")
+                found = found.where(~((a == first) & (b == second)) | up).where(~((a == second) & (b == first)) | ~up)
+        self._edges = stored(found)
         self.sizes = {(r.a, r.b): r.n for r in self._edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def of(self, a: int, b: int, left: str, right: str) -> DataFrame:
-        """(left, right): the edges for the query edge from a to b."""
-        some = self._edges.where((F.col("a") == a) & (F.col("b") == b)).select(F.col("src").alias(left), F.col("dst").alias(right))
+    def of(self, a: int, b: int, left: str, right: str, degrees: Sequence[str] = ()) -> DataFrame:
+        """(left, right): the edges for the query edge from a to b; degrees: names for those of both ends."""
+        more = [F.col(c).alias(name) for c, name in zip(("d_src", "d_dst"), degrees) if name]
+        some = self._edges.where((F.col("a") == a) & (F.col("b") == b)).select(F.col("src").alias(left), F.col("dst").alias(right), *more)
         return counted(some, self.sizes.get((a, b), 0))
 
 
@@ -90,7 +106,7 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
     """
     spark = graph.lines.sparkSession
     cand = label_candidates(graph.vertices, p)
-    edges = cut(labelled_edges(graph, p, multigraph))
+    edges = stored(labelled_edges(graph, p, multigraph))
     if p.n == 1:
         return cut(cand), edges.select("src", "dst").limit(0), 0
     need = p.need()
@@ -110,7 +126,7 @@ def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_
         alive = n
         for end in ("src", "dst"):
             edges = edges.join(counted(live.withColumnRenamed("v", end), n), end, "left_semi")
-        edges = cut(edges.select("src", "dst", "label"))
+        edges = stored(edges.select("src", "dst", "label"))
     edges = edges.select("src", "dst")
     return cand, edges.where("src <> dst").distinct() if multigraph else edges, rounds
 
@@ -144,35 +160,49 @@ def live_edges(edges: DataFrame, cand: DataFrame) -> DataFrame:
     return out.join(live.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def walk_rows(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
-    """(m<u>, ...): all ways to take the walk. Positions with one query vertex are one data vertex, others differ."""
-    steps = Steps(edges, cand, list(zip(w.vertices, w.vertices[1:])))
+def walk_rows(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern, keep: Sequence[int] | None = None) -> DataFrame:
+    """(m<u>, ...): all ways to take the walk. Positions with one query vertex are one data vertex, others differ.
+
+    keep: only these query vertices' columns, each combination once. A column that no later step compares is then
+    dropped as soon as it can be, and rows that are equal without it are one: what they can go on to is the same.
+    """
+    alike = lambda a, b: a != b and (p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b]))
+    hops = list(zip(w.vertices, w.vertices[1:]))
+    steps = Steps(edges, cand, hops)
     rows = cand.where(F.col("u") == w.vertices[0]).select(F.col("v").alias(f"m{w.vertices[0]}"))
-    done = [w.vertices[0]]
-    for a, b in zip(w.vertices, w.vertices[1:]):
+    held, seen = [w.vertices[0]], {w.vertices[0]}
+    for i, (a, b) in enumerate(hops):
         step = steps.of(a, b, f"m{a}", f"m{b}")
-        if b in done:
+        if b in seen:
             rows = rows.join(step, [f"m{a}", f"m{b}"], "left_semi")
-            continue
-        rows = rows.join(step, f"m{a}")
-        for c in done:
-            if c != a and (p.labels[c] == p.labels[b] or None in (p.labels[c], p.labels[b])):
-                rows = rows.where(F.col(f"m{c}") != F.col(f"m{b}"))
-        done.append(b)
-    return rows.select(*(f"m{u}" for u in done))
+        else:
+            rows = rows.join(step, f"m{a}")
+            for c in held:
+                if c != a and alike(c, b):
+                    rows = rows.where(F.col(f"m{c}") != F.col(f"m{b}"))
+            held.append(b)
+            seen.add(b)
+        if keep is not None:
+            ahead = w.vertices[i + 2 :]
+            new = [x for x in dict.fromkeys(ahead) if x not in seen]
+            needed = {*keep, b, *(x for x in ahead if x in seen)} | {c for c in held for x in new if alike(c, x)}
+            if dropped := [c for c in held if c not in needed]:
+                held = [c for c in held if c not in dropped]
+                rows = rows.select(*(f"m{c}" for c in held)).distinct()
+    return rows.select(*(f"m{u}" for u in held)) if keep is None else rows.select(*(f"m{u}" for u in keep)).distinct()
 
 
 def by_walk(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
     """Candidates without those of the walk's first vertex that can't take the walk."""
     u = w.vertices[0]
-    able = walk_rows(edges, cand, w, p).select(F.col(f"m{u}").alias("v"), F.lit(u).alias("u")).distinct()
+    able = walk_rows(edges, cand, w, p, [u]).select(F.col(f"m{u}").alias("v"), F.lit(u).alias("u"))
     return cand.where(F.col("u") != u).unionByName(cand.where(F.col("u") == u).join(able, ["v", "u"], "left_semi"))
 
 
 def failing(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
     """(v, u): the candidates that by_walk drops."""
     u = w.vertices[0]
-    able = walk_rows(edges, cand, w, p).select(F.col(f"m{u}").alias("v")).distinct()
+    able = walk_rows(edges, cand, w, p, [u]).select(F.col(f"m{u}").alias("v"))
     return cand.where(F.col("u") == u).join(able, "v", "left_anti")
 
 

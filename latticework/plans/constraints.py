@@ -69,18 +69,16 @@ def rarity(p: Pattern, labels: Mapping[int, int], at_least: Mapping[int, int], n
     return [labels.get(p.labels[u], 0) / max(n, 1) * (at_least.get(p.degree(u), 0) / max(n, 1)) for u in range(p.n)]
 
 
-def vf3_order(p: Pattern, rare: Sequence[float]) -> list[int]:
+def vf3_order(p: Pattern, rare: Sequence[float], weigh_early: bool = True) -> list[int]:
     """The order of the third VF algorithm: most ties to what is matched, then the rarest, then the largest degree.
 
-    Ties are added up again in every step, so a neighbour that was matched early weighs more.
+    weigh_early: a tie counts once for every step since its end was matched, else once.
     """
-    ties = [0] * p.n
     order: list[int] = []
     while len(order) < p.n:
+        age = {w: len(order) - i if weigh_early else 1 for i, w in enumerate(order)}
+        ties = [sum(age.get(w, 0) for w in p.neighbours(u)) for u in range(p.n)]
         order.append(max((u for u in range(p.n) if u not in order), key=lambda u: (ties[u], -rare[u], p.degree(u), -u)))
-        for u in order:
-            for w in p.neighbours(u):
-                ties[w] += 1
     return order
 
 

@@ -92,6 +92,37 @@ class Pattern:
         """How many ways there are to take away k edges; at most as many prototypes are connected."""
         return comb(len(self.edges), k)
 
+    def automorphisms(self) -> list[tuple[int, ...]]:
+        """Every way to map the query's vertices to each other that keeps labels and edges; the identity is one."""
+        if self.directed:
+            raise ValueError("of undirected queries only")
+        near = [set(self.neighbours(u)) for u in range(self.n)]
+        found: list[tuple[int, ...]] = []
+
+        def put(image: list[int]) -> None:
+            u = len(image)
+            if u == self.n:
+                found.append(tuple(image))
+                return
+            for w in range(self.n):
+                if w not in image and self.labels[w] == self.labels[u] and len(near[w]) == len(near[u]):
+                    if all((x in near[u]) == (image[x] in near[w]) for x in range(u)):
+                        put([*image, w])
+
+        put([])
+        return found
+
+    def asymmetry(self) -> list[tuple[int, int]]:
+        """Pairs (a, b) such that, if the data vertex of a must come before that of b in some order, exactly one of the
+        matches that automorphisms make of each other is left."""
+        group, out = self.automorphisms(), []
+        while len(group) > 1:
+            orbits = [{g[u] for g in group} for u in range(self.n)]
+            u = max(range(self.n), key=lambda x: (len(orbits[x]), -x))
+            out += [(u, w) for w in sorted(orbits[u] - {u})]
+            group = [g for g in group if g[u] == u]
+        return out
+
     def cycles(self) -> list[tuple[int, ...]]:
         """Every simple cycle of three vertices or more once, from its smallest vertex towards its smaller neighbour."""
         found = []

@@ -158,6 +158,59 @@ def test_edited_per_vertex_report_and_bits(spark):
     assert (size.vertices, size.edges) == (len(bits), e.count())
 
 
+SYMMETRIC = {
+    "triangle": Pattern.of([None] * 3, [(0, 1), (1, 2), (0, 2)]), "clique": Pattern.of([0] * 4, [(a, b) for a in range(4) for b in range(a + 1, 4)]),
+    "square": Pattern.of([None] * 4, [(0, 1), (1, 2), (2, 3), (0, 3)]), "star": Pattern.of([1, None, None, None], [(0, 1), (0, 2), (0, 3)]),
+    "path": Pattern.of([None] * 4, [(0, 1), (1, 2), (2, 3)]), "twins": Pattern.of([0, 1, 0, 1, 2], [(0, 1), (2, 3), (0, 4), (2, 4)]),
+}
+
+
+@pytest.mark.parametrize("name", SYMMETRIC)
+@pytest.mark.parametrize("order", ["size", "vf3"])
+def test_symmetric_queries(spark, name, order):
+    """One match is found for all automorphisms and the others are made of it."""
+    p = SYMMETRIC[name]
+    edges, labels = random_graph(8, n=14, m=50)
+    edges += [(13, i) for i in range(12)]
+    want = embeddings(edges, labels, p)
+    assert len(p.automorphisms()) > 1 and want
+    report = {}
+    m = M.match(graph(spark, edges, labels), p, order=order, report=report)
+    assert rows(m) == want
+    assert report["states"][report["order"][-1]].get["rows"] * len(p.automorphisms()) == len(want)
+    kept = M.match(graph(spark, edges, labels), p, candidate_filter=lambda c: c.where("NOT (v = 13 AND u = 1)"))
+    assert rows(kept) == [x for x in want if x[1] != 13]
+
+
+def test_blocks_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 3)
+    edges, labels = random_graph(8, n=14, m=50)
+    edges += [(13, i) for i in range(12)]
+    for p in SYMMETRIC.values():
+        assert rows(M.match(graph(spark, edges, labels), p, strategy="intersect")) == embeddings(edges, labels, p)
+
+
+@pytest.mark.parametrize("name", SYMMETRIC)
+def test_induced_symmetric(spark, name):
+    p = SYMMETRIC[name]
+    edges, labels = random_graph(2, n=12, m=24)
+    near = adjacency(edges)
+    want = [m for m in embeddings(edges, labels, p) if all(m[b] not in near[m[a]] for a in range(p.n) for b in range(a) if b not in p.neighbours(a))]
+    assert rows(M.match(graph(spark, edges, labels), p, induced=True)) == want
+
+
+def test_walks_forget_what_nothing_compares(spark):
+    """Rows that differ only in vertices no later step compares are one, and candidates stay those that can walk."""
+    edges, labels = random_graph(3, n=30, m=90, labels=4)
+    g = graph(spark, edges, labels)
+    for p, w in ((Pattern.of([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3), (0, 3)]), Walk((0, 1, 2, 3, 0), True)), (Pattern.of([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3)]), Walk((0, 1, 2, 3), False))):
+        cand, e, _ = P.by_neighbour_labels(g, p)
+        all_ = P.walk_rows(e, cand, w, p)
+        some = P.walk_rows(e, cand, w, p, [0])
+        assert rows(some) == sorted({(r.m0,) for r in all_.collect()})
+        assert some._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > 1 or p.labels[2] == 0
+
+
 def test_time_limit(spark):
     with pytest.raises(TimeoutError):
         with M.time_limit(spark, 0.5):
