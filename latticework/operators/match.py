@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune
+from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import cut
@@ -214,6 +214,25 @@ def match(
     return only_induced(out, graph.simple, cand, p) if induced else out
 
 
+def match_many(graph: Graph, patterns: Mapping[int, Pattern]) -> DataFrame:
+    """(query_no, m0, m1, ...): the matches of several queries, pruned together; null for vertices a query hasn't."""
+    cand, edges, _ = prune_by_labels(graph, patterns, least_gain=LEAST_GAIN)
+    sizes = {(r.q, r.u): r.n for r in cand.groupBy("q", "u").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns = [f"m{u}" for u in range(max(p.n for p in patterns.values()))]
+    parts = []
+    for q, p in patterns.items():
+        if not p.connected():
+            raise ValueError("the query is not connected")
+        if any((q, u) not in sizes for u in range(p.n)):
+            continue
+        here = F.col("q") == q
+        found = enumerate_matches(edges.where(here).drop("q"), cand.where(here).drop("q"), p, order_of.size_order(p, {u: sizes[q, u] for u in range(p.n)}))
+        parts.append(found.select(F.lit(q).alias("query_no"), *(F.col(c) if int(c[1:]) < p.n else F.lit(None).cast("long").alias(c) for c in columns)))
+    if not parts:
+        return graph.lines.sparkSession.createDataFrame([], ", ".join(["query_no int", *(f"{c} long" for c in columns)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def match_edited(graph: Graph, p: Pattern, k: int = 1, **how) -> DataFrame:
     """(prototype, m0, ...): the matches of every connected query that lacks k of p's edges."""
     parts = [match(graph, q, **how).select(F.lit(i).alias("prototype"), *(f"m{u}" for u in range(p.n))) for i, q in enumerate(p.prototypes(k))]

@@ -6,7 +6,7 @@ is joined later, never what comes out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,81 +78,111 @@ def neighbour_counts(graph: Graph, multigraph: bool = False) -> DataFrame:
     return label_counts(graph.edges if multigraph else graph.simple, graph.vertices)
 
 
-def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFrame:
-    """(src, dst, label of dst): edges whose two labels stand at an edge of the query; all that a query can use."""
+def _labelled(graph: Graph, patterns: Mapping[int, Pattern], multigraph: bool) -> DataFrame:
+    """(q, src, dst, label of dst): for each query the edges whose two labels stand at one of its edges."""
     spark = graph.lines.sparkSession
-    pairs = {(p.labels[a], p.labels[b]) for e in p.edges for a, b in ((e,) if p.directed else (e, e[::-1]))}
+    directed = any(p.directed for p in patterns.values())
+    pairs, free = set(), []
+    for q, p in patterns.items():
+        ends = {(p.labels[a], p.labels[b]) for e in p.edges for a, b in ((e,) if directed else (e, e[::-1]))}
+        if multigraph or any(x is None for pair in ends for x in pair):
+            free.append(q)  # takes all edges
+        else:
+            pairs |= {(q, a, b) for a, b in ends}
     v = graph.vertices
-    if all(label is not None for label in p.labels):
-        v = v.where(F.col("label").isin(sorted(set(p.labels))))
+    if not free:
+        v = v.where(F.col("label").isin(sorted({x for _, *ends in pairs for x in ends}) or [-1]))
     e = graph.edges.select("src", "dst") if multigraph else graph.edges.where("src <> dst").select("src", "dst")
     e = e.join(v.select(F.col("id").alias("src"), F.col("label").alias("from_label")), "src")
     e = e.join(v.select(F.col("id").alias("dst"), "label"), "dst")
-    if multigraph:
-        return e.select("src", "dst", "label")
-    if not any(label is None for pair in pairs for label in pair):
-        e = e.join(_local(spark, sorted(pairs), "from_label long, label long"), ["from_label", "label"], "left_semi")
-    return e.select("src", "dst", "label").distinct()  # after the labels, which leave few edges of a large graph
+    out = e.join(_local(spark, sorted(pairs), "q int, from_label long, label long"), ["from_label", "label"]) if pairs else None
+    if free:
+        all_ = e.withColumn("q", F.explode(F.array(*(F.lit(q) for q in free))))
+        out = all_ if out is None else out.unionByName(all_)
+    if out is None:
+        out = e.limit(0).withColumn("q", F.lit(0))
+    out = out.select("q", "src", "dst", "label")
+    return out if multigraph else out.distinct()  # after the labels, which leave few edges of a large graph
 
 
-def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_rounds: int | None = None, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
-    """(candidates, edges, rounds): v stays a candidate of u while it has at least as many live neighbours of every
-    label as u has in the query; a vertex that is no candidate any more is dead. Runs until no vertex dies, or for
-    max_rounds, or until a round kills no more than ``least_gain`` of the vertices; stopping early keeps more, never less
-    than all matches need. edges (src, dst) are those between live vertices (as of the last round but one, if stopped
-    by its gain). multigraph: repeated edges and loops count too,
-    which keeps more. A query of one vertex needs a label only. A directed query is for a directed graph: what a
-    vertex points to is counted.
+def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFrame:
+    """(src, dst, label of dst): edges whose two labels stand at an edge of the query; all that a query can use."""
+    return _labelled(graph, {0: p}, multigraph).drop("q")
+
+
+def prune_by_labels(graph: Graph, patterns: Mapping[int, Pattern], multigraph: bool = False, max_rounds: int | None = None, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
+    """(candidates (q, v, u), edges (q, src, dst), rounds) of several queries, numbered q, at once.
+
+    v stays a candidate of u while it has at least as many live neighbours of every label as u has in the query; a
+    vertex that is no candidate any more is dead for that query. Runs until no vertex dies, or for max_rounds, or until
+    a round kills no more than ``least_gain`` of the vertices; stopping early keeps more, never less than all matches
+    need. edges are those between live vertices (as of the last round but one, if stopped by its gain). multigraph:
+    repeated edges and loops count too, which keeps more. A query of one vertex needs a label only. Directed queries
+    are for a directed graph: what a vertex points to is counted.
     """
     spark = graph.lines.sparkSession
-    cand = label_candidates(graph.vertices, p)
-    edges = stored(labelled_edges(graph, p, multigraph))
-    if p.n == 1:
-        return cut(cand), edges.select("src", "dst").limit(0), 0
-    need = p.need()
-    wanted = _local(spark, need, "u int, label long, k_min int")
-    kinds = _local(spark, [(u, sum(n[0] == u for n in need)) for u in range(p.n)], "u int, kinds long")
-    alive, rounds = None, 0
-    cand = cut(cand)
+    fixed = [(q, u, label) for q, p in patterns.items() for u, label in enumerate(p.labels) if label is not None]
+    free = [(q, u) for q, p in patterns.items() for u, label in enumerate(p.labels) if label is None]
+    v = graph.vertices.select(F.col("id").alias("v"), "label")
+    cand = v.join(_local(spark, fixed, "q int, u int, label long"), "label").select("q", "v", "u")
+    if free:
+        any_ = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(u).alias("u")) for q, u in free))
+        cand = cand.unionByName(v.select("v", F.explode(any_).alias("x")).select("x.q", "v", "x.u"))
+    edges = stored(_labelled(graph, patterns, multigraph))
+    need = [(q, *n) for q, p in patterns.items() for n in p.need()]
+    wanted = _local(spark, need, "q int, u int, label long, k_min int")
+    kinds = _local(spark, [(q, u, sum(n[:2] == (q, u) for n in need)) for q, p in patterns.items() for u in range(p.n)], "q int, u int, kinds long")
+    cand, alive, rounds = cut(cand), None, 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        counts = edges.groupBy(F.col("src").alias("v"), "label").agg(F.count(F.lit(1)).alias("k"))
-        met = counts.join(wanted, "label").where("k >= k_min").groupBy("v", "u").agg(F.count(F.lit(1)).alias("met"))
-        cand = cut(cand.join(met, ["v", "u"], "left").join(kinds, "u").where(F.coalesce("met", F.lit(0)) >= F.col("kinds")).select("v", "u"))
-        live = cand.select("v").distinct()
+        counts = edges.groupBy("q", F.col("src").alias("v"), "label").agg(F.count(F.lit(1)).alias("k"))
+        met = counts.join(wanted, ["q", "label"]).where("k >= k_min").groupBy("q", "v", "u").agg(F.count(F.lit(1)).alias("met"))
+        cand = cut(cand.join(met, ["q", "v", "u"], "left").join(kinds, ["q", "u"]).where(F.coalesce("met", F.lit(0)) >= F.col("kinds")).select("q", "v", "u"))
+        live = cand.select("q", "v").distinct()
         n = live.count()
         if alive is not None and alive - n <= least_gain * alive:
             break
         alive = n
         for end in ("src", "dst"):
-            edges = edges.join(counted(live.withColumnRenamed("v", end), n), end, "left_semi")
-        edges = stored(edges.select("src", "dst", "label"))
-    edges = edges.select("src", "dst")
+            edges = edges.join(counted(live.withColumnRenamed("v", end), n), ["q", end], "left_semi")
+        edges = stored(edges.select("q", "src", "dst", "label"))
+    edges = edges.select("q", "src", "dst")
     return cand, edges.where("src <> dst").distinct() if multigraph else edges, rounds
 
 
-def by_neighbour_candidates(edges: DataFrame, cand: DataFrame, p: Pattern, max_rounds: int | None = None) -> DataFrame:
-    """Candidates that for every neighbour of u have a neighbour that is its candidate; until nothing changes."""
-    if p.n == 1:
-        return cand
+def by_neighbour_labels(graph: Graph, p: Pattern, multigraph: bool = False, max_rounds: int | None = None, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
+    """(candidates (v, u), edges (src, dst), rounds) of one query; see ``prune_by_labels``."""
+    cand, edges, rounds = prune_by_labels(graph, {0: p}, multigraph, max_rounds, least_gain)
+    return cand.drop("q"), edges.drop("q"), rounds
+
+
+def prune_by_candidates(edges: DataFrame, cand: DataFrame, patterns: Mapping[int, Pattern], max_rounds: int | None = None) -> DataFrame:
+    """Of several queries' candidates (q, v, u), those that for every neighbour of u have a neighbour that is its
+    candidate, by the queries' edges (q, src, dst); until nothing changes."""
     spark = edges.sparkSession
-    near = _local(spark, [(a, b) for e in p.edges for a, b in (e, e[::-1])], "u int, w int")
-    degree = _local(spark, [(u, p.degree(u)) for u in range(p.n)], "u int, d int")
+    near = _local(spark, [(q, a, b) for q, p in patterns.items() for e in p.edges for a, b in (e, e[::-1])], "q int, u int, w int")
+    degree = _local(spark, [(q, u, p.degree(u)) for q, p in patterns.items() for u in range(p.n)], "q int, u int, d int")
     n, rounds = cand.count(), 0
     while n and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        other = cand.select(F.col("v").alias("dst"), F.col("u").alias("w"))
-        reach = edges.join(other, "dst").select(F.col("src").alias("v"), "w").distinct()
-        reach = reach.join(near, "w").groupBy("v", "u").agg(F.count(F.lit(1)).alias("n"))
-        kept = cut(cand.join(reach, ["v", "u"]).join(degree, "u").where("n = d").select("v", "u"))
-        left = kept.count()
-        cand = kept
+        other = cand.select("q", F.col("v").alias("dst"), F.col("u").alias("w"))
+        reach = edges.join(other, ["q", "dst"]).select("q", F.col("src").alias("v"), "w").distinct()
+        reach = reach.join(near, ["q", "w"]).groupBy("q", "v", "u").agg(F.count(F.lit(1)).alias("n"))
+        kept = cand.join(reach, ["q", "v", "u"], "left").join(degree, ["q", "u"]).where(F.coalesce("n", F.lit(0)) == F.col("d"))
+        cand = cut(kept.select("q", "v", "u"))
+        left = cand.count()
         if left == n:
             break
         n = left
     return cand
 
 
+def by_neighbour_candidates(edges: DataFrame, cand: DataFrame, p: Pattern, max_rounds: int | None = None) -> DataFrame:
+    """Candidates (v, u) of one query that for every neighbour of u have a neighbour that is its candidate."""
+    q = F.lit(0).alias("q")
+    return prune_by_candidates(edges.select(q, "src", "dst"), cand.select(q, "v", "u"), {0: p}, max_rounds).drop("q")
+
+
 def live_edges(edges: DataFrame, cand: DataFrame) -> DataFrame:
     """The edges between vertices that are still candidates."""
     live = cand.select("v").distinct()

@@ -2,23 +2,25 @@
 
 Two graphs: the *domain* graph has all lines of edge_list as undirected edges and, as a vertex's label, the one
 last set of those that are not gone; the *part* graph joins parts of one order (all of lineitem), labelled by the
-rank of their type. Queries whose SQL is over the lines with flag R are over its *returned* part; the same over the
-whole part graph end in _all.
+rank of their type. Queries over the twelve patterns of pattern_v and pattern_e take all of them at once.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.functions.bits import owner
+from latticework.functions.bits import bit_set, owner, scramble_column
 from latticework.graph import Graph
 from latticework.operators import dense, learned, match as matching, prune, traverse
 from latticework.plans import constraints
-from latticework.plans.pattern import Pattern, Walk
-from latticework.sources import generate, sample
+from latticework.plans.pattern import Pattern, Walk, read_pattern, read_pattern_files, write_pattern, write_pattern_files
+from latticework.session import cut, ensure_checkpoint_dir
+from latticework.sources import generate, sample, text
 from latticework.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,15 +37,7 @@ def domain(spark: SparkSession, d: str) -> Graph:
 
 
 def parts(spark: SparkSession, d: str) -> Graph:
-    return _joined(spark, d, table(spark, d, "lineitem"))
-
-
-def returned_parts(spark: SparkSession, d: str) -> Graph:
-    return _joined(spark, d, table(spark, d, "lineitem").where("l_returnflag = 'R'"))
-
-
-def _joined(spark: SparkSession, d: str, lines: DataFrame) -> Graph:
-    lines = lines.select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     edges = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type")
@@ -52,6 +46,16 @@ def _joined(spark: SparkSession, d: str, lines: DataFrame) -> Graph:
     return Graph(edges, part.select("id", label.cast("long").alias("label")))
 
 
+def given(spark: SparkSession, d: str, directed: bool = False) -> dict[int, Pattern]:
+    """The patterns of pattern_v and pattern_e by their numbers."""
+    labels, edges = {}, {}
+    for r in table(spark, d, "pattern_v").orderBy("query_no", "u").collect():
+        labels.setdefault(r.query_no, []).append(r.label)
+    for r in table(spark, d, "pattern_e").orderBy("query_no", "a", "b").collect():
+        edges.setdefault(r.query_no, []).append((r.a, r.b))
+    return {q: Pattern.of(labels[q], edges[q], directed) for q in sorted(labels)}
+
+
 _LINES = "lines AS MATERIALIZED (SELECT s AS src, t AS dst, weight FROM edge_list WHERE s IS NOT NULL AND t IS NOT NULL)"
 _DOMAIN = f"""{_LINES},
 edges AS MATERIALIZED (SELECT src, dst, weight FROM lines UNION ALL SELECT dst, src, weight FROM lines),
@@ -59,11 +63,10 @@ simple AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
 pairs AS MATERIALIZED (SELECT src AS a, dst AS b FROM simple WHERE src < dst),
 vertices AS MATERIALIZED (SELECT a AS id, arg_max(l, (set_at, l)) AS label FROM vertex_label
   WHERE a IS NOT NULL AND l IS NOT NULL AND gone_at IS NULL GROUP BY a)"""
-_PARTS = """simple AS MATERIALIZED (SELECT DISTINCT x.l_partkey AS src, y.l_partkey AS dst FROM lineitem x JOIN lineitem y
-  ON x.l_orderkey = y.l_orderkey AND x.l_partkey <> y.l_partkey WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R'),
+_PARTS = """lines AS MATERIALIZED (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+simple AS MATERIALIZED (SELECT DISTINCT x.p AS src, y.p AS dst FROM lines x JOIN lines y ON x.o = y.o AND x.p <> y.p),
 pairs AS MATERIALIZED (SELECT src AS a, dst AS b FROM simple WHERE src < dst),
 vertices AS MATERIALIZED (SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_type) - 1 AS label FROM part)"""
-_ALL_PARTS = _PARTS.replace(" WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R'", "")
 
 
 def query(sql: str | None = None):
@@ -136,11 +139,11 @@ def nlf_multigraph(spark, d):
 
 
 @query(f"""WITH {_DOMAIN}, deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src), ids AS (SELECT src FROM deg UNION SELECT id FROM vertices)
-SELECT (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM lines) AS lines, (SELECT count(*) FROM edges) AS edges,
+SELECT (SELECT count(*) FROM vertices) AS vertices, (SELECT max(id) FROM vertices) AS max_id, (SELECT count(*) FROM lines) AS lines, (SELECT count(*) FROM edges) AS edges,
 (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM lines WHERE src = dst) AS loops, (SELECT max(n) FROM deg) AS max_degree,
 (SELECT count(*) FROM deg WHERE n >= 1000) AS hubs, (SELECT coalesce(sum(n), 0)::BIGINT FROM deg WHERE n >= 1000) AS hub_edges""")
 def statistics(spark, d):
-    return domain(spark, d).statistics(hub_degree=1000).drop("max_id")
+    return domain(spark, d).statistics(hub_degree=1000)
 
 
 @query(f"""WITH {_DOMAIN}, deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src)
@@ -155,27 +158,14 @@ def label_update(spark, d):
     return domain(spark, d).with_labels(new).vertices
 
 
-@query(f"WITH {_DOMAIN} SELECT DISTINCT v, u FROM cand WHERE v IS NOT NULL AND query_no = 8 EXCEPT SELECT id, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 8")
-def stated_not_by_label(spark, d):
-    stated = table(spark, d, "cand").where("query_no = 8 AND v IS NOT NULL").select("v", "u").distinct()
-    return stated.join(prune.label_candidates(domain(spark, d).vertices, pattern(spark, d, 8)), ["v", "u"], "left_anti")
-
-
-@query(f"WITH {_DOMAIN}, x AS (SELECT id AS v, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 8) SELECT u, count(*) AS n FROM (SELECT v, u FROM x UNION SELECT v, u FROM cand WHERE v IS NOT NULL AND query_no = 8) GROUP BY u")
-def candidate_union(spark, d):
-    stated = table(spark, d, "cand").where("query_no = 8 AND v IS NOT NULL").select("v", "u")
-    both = stated.unionByName(prune.label_candidates(domain(spark, d).vertices, pattern(spark, d, 8))).distinct()
-    return both.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {_DOMAIN} SELECT DISTINCT query_no, v, u FROM cand WHERE v IS NOT NULL EXCEPT SELECT query_no, id, u FROM vertices JOIN pattern_v USING (label)")
-def stated_not_by_label_all(spark, d):
+def stated_not_by_label(spark, d):
     stated = table(spark, d, "cand").where("v IS NOT NULL").select("query_no", "v", "u").distinct()
     return stated.join(_by_label(spark, d), ["query_no", "v", "u"], "left_anti")
 
 
 @query(f"WITH {_DOMAIN}, x AS (SELECT query_no, id AS v, u FROM vertices JOIN pattern_v USING (label)) SELECT query_no, u, count(*) AS n FROM (SELECT query_no, v, u FROM x UNION SELECT query_no, v, u FROM cand WHERE v IS NOT NULL) GROUP BY query_no, u")
-def candidate_union_all(spark, d):
+def candidate_union(spark, d):
     stated = table(spark, d, "cand").where("v IS NOT NULL").select("query_no", "v", "u")
     return stated.unionByName(_by_label(spark, d)).distinct().groupBy("query_no", "u").agg(F.count(F.lit(1)).alias("n"))
 
@@ -185,19 +175,43 @@ def _by_label(spark: SparkSession, d: str) -> DataFrame:
     return domain(spark, d).vertices.join(table(spark, d, "pattern_v"), "label").select("query_no", F.col("id").alias("v"), "u")
 
 
-@query()
+def _hash_sql(x: str) -> str:
+    """The 32-bit hash of x, step by step."""
+    m = 0xFFFFFFFF
+    steps = ["(x + 2127912214 + (x << 12)) & {m}", "xor(xor(x, 3345072700), x >> 19)", "(x + 374761393 + (x << 5)) & {m}", "xor((x + 3550635116) & {m}, (x << 9) & {m})", "(x + 4251993797 + (x << 3)) & {m}", "xor(xor(x, 3042594569), x >> 16)"]
+    out = f"({x} & {m})"
+    for step in steps:
+        out = f"list_transform([{out}], lambda x: {step.format(m=m)})[1]"
+    return out
+
+
+@query(f"WITH {_DOMAIN} SELECT (xor({_hash_sql('a')}, {_hash_sql('b')}) % 16)::INTEGER AS part, count(*) AS n FROM pairs GROUP BY part")
 def edge_owner(spark, d):
     e = domain(spark, d).pairs
     return e.groupBy(owner(F.col("a"), F.col("b"), 16).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_DOMAIN} SELECT id, {_hash_sql('id')}::BIGINT AS scrambled FROM vertices WHERE id < 4294967296")
+def scramble_ids(spark, d):
+    ids = domain(spark, d).vertices.where(F.col("id") < 1 << 32)  # a permutation of the 32-bit numbers
+    return ids.select("id", scramble_column(F.col("id"), 32).alias("scrambled"))
+
+
+@query(f"WITH {_LINES} SELECT count(*) * 2 AS edges FROM lines")
+def edge_balance(spark, d):
+    return domain(spark, d).balance().agg(F.sum("edges").alias("edges"))
+
+
 @query(f"""WITH {_LINES}, ends AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM lines UNION ALL SELECT dst FROM lines) GROUP BY id)
 SELECT sum(n)::BIGINT AS ends, bit_xor(CASE WHEN n % 2 = 1 THEN id ELSE 0 END) AS id_xor, count(*) FILTER (n >= 1000) AS hubs FROM ends""")
 def endpoint_checks(spark, d):
-    e = domain(spark, d).lines
-    ends = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    odd = F.when(F.col("n") % 2 == 1, F.col("id")).otherwise(F.lit(0))
-    return ends.agg(F.sum("n").alias("ends"), F.bit_xor(odd).alias("id_xor"), F.count(F.when(F.col("n") >= 1000, 1)).alias("hubs"))
+    return generate.degree_checks(domain(spark, d).lines, 1000)
+
+
+@query(f"""WITH {_DOMAIN}, deg AS (SELECT id, count(src) AS n FROM vertices LEFT JOIN edges ON src = id GROUP BY id), t AS (SELECT unnest([0, 1, 2, 5, 100, 1000000])::BIGINT AS degree)
+SELECT degree, (SELECT count(*) FROM deg WHERE n >= degree) AS n FROM t""")
+def degree_tail(spark, d):
+    return matching.degree_tail(domain(spark, d), [0, 1, 2, 5, 100, 1_000_000])
 
 
 @query(f"WITH {_DOMAIN} SELECT s.src, s.dst FROM simple s JOIN vertices v ON v.id = s.src JOIN vertices w ON w.id = s.dst WHERE v.label IN (133, 810) AND w.label IN (133, 810)")
@@ -208,110 +222,117 @@ def induced_edges(spark, d):
 
 # --- pruning ----------------------------------------------------------------------------------------------------
 
-#: Patterns by their number in pattern_v and pattern_e: one with seven vertices, and one with a few matches.
+#: Patterns by their number: one with seven vertices, and one with a few matches at every scale.
 BIG, SMALL = 8, 6
+ROUNDS = 9
 
-#: The numbers of all patterns in pattern_v and pattern_e.
-GIVEN_PATTERNS = range(12)
-
-
-def pattern(spark: SparkSession, d: str, number: int) -> Pattern:
-    v = table(spark, d, "pattern_v").where(F.col("query_no") == number).orderBy("u").collect()
-    e = table(spark, d, "pattern_e").where(F.col("query_no") == number).orderBy("a", "b").collect()
-    return Pattern.of([r.label for r in v], [(r.a, r.b) for r in e])
 
-
-def lcc_sql(number: int, rounds: int, edges: str = "simple") -> str:
-    """The candidates of by_neighbour_labels after so many rounds."""
+def lcc_sql(rounds: int = ROUNDS, edges: str = "simple", directed: bool = False, graph: str = _DOMAIN) -> str:
+    """The candidates of all patterns after so many rounds of counting neighbour labels."""
+    both = "SELECT query_no, a AS u, b AS w FROM pattern_e" + ("" if directed else " UNION ALL SELECT query_no, b, a FROM pattern_e")
     parts_ = [
-        _DOMAIN,
-        f"pv AS MATERIALIZED (SELECT u, label FROM pattern_v WHERE query_no = {number})",
-        f"pe AS MATERIALIZED (SELECT a AS u, b AS w FROM pattern_e WHERE query_no = {number} UNION ALL SELECT b, a FROM pattern_e WHERE query_no = {number})",
-        "need AS MATERIALIZED (SELECT pe.u, pv.label, count(*) AS k FROM pe JOIN pv ON pv.u = pe.w GROUP BY ALL)",
-        "c0 AS MATERIALIZED (SELECT id AS v, u FROM vertices JOIN pv USING (label))",
+        graph,
+        f"pe AS MATERIALIZED ({both})",
+        "need AS MATERIALIZED (SELECT query_no, pe.u, v.label, count(*) AS k FROM pe JOIN pattern_v v USING (query_no) WHERE v.u = pe.w GROUP BY ALL)",
+        "c0 AS MATERIALIZED (SELECT query_no, id AS v, u FROM vertices JOIN pattern_v USING (label))",
     ]
     for i in range(1, rounds + 1):
-        alive = f"(SELECT v FROM c{i - 1})" if i > 1 else "(SELECT id FROM vertices)"
-        parts_.append(f"""n{i} AS MATERIALIZED (SELECT e.src AS v, x.label, count(*) AS k FROM {edges} e JOIN vertices x ON x.id = e.dst
-  WHERE e.src IN (SELECT v FROM c{i - 1}) AND e.dst IN {alive} GROUP BY ALL)""")
-        parts_.append(f"""c{i} AS MATERIALIZED (SELECT c.v, c.u FROM c{i - 1} c WHERE NOT EXISTS (
-  SELECT 1 FROM need LEFT JOIN n{i} n ON n.v = c.v AND n.label = need.label WHERE need.u = c.u AND coalesce(n.k, 0) < need.k))""")
+        parts_.append(f"a{i} AS MATERIALIZED (SELECT DISTINCT query_no, v FROM c{i - 1})")
+        parts_.append(f"""n{i} AS MATERIALIZED (SELECT a.query_no, a.v, x.label, count(*) AS k FROM {edges} e JOIN a{i} a ON a.v = e.src
+  JOIN a{i} b ON b.v = e.dst AND b.query_no = a.query_no JOIN vertices x ON x.id = e.dst GROUP BY ALL)""")
+        parts_.append(f"""c{i} AS MATERIALIZED (SELECT c.query_no, c.v, c.u FROM c{i - 1} c LEFT JOIN need ON need.query_no = c.query_no AND need.u = c.u
+  LEFT JOIN n{i} n ON n.query_no = c.query_no AND n.v = c.v AND n.label = need.label
+  GROUP BY ALL HAVING count(*) FILTER (need.k > coalesce(n.k, 0)) = 0)""")
     return "WITH " + ",\n".join(parts_)
 
 
-ROUNDS = 8
+_LAST = f"c{ROUNDS}"
+_LIVE_EDGES = f"l AS MATERIALIZED (SELECT DISTINCT query_no, v FROM {_LAST}), le AS MATERIALIZED (SELECT a.query_no, src, dst FROM simple JOIN l a ON a.v = src JOIN l b ON b.v = dst AND b.query_no = a.query_no)"
+
+
+def _candidates(spark: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame]:
+    cand, edges, _ = prune.prune_by_labels(domain(spark, d), given(spark, d), **how)
+    return cand.withColumnRenamed("q", "query_no"), edges.withColumnRenamed("q", "query_no")
 
 
-@query(lcc_sql(BIG, ROUNDS) + f" SELECT v, u FROM c{ROUNDS}")
+@query(lcc_sql() + f" SELECT query_no, v, u FROM {_LAST}")
 def lcc_candidates(spark, d):
-    return prune.by_neighbour_labels(domain(spark, d), pattern(spark, d, BIG))[0]
+    return _candidates(spark, d)[0]
 
 
-@query(lcc_sql(BIG, ROUNDS) + f" SELECT DISTINCT v AS id FROM c{ROUNDS}")
+@query(lcc_sql() + f" SELECT DISTINCT query_no, v AS id FROM {_LAST}")
 def lcc_nlf_vertices(spark, d):
-    return prune.by_neighbour_labels(domain(spark, d), pattern(spark, d, BIG))[0].select(F.col("v").alias("id")).distinct()
+    return _candidates(spark, d)[0].select("query_no", F.col("v").alias("id")).distinct()
 
 
-@query(lcc_sql(BIG, ROUNDS, "edges") + f" SELECT v, u FROM c{ROUNDS}")
+@query(lcc_sql(edges="edges") + f" SELECT query_no, v, u FROM {_LAST}")
 def lcc_multigraph(spark, d):
-    return prune.by_neighbour_labels(domain(spark, d), pattern(spark, d, BIG), multigraph=True)[0]
+    return _candidates(spark, d, multigraph=True)[0]
 
 
-@query(lcc_sql(BIG, ROUNDS) + f" SELECT src, dst FROM simple WHERE src IN (SELECT v FROM c{ROUNDS}) AND dst IN (SELECT v FROM c{ROUNDS})")
-def lcc_active_edges(spark, d):
-    g = domain(spark, d)
-    return prune.live_edges(g.simple, prune.by_neighbour_labels(g, pattern(spark, d, BIG))[0])
+@query(lcc_sql(2) + " SELECT query_no, v, u FROM c2")
+def lcc_two_rounds(spark, d):
+    return _candidates(spark, d, max_rounds=2)[0]
 
 
-@query(lcc_sql(BIG, ROUNDS) + f" SELECT v AS id, label, bit_or(1::BIGINT << u) AS bits FROM c{ROUNDS} JOIN vertices ON id = v GROUP BY v, label")
-def lcc_bits(spark, d):
+_ARCS = f"""{_LINES}, simple AS MATERIALIZED (SELECT DISTINCT src, dst FROM lines WHERE src <> dst),
+vertices AS MATERIALIZED (SELECT a AS id, arg_max(l, (set_at, l)) AS label FROM vertex_label WHERE a IS NOT NULL AND l IS NOT NULL AND gone_at IS NULL GROUP BY a)"""
+
+
+@query(lcc_sql(directed=True, graph=_ARCS) + f" SELECT query_no, v, u FROM {_LAST}")
+def lcc_directed(spark, d):
     g = domain(spark, d)
-    return prune.candidate_bits(prune.by_neighbour_labels(g, pattern(spark, d, BIG))[0], g.vertices)
+    cand, _, _ = prune.prune_by_labels(Graph(g.lines, g.vertices, undirected=False), given(spark, d, directed=True))
+    return cand.withColumnRenamed("q", "query_no")
 
 
-def _arc_sql(number: int, rounds: int) -> str:
-    sql = lcc_sql(number, ROUNDS)
-    for i in range(ROUNDS + 1, ROUNDS + rounds + 1):
-        sql += f""",
-c{i} AS MATERIALIZED (SELECT c.v, c.u FROM c{i - 1} c WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pe.u = c.u AND NOT EXISTS (
-  SELECT 1 FROM simple e JOIN c{i - 1} o ON o.v = e.dst WHERE e.src = c.v AND o.u = pe.w)))"""
-    return sql + f" SELECT v, u FROM c{ROUNDS + rounds}"
+@query(lcc_sql() + f", {_LIVE_EDGES} SELECT query_no, src, dst FROM le SEMI JOIN (SELECT DISTINCT query_no AS q, x.label AS f, y.label AS t FROM pe JOIN pattern_v x USING (query_no) JOIN pattern_v y USING (query_no) WHERE x.u = pe.u AND y.u = pe.w) k "
+       "ON k.q = query_no AND k.f = (SELECT label FROM vertices WHERE id = src) AND k.t = (SELECT label FROM vertices WHERE id = dst)")
+def lcc_active_edges(spark, d):
+    """The edges that pruning leaves: between live vertices, and with the labels of an edge of the query."""
+    return _candidates(spark, d)[1]
 
 
-@query(_arc_sql(SMALL, 6))
-def lcc_arc(spark, d):
-    g, p = domain(spark, d), pattern(spark, d, SMALL)
-    cand, edges, _ = prune.by_neighbour_labels(g, p)
-    return prune.by_neighbour_candidates(edges, cand, p)
+@query(lcc_sql() + f" SELECT query_no, v AS id, label, bit_or(1::BIGINT << u) AS bits FROM {_LAST} JOIN vertices ON id = v GROUP BY query_no, v, label")
+def lcc_bits(spark, d):
+    cand, g = _candidates(spark, d)[0], domain(spark, d)
+    bits = cand.groupBy("query_no", F.col("v").alias("id")).agg(bit_set(F.col("u")).alias("bits"))
+    return bits.join(g.vertices, "id").select("query_no", "id", "label", "bits")
 
 
-def _pruned(number: int, then: Callable[[Graph, DataFrame], DataFrame], **how):
-    def run(spark, d):
-        g = domain(spark, d)
-        return then(g, prune.by_neighbour_labels(g, pattern(spark, d, number), **how)[0])
+@query(lcc_sql() + f" SELECT query_no, v, u FROM {_LAST}")
+def lcc_from_bits(spark, d):
+    """The candidates again from their bits."""
+    most = max(p.n for p in given(spark, d).values())
+    bits = lcc_bits(spark, d)
+    found = prune.candidates_of_bits(bits.select(F.struct("query_no", "id").alias("id"), "bits"), most)
+    return found.select("v.query_no", F.col("v.id").alias("v"), "u")
 
-    return run
 
+@query(lcc_sql() + f", {_LIVE_EDGES} SELECT query_no, (SELECT count(DISTINCT v) FROM {_LAST} c WHERE c.query_no = le.query_no) AS vertices, count(*) AS edges FROM le GROUP BY query_no")
+def lcc_size(spark, d):
+    """Live vertices and the edges between them, per pattern that has any."""
+    cand, simple = _candidates(spark, d)[0], domain(spark, d).simple
+    live = cut(cand.select("query_no", F.col("v").alias("id")).distinct())
+    edges = simple.join(live.withColumnRenamed("id", "src"), "src").join(live.withColumnRenamed("id", "dst"), ["query_no", "dst"]).groupBy("query_no").agg(F.count(F.lit(1)).alias("edges"))
+    return live.groupBy("query_no").agg(F.count(F.lit(1)).alias("vertices")).join(edges, "query_no").select("query_no", "vertices", "edges")
 
-def _arc(number: int):
-    def run(spark, d):
-        g, p = domain(spark, d), pattern(spark, d, number)
-        cand, edges, _ = prune.by_neighbour_labels(g, p)
-        return prune.by_neighbour_candidates(edges, cand, p)
 
-    return run
+def _arc_sql(rounds: int) -> str:
+    sql = lcc_sql()
+    for i in range(ROUNDS + 1, ROUNDS + rounds + 1):
+        sql += f""",
+r{i} AS MATERIALIZED (SELECT DISTINCT o.query_no, e.src AS v, o.u AS w FROM simple e JOIN c{i - 1} o ON o.v = e.dst),
+c{i} AS MATERIALIZED (SELECT c.query_no, c.v, c.u FROM c{i - 1} c JOIN pe ON pe.query_no = c.query_no AND pe.u = c.u LEFT JOIN r{i} r ON r.query_no = c.query_no AND r.v = c.v AND r.w = pe.w
+  GROUP BY ALL HAVING count(*) FILTER (r.v IS NULL) = 0)"""
+    return sql + f" SELECT query_no, v, u FROM c{ROUNDS + rounds}"
 
 
-# The same for every pattern, its number at the end of the name.
-for _no in GIVEN_PATTERNS:
-    QUERIES |= {
-        f"lcc_candidates{_no}": _pruned(_no, lambda g, cand: cand),
-        f"lcc_nlf_vertices{_no}": _pruned(_no, lambda g, cand: cand.select(F.col("v").alias("id")).distinct()),
-        f"lcc_multigraph{_no}": _pruned(_no, lambda g, cand: cand, multigraph=True),
-        f"lcc_active_edges{_no}": _pruned(_no, lambda g, cand: prune.live_edges(g.simple, cand)),
-        f"lcc_bits{_no}": _pruned(_no, lambda g, cand: prune.candidate_bits(cand, g.vertices)),
-        f"lcc_arc{_no}": _arc(_no),
-    }
+@query(_arc_sql(6))
+def lcc_arc(spark, d):
+    ps = given(spark, d)
+    cand, edges, _ = prune.prune_by_labels(domain(spark, d), ps)
+    return prune.prune_by_candidates(edges, cand, ps).withColumnRenamed("q", "query_no")
 
 
 def _walk_query(walk: Sequence[int], labels: Sequence[int]) -> str:
@@ -392,88 +413,130 @@ SHAPES: dict[str, Pattern] = {
 }
 
 
-def _shape(graph: Callable[[SparkSession, str], Graph], p: Pattern, **how):
-    return lambda spark, d: matching.match(graph(spark, d), p, **how)
-
-
-#: The part graph's queries by the end of their names.
-PART_GRAPHS = {"": (returned_parts, _PARTS), "_all": (parts, _ALL_PARTS)}
-
-for _end, (_graph, _tables) in PART_GRAPHS.items():
-    for _name, _p in SHAPES.items():
-        QUERIES[f"match_{_name}{_end}"] = _shape(_graph, _p)
-        SQL[f"match_{_name}{_end}"] = match_sql(_tables, _p.labels, _p.edges, _p.n)
-    for _how, _options in {"walk": {"strategy": "walk"}, "intersect": {"strategy": "intersect"}, "vf3": {"order": "vf3", "pruning": False}}.items():
-        QUERIES[f"match_diamond_{_how}{_end}"] = _shape(_graph, SHAPES["diamond"], **_options)
-        SQL[f"match_diamond_{_how}{_end}"] = SQL[f"match_diamond{_end}"]
-    QUERIES[f"match_induced_path3{_end}"] = _shape(_graph, SHAPES["path3"], induced=True)
-    SQL[f"match_induced_path3{_end}"] = match_sql(_tables, SHAPES["path3"].labels, SHAPES["path3"].edges, 3, " AND NOT EXISTS (SELECT 1 FROM simple x WHERE x.src = {v0} AND x.dst = {v2})")
-
+#: Shapes on the domain graph, with its hub; the labels are there at every scale.
+DOMAIN_SHAPES: dict[str, Pattern] = {
+    "triangle": Pattern.of([None, None, None], [(0, 1), (1, 2), (0, 2)]),
+    "diamond": Pattern.of([None, 733, 810, None], [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]),
+    "path3": Pattern.of([733, None, 733], [(0, 1), (1, 2)]),
+    "square": Pattern.of([733, None, 733, 810], [(0, 1), (1, 2), (2, 3), (0, 3)]),
+    "star": Pattern.of([133, 733, 733, 810], [(0, 1), (0, 2), (0, 3)]),
+}
 
-def _given(number: int, **how):
-    def run(spark, d):
-        p = pattern(spark, d, number)
-        return matching.match(domain(spark, d), p, walks=constraints.generate(p), **how)
 
-    return run
+def _shape(graph: Callable[[SparkSession, str], Graph], p: Pattern, **how):
+    return lambda spark, d: matching.match(graph(spark, d), p, **how)
 
 
-def given_sql(labels: Sequence[int], edges: Sequence[tuple[int, int]], number: int) -> str:
-    some = [f"(SELECT label FROM pattern_v WHERE query_no = {number} AND u = {u})" for u in range(len(labels))]
-    return match_sql(_DOMAIN, some, edges, len(labels))
+for _name, _p in SHAPES.items():
+    QUERIES[f"match_{_name}"] = _shape(parts, _p)
+    SQL[f"match_{_name}"] = match_sql(_PARTS, _p.labels, _p.edges, _p.n)
+for _how, _options in {"walk": {"strategy": "walk"}, "intersect": {"strategy": "intersect"}, "vf3": {"order": "vf3", "pruning": False}}.items():
+    QUERIES[f"match_diamond_{_how}"] = _shape(parts, SHAPES["diamond"], **_options)
+    SQL[f"match_diamond_{_how}"] = SQL["match_diamond"]
+QUERIES["match_induced_path3"] = _shape(parts, SHAPES["path3"], induced=True)
+SQL["match_induced_path3"] = match_sql(_PARTS, SHAPES["path3"].labels, SHAPES["path3"].edges, 3, " AND NOT EXISTS (SELECT 1 FROM simple x WHERE x.src = {v0} AND x.dst = {v2})")
+for _name, _p in DOMAIN_SHAPES.items():
+    QUERIES[f"match_domain_{_name}"] = _shape(domain, _p)
+    SQL[f"match_domain_{_name}"] = match_sql(_DOMAIN, _p.labels, _p.edges, _p.n)
 
 
-# The SQL has the patterns' edges written out, its labels come from pattern_v; the queries read both tables. Patterns 2, 3
-# and 10, of seven and eight vertices, have no SQL: that of 10 didn't end within 100 s over sf0.1.
+# The SQL has the patterns' edges written out, its labels come from pattern_v; the query reads both tables.
 GIVEN = {
     0: [(0, 1), (0, 2), (0, 3), (0, 4)],
     1: [(0, 1), (0, 4), (1, 2), (2, 3), (3, 4)],
+    2: [(0, 1), (1, 2), (1, 4), (1, 6), (2, 3), (2, 4), (3, 5), (3, 6), (4, 6)],
+    3: [(0, 1), (1, 2), (1, 3), (2, 4), (3, 5), (4, 6), (4, 7)],
     4: [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (3, 4)],
     5: [(0, 1), (0, 3), (1, 2), (2, 3)],
     6: [(0, 1), (0, 2), (1, 3)],
     7: [(0, 1), (0, 2), (0, 3), (2, 3)],
     8: [(0, 1), (1, 2), (1, 3), (1, 5), (1, 6), (2, 4)],
     9: [(0, 1), (1, 2), (1, 3)],
+    10: [(0, 1), (0, 2), (0, 3), (0, 4), (1, 5), (2, 6), (5, 6)],
     11: [(0, 1), (0, 2), (0, 3), (0, 4), (2, 3)],
 }
-for _no, _edges in GIVEN.items():
-    _n = 1 + max(max(e) for e in _edges)
-    SQL[f"match_given{_no}"] = given_sql([0] * _n, _edges, _no)
-for _no in GIVEN_PATTERNS:
-    QUERIES[f"match_given{_no}"] = _given(_no)
 
 
-def _by_vertex(graph: Callable[[SparkSession, str], Graph]):
-    return lambda spark, d: matching.matches_per_vertex(matching.match(graph(spark, d), SHAPES["diamond"]))
+def _given_sql() -> str:
+    """All matches of all patterns: for each the joins of its edges between the candidates that counting leaves."""
+    tables, selects = [lcc_sql()], []
+    most = 1 + max(x for edges in GIVEN.values() for e in edges for x in e)
+    for q, edges in GIVEN.items():
+        n = 1 + max(max(e) for e in edges)
+        for u in range(n):
+            tables.append(f"q{q}v{u} AS MATERIALIZED (SELECT v AS id FROM {_LAST} WHERE query_no = {q} AND u = {u})")
+        froms, at, done = [], {}, []
+        order = [0]
+        while len(order) < n:
+            order.append(next(w for w in range(n) if w not in order and any({w, x} == set(e) for e in edges for x in order)))
+        tests = []
+        for u in order:
+            near = [w for w in done if (w, u) in edges or (u, w) in edges]
+            if not near:
+                froms.append(f"q{q}v{u} v{u}")
+            else:
+                e = f"q{q}e{near[0]}_{u}"
+                tables.append(f"{e} AS MATERIALIZED (SELECT src, dst FROM simple WHERE src IN (SELECT id FROM q{q}v{near[0]}) AND dst IN (SELECT id FROM q{q}v{u}))")
+                froms.append(f"JOIN {e} e{u} ON e{u}.src = {at[near[0]]}")
+                for w in near[1:]:
+                    froms.append(f"JOIN simple s{w}_{u} ON s{w}_{u}.src = {at[w]} AND s{w}_{u}.dst = e{u}.dst")
+            at[u] = f"v{u}.id" if not near else f"e{u}.dst"
+            tests += [f"{at[u]} <> {at[w]}" for w in done]
+            done.append(u)
+        columns = ", ".join(f"{at[u]} AS m{u}" if u < n else f"NULL::BIGINT AS m{u}" for u in range(most))
+        selects.append(f"SELECT {q} AS query_no, {columns} FROM {' '.join(froms)} WHERE {' AND '.join(tests)}")
+    return ", ".join(tables) + " " + " UNION ALL ".join(selects)
+
+
+@query(_given_sql())
+def match_given(spark, d):
+    return matching.match_many(domain(spark, d), given(spark, d))
+
+
+def _one(number: int):
+    """A pattern alone, with walk constraints at its rarest labels."""
+    def run(spark, d):
+        g, p = domain(spark, d), given(spark, d)[number]
+        return matching.match(g, p, walks=constraints.generate(p, counts=matching.label_counts_of(g, p)))
+
+    return run
+
+
+for _no in (0, 1, 6, 10):
+    QUERIES[f"match_given{_no}"] = _one(_no)
+    _n = 1 + max(max(e) for e in GIVEN[_no])
+    SQL[f"match_given{_no}"] = f"WITH m AS ({SQL['match_given']}) SELECT {', '.join(f'm{u}' for u in range(_n))} FROM m WHERE query_no = {_no}"
 
 
-def _edited(graph: Callable[[SparkSession, str], Graph]):
-    return lambda spark, d: matching.match_edited(graph(spark, d), SHAPES["diamond"], 1)
+@query(f"""WITH m AS ({SQL['match_diamond']}) SELECT u, v, count(*) AS n FROM (SELECT 0 AS u, m0 AS v FROM m UNION ALL SELECT 1, m1 FROM m
+UNION ALL SELECT 2, m2 FROM m UNION ALL SELECT 3, m3 FROM m) GROUP BY u, v""")
+def match_count_by_vertex(spark, d):
+    return matching.matches_per_vertex(matching.match(parts(spark, d), SHAPES["diamond"]))
 
 
-for _end, (_graph, _tables) in PART_GRAPHS.items():
-    QUERIES[f"match_count_by_vertex{_end}"] = _by_vertex(_graph)
-    SQL[f"match_count_by_vertex{_end}"] = f"""WITH m AS ({SQL[f'match_diamond{_end}']}) SELECT u, v, count(*) AS n FROM (SELECT 0 AS u, m0 AS v FROM m UNION ALL SELECT 1, m1 FROM m
-UNION ALL SELECT 2, m2 FROM m UNION ALL SELECT 3, m3 FROM m) GROUP BY u, v"""
-    QUERIES[f"match_edit1{_end}"] = _edited(_graph)
-    SQL[f"match_edit1{_end}"] = " UNION ALL ".join(
-        f"SELECT {i} AS prototype, m0, m1, m2, m3 FROM ({match_sql(_tables, q.labels, q.edges, q.n)})" for i, q in enumerate(SHAPES["diamond"].prototypes(1)))
+@query(" UNION ALL ".join(f"SELECT {i} AS prototype, m0, m1, m2, m3 FROM ({match_sql(_PARTS, q.labels, q.edges, q.n)})" for i, q in enumerate(SHAPES["diamond"].prototypes(1))))
+def match_edit1(spark, d):
+    return matching.match_edited(parts(spark, d), SHAPES["diamond"], 1)
 
 
-@query()
+@query(f"WITH m AS ({SQL['match_diamond']}), {_PARTS} SELECT (SELECT count(*) FROM m) AS matches, (SELECT count(*) FROM m) AS last_step, (SELECT count(*) FROM vertices) AS vertices, (SELECT count(*) FROM simple) AS edges, true AS fewer_live")
 def match_report(spark, d):
     report: dict = {}
-    n = matching.match(parts(spark, d), SHAPES["diamond"], report=report).count()
-    row = [(n, report["vertices"], report["live_vertices"], report["edges"], report["live_edges"], report["rounds"])]
-    return spark.createDataFrame(row, "matches long, vertices long, live_vertices long, edges long, live_edges long, rounds int")
+    p = SHAPES["diamond"]
+    n = matching.match(parts(spark, d), p, report=report).count()
+    last = report["states"][report["order"][-1]].get["rows"] * len(p.automorphisms())
+    fewer = report["live_vertices"] <= report["vertices"] and report["live_edges"] <= report["edges"]
+    return spark.createDataFrame([(n, last, report["vertices"], report["edges"], fewer)], "matches long, last_step long, vertices long, edges long, fewer_live boolean")
 
 
-@query()
+@query(f"""WITH {_DOMAIN}, deg AS (SELECT id, count(src) AS n FROM vertices LEFT JOIN edges ON src = id GROUP BY id),
+pd AS (SELECT query_no, u, count(*) AS d FROM (SELECT query_no, a AS u FROM pattern_e UNION ALL SELECT query_no, b FROM pattern_e) GROUP BY ALL)
+SELECT query_no, u, round((SELECT count(*) FROM vertices v WHERE v.label = pattern_v.label) / (SELECT count(*) FROM vertices)::DOUBLE * ((SELECT count(*) FROM deg WHERE n >= pd.d) / (SELECT count(*) FROM vertices)::DOUBLE), 12) AS probability
+FROM pattern_v JOIN pd USING (query_no, u)""")
 def label_tail_prob(spark, d):
-    p = pattern(spark, d, BIG)
-    rare = matching.label_rarity(domain(spark, d), p)
-    order = constraints.vf3_order(p, rare)
-    return spark.createDataFrame([(u, float(rare[u]), order.index(u)) for u in range(p.n)], "u int, probability double, place int")
+    g = domain(spark, d)
+    rows = [(q, u, round(float(x), 12)) for q, p in given(spark, d).items() for u, x in enumerate(matching.label_rarity(g, p))]
+    return spark.createDataFrame(rows, "query_no int, u int, probability double")
 
 
 # --- analytics --------------------------------------------------------------------------------------------------
@@ -543,6 +606,12 @@ def cc_weight_filtered(spark, d):
     return traverse.components(domain(spark, d), edge=F.col("weight") <= 0.2)
 
 
+@query(_cc_sql("SELECT src, dst FROM simple JOIN vertices a ON a.id = src JOIN vertices b ON b.id = dst WHERE a.label % 2 = 0 AND b.label % 2 = 0",
+               "SELECT x.id, cc FROM {} x JOIN vertices v ON v.id = x.id WHERE v.label % 2 = 0", 20))
+def cc_vertex_filtered(spark, d):
+    return traverse.components(domain(spark, d), vertex=F.col("label") % 2 == 0)
+
+
 SOURCE = 1000
 
 
@@ -669,61 +738,234 @@ def upper_triangle(spark, d):
     return generate.upper_triangle(spark, 5000)
 
 
-@query()
-def rmat_unique(spark, d):
-    return generate.rmat_unique(spark, 12)
-
-
-@query()
-def rmat_edges(spark, d):
-    return generate.rmat(spark, 17, 200_000)
+@query("SELECT 2097152::BIGINT AS edges, 0::BIGINT AS out_of_range, true AS skewed, true AS scrambled")
+def rmat_checks(spark, d):
+    """The defaults: 17 bits, 16 edges a vertex. Before scrambling most edges have ends in the lower half, after it not."""
+    e, plain = generate.rmat(spark, 17, 16 << 17), generate.rmat(spark, 17, 16 << 17, scramble=False)
+    outside = F.count(F.when((F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= 1 << 17), 1))
+    low = F.count(F.when(F.col("src") < 1 << 16, 1)) / F.count(F.lit(1))
+    a, b = e.agg(F.count(F.lit(1)).alias("edges"), outside.alias("out_of_range"), low.alias("low")), plain.agg(low.alias("low")).first()
+    most = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return a.select("edges", "out_of_range", F.lit(most > 1000 and b.low > 0.7).alias("skewed"), (F.col("low") < 0.9).alias("scrambled"))
 
 
-@query()
-def preferential_attachment(spark, d):
-    return generate.preferential(spark, 5_000, 4)
+@query("SELECT 2097152::BIGINT AS pairs, 2097152::BIGINT AS distinct_pairs, 0::BIGINT AS not_ordered")
+def rmat_unique_checks(spark, d):
+    pairs = cut(generate.rmat_unique(spark, 17))
+    n = pairs.distinct().count()
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.lit(n).cast("long").alias("distinct_pairs"), F.count(F.when(F.col("a") >= F.col("b"), 1)).alias("not_ordered"))
+
+
+@query("SELECT r AS rewired, 400000::BIGINT AS edges, 100000::BIGINT AS sources, 0::BIGINT AS bad, true AS preferred FROM (VALUES (false), (true)) t(r)")
+def preferential_checks(spark, d):
+    """Every vertex sends four edges; without rewiring all go to older ones, and a few get many."""
+    parts_ = []
+    for r in (False, True):
+        e = cut(generate.preferential(spark, 100_000, 4, rewire=r))
+        most = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        fours = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n = 4").count()
+        bad = F.count(F.when((F.col("dst") < 0) | (F.col("dst") >= 100_000) | (F.lit(not r) & (F.col("dst") > F.col("src"))), 1))
+        parts_.append(e.agg(F.lit(r).alias("rewired"), F.count(F.lit(1)).alias("edges"), F.lit(fours).cast("long").alias("sources"), bad.alias("bad"), F.lit(most > 100).alias("preferred")))
+    return parts_[0].unionByName(parts_[1])
+
+
+@query("SELECT 50::BIGINT AS vertices, 0::BIGINT AS lost, 0::BIGINT AS made_up, 1::BIGINT AS components")
+def sample_walk_checks(spark, d):
+    """Fifty vertices of a walk, with exactly the edges that the graph has between them."""
+    g = parts(spark, d)
+    v, e = sample.sample_subgraph(g, 50)
+    v, e = cut(v), cut(e)
+    all_ = g.induced(v).select("src", "dst").distinct()
+    row = (v.count(), all_.join(e, ["src", "dst"], "left_anti").count(), e.join(all_, ["src", "dst"], "left_anti").count(), traverse.components(Graph(e)).select("cc").distinct().count())
+    return spark.createDataFrame([row], "vertices long, lost long, made_up long, components long")
+
+
+@query("SELECT kind, 5 AS vertices, true AS connected, true AS found FROM (VALUES ('path'), ('tree'), ('other'), ('cycle')) t(kind)")
+def sample_query_checks(spark, d):
+    """A query of each kind drawn from the graph is in it."""
+    g = parts(spark, d)
+    rows = []
+    for kind in ("path", "tree", "other", "cycle"):
+        p = sample.query(g, 5, kind, seed=3, constrained=False)
+        rows.append((kind, p.n, p.connected(), not matching.match(g, p).isEmpty()))
+    return spark.createDataFrame(rows, "kind string, vertices int, connected boolean, found boolean")
+
+
+# --- readers and sinks: written as text, read again -------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/text-{uuid.uuid4()}"
+
+
+@query(f"WITH {_LINES} SELECT src, dst, coalesce(weight, 0.0) AS weight, CASE WHEN src < 0 OR dst < 0 THEN 'id' END AS reason FROM lines")
+def text_edges(spark, d):
+    """Every line with the reason for which it is no edge, if there is one."""
+    at = _folder(spark)
+    text.write_lines(domain(spark, d).lines.select("src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight")), at)
+    return text.edge_lines(spark.read.text(at), weighted=True).drop("value")
+
+
+@query(f"WITH {_DOMAIN} SELECT src, dst FROM simple WHERE src >= 0 AND dst >= 0")
+def text_both_ways(spark, d):
+    """Edges with a negative id can't be read; there are such in the table."""
+    at = _folder(spark)
+    text.write_lines(generate.both_ways(domain(spark, d).pairs.where("a >= 0")), at)
+    return text.read_edges(spark, at).drop("weight")
+
+
+@query(f"WITH {_DOMAIN} SELECT id, label FROM vertices")
+def text_labels(spark, d):
+    """By a list that names a folder and a pattern; the first name isn't there and is looked up beside the list."""
+    at = _folder(spark)
+    v = domain(spark, d).vertices
+    text.write_lines(v.where("id % 2 = 0"), f"{at}/even", "id", "label")
+    text.write_lines(v.where("id % 2 <> 0"), f"{at}/odd", "id", "label")
+    spark.createDataFrame([("/elsewhere/even",), (f"{at}/odd",)], "value string").coalesce(1).write.text(f"{at}/list")
+    return text.read_label_list(spark, f"{at}/list")
+
+
+@query(SQL["match_domain_star"])
+def text_matches(spark, d):
+    at = _folder(spark)
+    text.write_matches(matching.match(domain(spark, d), DOMAIN_SHAPES["star"]), at)
+    f = F.split("value", " ")
+    return spark.read.text(at).select(*(f[u].cast("long").alias(f"m{u}") for u in range(4)))
+
+
+@query(f"SELECT concat_ws(', ', m0, m1, m0, m2, m0, m3) AS walk FROM ({SQL['match_domain_star']})")
+def text_walks(spark, d):
+    at, p = _folder(spark), DOMAIN_SHAPES["star"]
+    text.write_walks(matching.match(domain(spark, d), p, strategy="walk"), p.covering_walk(0), at)
+    return spark.read.text(at).withColumnRenamed("value", "walk")
+
+
+@query(lcc_sql() + f" SELECT v AS id, label, bit_or(1::BIGINT << u) AS bits FROM {_LAST} JOIN vertices ON id = v WHERE query_no = {SMALL} GROUP BY v, label")
+def text_pruned(spark, d):
+    at, g = _folder(spark), domain(spark, d)
+    cand, edges, _ = prune.by_neighbour_labels(g, given(spark, d)[SMALL])
+    text.pruned_lines(prune.candidate_bits(cand, g.vertices), edges).write.text(at)
+    return text.read_pruned(spark, at)[0]
+
+
+@query(f"SELECT a::BIGINT AS src, b::BIGINT AS dst, (a + b)::BIGINT AS weight FROM pattern_e WHERE query_no = {BIG} UNION ALL SELECT b, a, a + b FROM pattern_e WHERE query_no = {BIG}")
+def text_factor(spark, d):
+    at = _folder(spark)
+    e = table(spark, d, "pattern_e").where(F.col("query_no") == BIG).select(F.lit(1).alias("o"), F.concat_ws(" ", "a", "b", F.col("a") + F.col("b")).alias("value"))
+    head = spark.createDataFrame([(0, str(given(spark, d)[BIG].n))], "o int, value string")
+    head.unionByName(e).coalesce(1).sortWithinPartitions("o").select("value").write.text(at)
+    return text.read_factor(spark, at)[1]
+
+
+@query("SELECT query_no, a, b, x.label AS label_a, y.label AS label_b FROM pattern_e JOIN pattern_v x USING (query_no) JOIN pattern_v y USING (query_no) WHERE x.u = a AND y.u = b")
+def text_patterns(spark, d):
+    """Every pattern written with all its walk constraints and read again, from one text and from a folder of files."""
+    rows = []
+    for q, p in given(spark, d).items():
+        walks = constraints.generate(p, "all")
+        read = read_pattern(write_pattern(p, q, walks).splitlines())
+        assert [Walk.read(c).vertices for c in read.constraints] == [w.vertices for w in walks]
+        with tempfile.TemporaryDirectory() as folder:  # the driver's own, for a query of a few lines
+            write_pattern_files(read, folder)
+            read = read_pattern_files(folder)
+        rows += [(q, a, b, read.labels[a], read.labels[b]) for a, b in read.edges]
+    return spark.createDataFrame(rows, "query_no int, a int, b int, label_a long, label_b long")
+
+
+@query("""WITH RECURSIVE e AS (SELECT query_no, a, b FROM pattern_e UNION ALL SELECT query_no, b, a FROM pattern_e),
+p AS (SELECT query_no, a AS first, b AS last, [a, b] AS path FROM e WHERE b > a UNION ALL
+  SELECT p.query_no, first, e.b, list_append(path, e.b) FROM p JOIN e ON e.query_no = p.query_no AND e.a = p.last WHERE e.b > first AND NOT list_contains(path, e.b))
+SELECT p.query_no, len(path)::INTEGER AS length, count(*) AS n FROM p JOIN e ON e.query_no = p.query_no AND e.a = last AND e.b = first WHERE len(path) > 2 AND path[2] < last GROUP BY ALL""")
+def pattern_cycles(spark, d):
+    rows = [(q, len(c)) for q, p in given(spark, d).items() for c in p.cycles()]
+    return spark.createDataFrame(rows, "query_no int, length int").groupBy("query_no", "length").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def sample_walk(spark, d):
-    v, e = sample.sample_subgraph(parts(spark, d), 50)
-    return e
+@query(f"WITH {_DOMAIN} SELECT src, dst, weight FROM edges")
+def store_round_trip(spark, d):
+    """Saved, copied, loaded."""
+    at = _folder(spark)
+    domain(spark, d).save(f"{at}/a")
+    Graph.copy(spark, f"{at}/a", f"{at}/b")
+    Graph.remove(spark, f"{at}/a")
+    return Graph.load(spark, f"{at}/b").edges
 
 
-@query()
-def sample_query(spark, d):
-    p = sample.query(parts(spark, d), 6, "other", seed=3, constrained=False)
-    return spark.createDataFrame([(a, b, p.labels[a], p.labels[b]) for a, b in p.edges], "a int, b int, label_a long, label_b long")
+# --- the learned filter -----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_DOMAIN}, c AS (SELECT id AS v FROM vertices WHERE label = 496), n0 AS MATERIALIZED (SELECT v, v AS id FROM c),
-n1 AS MATERIALIZED (SELECT * FROM n0 UNION SELECT n.v, e.dst FROM n0 n JOIN simple e ON e.src = n.id)
-SELECT v, id, CASE WHEN v = id THEN 0 ELSE 1 END AS hop FROM n1""")
-def ego_network(spark, d):
-    g = domain(spark, d)
-    return learned.ego_nodes(g.simple, g.vertices.where("label = 496").select(F.col("id").alias("v")), hops=1)
+def _kept_sql(number: int) -> str:
+    """le: the edges that pruning leaves for a pattern; h0, h1, h2, h3: neighbourhoods of its candidates on them."""
+    out = [lcc_sql(), f"c AS MATERIALIZED (SELECT v, u FROM {_LAST} WHERE query_no = {number})", "l AS MATERIALIZED (SELECT DISTINCT v, label FROM c JOIN vertices ON id = v)",
+           f"k AS MATERIALIZED (SELECT DISTINCT x.label AS f, y.label AS t FROM pe JOIN pattern_v x USING (query_no) JOIN pattern_v y USING (query_no) WHERE x.u = pe.u AND y.u = pe.w AND query_no = {number})",
+           "le AS MATERIALIZED (SELECT src, dst FROM simple JOIN l a ON a.v = src JOIN l b ON b.v = dst SEMI JOIN k ON k.f = a.label AND k.t = b.label)",
+           "h0 AS MATERIALIZED (SELECT DISTINCT v, v AS id, 0 AS hop FROM c)"]
+    for h in (1, 2, 3):
+        out.append(f"""h{h} AS MATERIALIZED (SELECT v, id, min(hop) AS hop FROM (SELECT * FROM h{h - 1} UNION ALL SELECT n.v, e.dst, {h} FROM h{h - 1} n JOIN le e ON e.src = n.id) GROUP BY v, id)""")
+    return ", ".join(out)
 
 
 def _ego(spark: SparkSession, d: str, number: int) -> tuple[DataFrame, DataFrame]:
     """The edges that pruning leaves for a pattern, and on them the neighbourhoods of its candidates."""
-    cand, edges, _ = prune.prune(domain(spark, d), pattern(spark, d, number))
+    cand, edges, _ = prune.prune(domain(spark, d), given(spark, d)[number])
     return edges, learned.ego_nodes(edges, cand.select("v").distinct())
 
 
-@query()
-def ego_network_pruned(spark, d):
+@query(_kept_sql(BIG) + " SELECT v, id, hop FROM h3")
+def ego_network(spark, d):
+    """Three hops around every candidate of a pattern, on the edges that its pruning leaves."""
     return _ego(spark, d, BIG)[1]
 
 
-@query()
-def ego_edges_pruned(spark, d):
+@query(_kept_sql(BIG) + " SELECT a.v, src, dst FROM le JOIN h3 a ON a.id = src JOIN h3 b ON b.id = dst AND b.v = a.v")
+def ego_edges(spark, d):
     return learned.ego_edges(*_ego(spark, d, BIG))
 
 
-@query(f"""WITH m AS MATERIALIZED ({SQL['match_given9']}), t AS MATERIALIZED (SELECT m0 AS v, 0 AS u FROM m UNION SELECT m1, 1 FROM m UNION SELECT m2, 2 FROM m UNION SELECT m3, 3 FROM m),
-{_DOMAIN}, c AS MATERIALIZED (SELECT id AS v, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = 9)
+@query(_kept_sql(SMALL) + f""", w AS (SELECT DISTINCT label FROM pattern_v WHERE query_no = {SMALL}),
+has AS (SELECT h3.v, count(DISTINCT x.label) AS k FROM h3 JOIN vertices x ON x.id = h3.id JOIN w ON w.label = x.label GROUP BY h3.v)
+SELECT c.v, c.u FROM c JOIN has ON has.v = c.v WHERE has.k = (SELECT count(*) FROM w)""")
+def learned_filter(spark, d):
+    """Candidates by a score over their neighbourhoods; here whether these have all labels of the pattern."""
+    g, p = domain(spark, d), given(spark, d)[SMALL]
+    cand, edges, _ = prune.prune(g, p)
+    return learned.learned_candidates(edges, g.vertices, cand, p, _has_labels)
+
+
+def _has_labels(nodes, edges, p: Pattern, u: int) -> float:
+    return float(set(p.labels) <= set(nodes["label"]))
+
+
+@query(f"""WITH {_DOMAIN}, c AS (SELECT id FROM vertices WHERE label = 496) SELECT (SELECT count(*) FROM c) AS sets, 0::BIGINT AS wrong_size, 0::BIGINT AS apart,
+(SELECT count(*) FROM c) AS positives, 0::BIGINT AS same_label""")
+def learned_samples(spark, d):
+    """Node sets grown around the vertices of one label, and a negative vertex for each."""
+    g = domain(spark, d)
+    e, c = g.simple, cut(g.vertices.where("label = 496").select(F.col("id").alias("v")))
+    sets = cut(learned.grown_samples(e, c))
+    of = sets.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"))
+    near = sets.join(e.select(F.col("src").alias("id"), "dst"), "id").join(sets.select("v", F.col("id").alias("dst")), ["v", "dst"]).select("v", "id").distinct()
+    lonely = sets.join(near, ["v", "id"], "left_anti").join(of, "v").where("n > 1").count()
+    pairs = learned.with_negatives(c, g.vertices).join(g.vertices.withColumnRenamed("id", "other"), "other")
+    same = pairs.where("NOT positive AND label = 496").count()
+    row = (of.count(), of.where("full AND (n < 3 OR n > 29)").count(), lonely, pairs.where("positive").count(), same)
+    return spark.createDataFrame([row], "sets long, wrong_size long, apart long, positives long, same_label long")
+
+
+@query("""WITH s AS (SELECT weight AS score, s < t AS pos FROM edge_list WHERE weight IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL),
+g AS (SELECT score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM s GROUP BY score),
+c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(q) OVER (ORDER BY score DESC) AS fp FROM g), t AS (SELECT sum(p)::DOUBLE AS p, sum(q)::DOUBLE AS q FROM g)
+SELECT round(sum(c.q * (tp - c.p / 2)) / max(t.p * t.q), 9) AS auroc, round(sum(c.p * tp / (tp + fp)) / max(t.p), 9) AS average_precision FROM c, t""")
+def ranking(spark, d):
+    lines = domain(spark, d).lines.where("weight IS NOT NULL")
+    found = learned.ranking_quality(lines.select(F.col("weight").alias("score"), (F.col("src") < F.col("dst")).alias("positive")))
+    return found.select(F.round("auroc", 9).alias("auroc"), F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(f"""WITH m AS MATERIALIZED (SELECT * FROM ({SQL['match_given']}) WHERE query_no = {SMALL}), t AS MATERIALIZED (SELECT m0 AS v, 0 AS u FROM m UNION SELECT m1, 1 FROM m UNION SELECT m2, 2 FROM m UNION SELECT m3, 3 FROM m),
+{_DOMAIN}, c AS MATERIALIZED (SELECT id AS v, u FROM vertices JOIN pattern_v USING (label) WHERE query_no = {SMALL})
 SELECT (SELECT count(*) FROM t) AS tp, (SELECT count(*) FROM c) - (SELECT count(*) FROM t) AS fp""")
 def label_filter_quality(spark, d):
-    g, p = domain(spark, d), pattern(spark, d, 9)
+    g, p = domain(spark, d), given(spark, d)[SMALL]
     cand = prune.label_candidates(g.vertices, p)
     return learned.evaluation(cand, learned.true_candidates(matching.match(g, p)), cand).select("tp", "fp")
