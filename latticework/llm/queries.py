@@ -18,7 +18,8 @@ CAPACITY = 2048
 
 
 def p1_frequent(spark: SparkSession, d: str) -> DataFrame:
-    return frequent_values(table(spark, d, "edge_list"), "s", 0.005).select(F.col("value").alias("s"), "n")
+    found = frequent_values(table(spark, d, "edge_list"), "s", 0.005)
+    return found.select(F.col("value").alias("s"), "n", (F.col("at_most") >= F.col("n")).alias("within_bound"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +202,7 @@ _LATIN_LIKE = "".join(c for c in map(chr, [*range(0x370, 0x530), *range(0x1F00,
 
 SQL = {
     "p1_found": "SELECT s FROM edge_list WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= 0.005 * (SELECT count(s) FROM edge_list)",
-    "p1_frequent": "SELECT s, count(*) AS n FROM edge_list WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= 0.005 * (SELECT count(s) FROM edge_list)",
+    "p1_frequent": "SELECT s, count(*) AS n, true AS within_bound FROM edge_list WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= 0.005 * (SELECT count(s) FROM edge_list)",
     "p4_found": f"""WITH {_EDGES}, firsts AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY a, b, w) AS f FROM keyed)
 SELECT f AS first_id, rec_id AS copy_id FROM firsts WHERE f <> rec_id""",
     "p4_edges": f"WITH {_EDGES} SELECT min(rec_id) AS first_id, count(*) AS copies FROM keyed GROUP BY a, b, w",
