@@ -40,7 +40,7 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
     ranked = p.asymmetry() if symmetric else []
     rows, done = None, []
     plan = list(zip(order, order_of.extensions(p, order)))
-    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked)
+    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked, None not in p.labels)
     near = {frozenset(e) for e in p.edges}
     loose = [(a, b) for a, b in ranked if frozenset((a, b)) not in near]  # pairs that no step compares
     compared = {x for pair in loose for x in pair}

@@ -27,10 +27,11 @@ class Steps:
 
     They are found by two joins for all of them together and written once, with the number of edges of each. ranked:
     pairs of query vertices of which the first one's data vertex must come before the second one's, by (degree, id) in
-    ``edges``; steps between them are left out that don't, and rows can carry degrees to compare others.
+    ``edges``; steps between them are left out that don't, and rows can carry degrees to compare others. few: whether
+    labels leave few of the edges; else they are written by columns.
     """
 
-    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]], ranked: Sequence[tuple[int, int]] = ()):
+    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]], ranked: Sequence[tuple[int, int]] = (), few: bool = True):
         spark = edges.sparkSession
         wanted = _local(spark, sorted(set(steps)), "a int, b int")
         from_ = cand.select(F.col("v").alias("src"), F.col("u").alias("a")).join(wanted, "a")
@@ -47,7 +48,7 @@ class Steps:
             for first, second in ranked:
                 a, b = F.col("a"), F.col("b")
                 found = found.where(~((a == first) & (b == second)) | up).where(~((a == second) & (b == first)) | ~up)
-        self._edges = stored(found)
+        self._edges = (cut if few else stored)(found)
         self.sizes = {(r.a, r.b): r.n for r in self._edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def of(self, a: int, b: int, left: str, right: str, degrees: Sequence[str] = ()) -> DataFrame:
@@ -145,7 +146,7 @@ def prune_by_labels(graph: Graph, patterns: Mapping[int, Pattern], multigraph: b
         alive = n
         for end in ("src", "dst"):
             edges = edges.join(counted(live.withColumnRenamed("v", end), n), ["q", end], "left_semi")
-        edges = stored(edges.select("q", "src", "dst", "label"))
+        edges = cut(edges.select("q", "src", "dst", "label"))  # few are left after the first round
     edges = edges.select("q", "src", "dst")
     return cand, edges.where("src <> dst").distinct() if multigraph else edges, rounds
 

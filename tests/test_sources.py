@@ -1,4 +1,7 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -12,6 +15,8 @@ from latticework.plans.pattern import Pattern
 from latticework.sources import generate, sample, text
 from latticework.streaming import ingest
 
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()))
@@ -201,3 +206,59 @@ def test_rewiring_permutes_at_any_size(spark):
         assert math.gcd(step, m) == 1 and step * m < 1 << 63
     e = generate.preferential(spark, 300, 3, 0.6, rewire=True)
     assert sorted(r.src for r in e.collect()) == sorted(i // 3 for i in range(900))
+
+
+def test_a_graph_from_a_file_gives_queries(spark, tmp_path):
+    edges, labels = random_graph(4, n=30, m=80)
+    lines = [f"v {v} {x}" for v, x in labels.items()] + [f"e {a} {b}" for a, b in edges]
+    (tmp_path / "g").write_text("\n".join(lines))
+    g = sample.graph_of_files(spark, str(tmp_path / "g"))
+    assert rows(g.vertices) == sorted(labels.items()) and rows(g.pairs) == rows(graph(spark, edges).pairs)
+    p = sample.queries_from(g, 1, 3, "path", seed=2, first_number=7)[7]
+    assert p.n == 3 and not match.match(g, p).isEmpty()
+
+
+def test_a_walk_goes_to_every_neighbour_of_a_hub(spark):
+    """A self-avoiding walk back and forth over a hub of 400: all its neighbours are within reach."""
+    g = graph(spark, [(0, i) for i in range(1, 400)])
+    assert len(set(sample.walk(g, 30, seed=3, jump=True))) == 30
+
+
+STAND_IN = """
+import numpy
+
+
+class File(dict):
+    \'\'\'Reads what numpy saved, as far as the reader asks for it.\'\'\'
+
+    def __init__(self, path):
+        super().__init__(numpy.load(path))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+"""
+
+
+def test_hdf5_by_a_stand_in(tmp_path):
+    """The reader over files that a stand-in for the missing library opens, in a process of its own."""
+    (tmp_path / "h5py.py").write_text(STAND_IN.replace("\\'", "'"))
+    script = f"""
+import sys
+sys.path[:0] = [{str(HERE)!r}, {str(tmp_path)!r}]
+import numpy
+from latticework.session import local_session
+from latticework.sources.text import read_hdf5
+spark = local_session(cores=2, shuffle_partitions=2, memory="1g", app="hdf5")
+for i in (1, 2):
+    numpy.savez({str(tmp_path)!r} + f"/{{i}}.npz", s=numpy.arange(3) + i, t=numpy.arange(3) * i, w=numpy.arange(3))
+paths = [{str(tmp_path)!r} + f"/{{i}}.npz" for i in (1, 2)]
+print("ROWS", sorted(map(tuple, read_hdf5(spark, paths, "s", "t", "w").collect())))
+print("BARE", sorted(map(tuple, read_hdf5(spark, paths[:1], "s", "t").collect())))
+"""
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(HERE), str(tmp_path)])}
+    out = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=200)
+    assert "ROWS [(1, 0, 0.0), (2, 0, 0.0), (2, 1, 1.0), (3, 2, 1.0), (3, 2, 2.0), (4, 4, 2.0)]" in out.stdout, out.stderr[-2000:]
+    assert "BARE [(1, 0, None), (2, 1, None), (3, 2, None)]" in out.stdout
