@@ -16,9 +16,9 @@ def first_source(graph: Graph, source: int) -> int | None:
     return graph.edges.where(F.col("src") >= source).agg(F.min("src")).first()[0]
 
 
-def _by_source(edges: DataFrame) -> DataFrame:
-    """Edges partitioned by src, once: a round's vertices come to them, they never move again."""
-    return cut(edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src"))
+def _kept_by(df: DataFrame, key: str) -> DataFrame:
+    """df partitioned by a key and written so: what is joined by the key comes to it, it doesn't move again."""
+    return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
 
 
 def bfs(graph: Graph, source: int, advance: bool = True) -> DataFrame:
@@ -34,7 +34,7 @@ def bfs(graph: Graph, source: int, advance: bool = True) -> DataFrame:
     front = spark.createDataFrame([] if start is None else [(start, 0, start)], schema)
     if start is None:
         return front
-    edges = _by_source(graph.simple)
+    edges = _kept_by(graph.simple, "src")
     fronts, level, n = [front], 0, 1
     while n:
         level += 1
@@ -58,23 +58,24 @@ def sssp(graph: Graph, source: int, advance: bool = True) -> DataFrame:
     """
     spark = graph.lines.sparkSession
     edges = graph.edges.where(F.col("weight").isNotNull() & (F.col("src") != F.col("dst")))
-    edges = _by_source(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    edges = _kept_by(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "src")
     if (least := edges.agg(F.min("weight")).first()[0]) is not None and least < 0:
         raise ValueError("negative weight")
     start = edges.where(F.col("src") >= source).agg(F.min("src")).first()[0] if advance else source
     front = spark.createDataFrame([] if start is None else [(start, 0.0)], "id long, distance double")
-    found, n = [front], int(start is not None)
+    base, since, n = _kept_by(front, "id"), [], int(start is not None)
     while n:
         near = counted(front.select(F.col("id").alias("src"), "distance"), n)
         to = edges.join(near, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
-        best = _shortest(found)
-        front = to.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("offer") < F.col("distance")))
-        front = cut(front.select("id", F.col("offer").alias("distance")))
+        to = to.join(base.withColumnRenamed("distance", "d0"), "id", "left").where(F.col("d0").isNull() | (F.col("offer") < F.col("d0")))
+        if since:
+            to = to.join(_shortest(since).withColumnRenamed("distance", "d1"), "id", "left").where(F.col("d1").isNull() | (F.col("offer") < F.col("d1")))
+        front = cut(to.select("id", F.col("offer").alias("distance")))
         n = front.count()
-        found.append(front)
-        if len(found) > ROUNDS_APART:
-            found = [cut(_shortest(found))]
-    return _shortest(found)
+        since.append(front)
+        if len(since) == ROUNDS_APART:
+            base, since = _kept_by(_shortest([base, *since]), "id"), []
+    return _shortest([base, *since])
 
 
 def _shortest(parts: list[DataFrame]) -> DataFrame:
@@ -135,8 +136,10 @@ def pagerank(graph: Graph, iterations: int = 1, damping: float | None = None, no
     """
     edges = graph.edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
     degree = graph.degrees().withColumnRenamed("id", "src")
-    share = _by_source(edges.join(degree, "src").select("src", "dst", (F.col("k") / F.col("degree")).alias("part")))
-    ids = stored(graph.vertices.select("id").unionByName(share.select(F.col("src").alias("id"))).distinct())
+    share = edges.join(degree, "src").select("src", "dst", (F.col("k") / F.col("degree")).alias("part"))
+    if iterations > 1:
+        share = _kept_by(share, "src")
+    ids = cut(graph.vertices.select("id").unionByName(degree.select(F.col("src").alias("id"))).distinct())
     size = ids.agg(F.count(F.lit(1)) if normalizer == "n" else F.max("id")).first()[0] or 1
     rank = ids.select("id", F.lit(1.0 / size).alias("rank"))
     for _ in range(iterations):
