@@ -157,6 +157,7 @@ def pair_probability(data: np.ndarray, query: np.ndarray, weights: Mapping[str,
 
 def weights_of_state(state: Mapping[str, np.ndarray], layers: int = 4, kind: str = "GIN") -> dict[str, np.ndarray]:
     """The weights above from the arrays of a trained model's saved state, by the state's own names."""
+    # The names in a saved state.
     inner = {"GIN": ("nn.0", "nn.2"), "SAGE": ("lin", "lin_update"), "GCN": ("lin",)}[kind]
     names = {"pre": "emb_model.pre_mp.0", "mlp.1": "mlp.0", "mlp.2": "mlp.2"}
     names |= {f"post.{i + 1}": f"emb_model.post_mp.{at}" for i, at in enumerate((0, 3, 5, 7))}
