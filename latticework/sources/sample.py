@@ -47,6 +47,33 @@ def walk(graph: Graph, n: int, seed: int = 0, jump: bool = False, start: int | N
     return path
 
 
+def _cycle(graph: Graph, n: int, seed: int, simple: DataFrame) -> list[int]:
+    """n vertices of a cycle, at least three; fewer if the walk that it begins with is on none.
+
+    The last three (of a triangle the last one) are found by joins, not walked to: a walk in a large sparse graph hardly
+    ever comes back by itself. Of those that close the walk, the ones with the smallest hash are taken.
+    """
+    path = walk(graph, max(n - 3, 1 + (n == 3)), seed, simple=simple)
+    if len(path) < max(n - 3, 1 + (n == 3)):
+        return path
+    near = lambda v: simple.where((F.col("src") == v) & ~F.col("dst").isin(path)).select("dst")
+    if n == 3:
+        found = near(path[-1]).join(near(path[0]), "dst").agg(F.min_by("dst", F.struct(F.xxhash64(F.lit(seed), "dst"), "dst"))).first()[0]
+        return path if found is None else [*path, found]
+
+    def two_steps(v: int, name: str) -> DataFrame:
+        """(dst, two vertices between v and dst): two are enough to have one that isn't the other side's."""
+        both = simple.join(near(v).withColumnRenamed("dst", "src"), "src").where(~F.col("dst").isin(path))
+        by = F.struct(F.xxhash64(F.lit(seed), "src"), "src")
+        return both.groupBy("dst").agg(F.min_by("src", by).alias(f"{name}0"), F.max_by("src", by).alias(f"{name}1"))
+
+    ways = two_steps(path[-1], "b").join(two_steps(path[0], "d"), "dst")
+    pairs = F.explode(F.array(*(F.struct(F.col(b).alias("b"), F.col("dst").alias("c"), F.col(d).alias("d")) for b, d in (("b0", "d0"), ("b0", "d1"), ("b1", "d0")))))
+    ways = ways.select(pairs.alias("x")).where("x.b <> x.d").select("x.*")
+    found = ways.agg(F.min_by(F.struct("b", "c", "d"), F.struct(F.xxhash64(F.lit(seed), "b", "c", "d"), "b", "c", "d"))).first()[0]
+    return path if found is None else [*path, *found]
+
+
 def sample_subgraph(graph: Graph, n: int = 50, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(vertices(id, label), edges(src, dst)): the subgraph that n walked vertices induce."""
     ids = walk(graph, n, seed, jump=True)
@@ -54,16 +81,17 @@ def sample_subgraph(graph: Graph, n: int = 50, seed: int = 0) -> tuple[DataFrame
     return graph.vertices.join(F.broadcast(some), "id", "left_semi"), graph.induced(some).select("src", "dst").distinct()
 
 
-def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: int = 20, constrained: bool = True) -> Pattern:
+def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: int = 20, constrained: bool = True, simple: DataFrame | None = None) -> Pattern:
     """A query of n vertices that the graph has.
 
     kind: "path" has the walk's edges, "cycle" also its closing edge, "tree" a spanning tree of the induced graph,
-    "other" a tree and up to n more of its edges. constrained: only queries with a walk constraint.
+    "other" a tree and up to n more of its edges. constrained: only queries with a walk constraint. simple: the graph's
+    ``sorted_edges``, where several queries are drawn.
     """
-    simple = sorted_edges(graph)
+    simple = sorted_edges(graph) if simple is None else simple
     for t in range(tries):
         rng = random.Random(seed * 1000 + t)
-        path = walk(graph, n, seed * 1000 + t, simple=simple)
+        path = (_cycle if kind == "cycle" and n > 2 else walk)(graph, n, seed * 1000 + t, simple=simple)
         if len(path) < n:
             continue
         at = {v: i for i, v in enumerate(path)}
@@ -103,4 +131,5 @@ def graph_of_files(spark: SparkSession, path: str) -> Graph:
 
 def queries_from(graph: Graph, count: int, n: int = 8, kind: str = "other", seed: int = 0, first_number: int = 0) -> dict[int, Pattern]:
     """Several queries by number, going on after the ones there are."""
-    return {first_number + i: query(graph, n, kind, seed + i) for i in range(count)}
+    simple = sorted_edges(graph)
+    return {first_number + i: query(graph, n, kind, seed + i, simple=simple) for i in range(count)}

@@ -161,6 +161,16 @@ def test_samples(spark):
     assert sample.walk(graph(spark, []), 3) == []
 
 
+def test_a_cycle_is_found_where_walks_hardly_close(spark):
+    """In a sparse graph a walk's ends are seldom neighbours; one try finds a cycle, of any length."""
+    edges, _ = random_graph(5, n=300, m=2400)
+    g = graph(spark, edges, {v: v % 3 for v in range(302)})
+    for n in (3, 4, 5):
+        for seed in (1, 2):
+            p = sample.query(g, n, "cycle", seed=seed, tries=1, constrained=False)
+            assert p.n == n == len(p.edges) and all(p.degree(u) == 2 for u in range(n)) and not match.match(g, p).isEmpty()
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
