@@ -47,15 +47,28 @@ def grown_samples(edges: DataFrame, centres: DataFrame, largest: int = 29, small
 
     Every round adds to each set the not yet chosen neighbours, a third of its size at most, so all sets grow at once,
     until each has its size or no neighbour is left. full: whether it has; where whole sets are wanted, take these.
+
+    Of a member with more than twice as many neighbours as a set can have, each set sees so many of them, from a place
+    drawn by hash in a hashed order. More than it lacks are always new to it, so that sets become as large as with all.
     """
     size = (F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(largest - smallest + 1)) + smallest).alias("want")
+    seen = 2 * largest
+    order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), "src", "dst"), "dst")
+    near_of = stored(edges.select("src", "dst", (F.row_number().over(order) - 1).cast("long").alias("at"))).withColumn("block", F.expr(f"at div {seen}"))
+    degree = stored(near_of.groupBy(F.col("src").alias("id")).agg((F.max("at") + 1).alias("n")))
+    last = F.least(F.col("start") + seen, F.col("n")) - 1
+    blocks = F.array(F.col("start"), last, F.when(F.col("start") + seen > F.col("n"), 0).otherwise(last))  # it goes on from the first
+    blocks = F.array_distinct(F.transform(blocks, lambda x: F.floor(x / seen)))
+    near_of = near_of.select(F.col("src").alias("id"), "dst", "at", "block")
     chosen = stored(centres.select("v", F.col("v").alias("id")).distinct())
     w = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(seed), "v", "id"), "id")
     while True:
         have = chosen.groupBy("v").agg(F.count(F.lit(1)).alias("have")).select("v", "have", size)
-        open_ = chosen.join(have.where("have < want"), "v")
-        near = open_.join(edges.withColumnRenamed("src", "id"), "id").select("v", F.col("dst").alias("id"), "have", "want").distinct()
-        near = near.join(chosen, ["v", "id"], "left_anti")
+        open_ = chosen.join(have.where("have < want"), "v").join(degree, "id")
+        start = F.when(F.col("n") > seen, F.pmod(F.xxhash64(F.lit(seed), "v", "id"), F.col("n"))).otherwise(0)
+        open_ = open_.withColumn("start", start.cast("long")).withColumn("block", F.explode(blocks))
+        near = open_.join(near_of, ["id", "block"]).where(F.pmod(F.col("at") - F.col("start"), F.col("n")) < seen)
+        near = near.select("v", F.col("dst").alias("id"), "have", "want").distinct().join(chosen, ["v", "id"], "left_anti")
         more = near.withColumn("r", F.row_number().over(w)).where("have + r <= want AND r <= greatest(1, want div 3)")
         more = stored(more.select("v", "id"))
         if more.isEmpty():

@@ -945,7 +945,8 @@ def learned_samples(spark, d):
     e, c = g.simple, cut(g.vertices.where("label = 496").select(F.col("id").alias("v")))
     sets = cut(learned.grown_samples(e, c))
     of = sets.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full"))
-    near = sets.join(e.select(F.col("src").alias("id"), "dst"), "id").join(sets.select("v", F.col("id").alias("dst")), ["v", "dst"]).select("v", "id").distinct()
+    both = sets.select("v", F.col("id").alias("src")).join(sets.select("v", F.col("id").alias("dst")), "v").where("src <> dst")
+    near = both.join(g.edges, ["src", "dst"], "left_semi").select("v", F.col("src").alias("id")).distinct()
     lonely = sets.join(near, ["v", "id"], "left_anti").join(of, "v").where("n > 1").count()
     pairs = learned.with_negatives(c, g.vertices).join(g.vertices.withColumnRenamed("id", "other"), "other")
     same = pairs.where("NOT positive AND label = 496").count()

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphs import adjacency, graph, random_graph
 from latticework.operators import learned as L
@@ -56,6 +57,16 @@ def test_samples(spark):
     assert sum(r.positive for r in pairs) == len(labels)
 
 
+def test_sets_that_meet_in_a_hub_take_a_part_of_its_neighbours(spark):
+    """20,000 sets around a hub of as many grow to their size, and not always alike; all pairs of both would take minutes."""
+    hub, n = 99_999, 20_000
+    g = graph(spark, [(hub, i) for i in range(n)])
+    with M.time_limit(spark, 90):
+        found = L.grown_samples(g.simple, spark.range(n).withColumnRenamed("id", "v")).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("full").alias("full")).collect()
+    assert len(found) == n and all(r.full and r.v in r.ids and hub in r.ids and 3 <= len(set(r.ids)) == len(r.ids) <= 29 for r in found)
+    assert len({x for r in found for x in r.ids}) == n + 1 and len({frozenset({*r.ids} - {r.v}) for r in found}) > n // 2
+
+
 def state(width, hidden=4, layers=2, seed=0, kind="GIN", skip="all"):
     """A saved state with the names and shapes that a trained model of this kind has."""
     r = np.random.default_rng(seed)
