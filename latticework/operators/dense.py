@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,10 +114,11 @@ class Supports:
     their other sides; no triangle is looked for again.
     """
 
-    def __init__(self, pairs: DataFrame):
+    def __init__(self, pairs: DataFrame, known: DataFrame | None = None):
+        """known: the triangles (a, b, c), if they were listed before."""
         spark = pairs.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = triangles(pairs).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
+        found = (triangles(pairs) if known is None else known).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"))
         at = found.select(_sides("x", "y", "z").alias("e"), "x", "y", "z").select("e.a", "e.b", "x", "y", "z")
         self._at = cut(at.repartition(parts, "a", "b"))
         n = self._at.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -135,22 +140,85 @@ class Supports:
             self.pairs, self._gone = kept, cut(self._gone.unionByName(weak))
         return self.pairs
 
+    def triangles(self) -> DataFrame:
+        """(a, b, c): the triangles of which all sides are left."""
+        sides = self._at.join(self.pairs, ["a", "b"], "left_semi").groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("sides"))
+        return sides.where("sides = 3").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
+
 
 def truss(pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, n): the pairs left when those in less than k-2 triangles are removed until there are none."""
     return Supports(core(pairs, k - 1)).truss(k)  # what a truss keeps is in the core; peeling it first spares triangles
 
 
+#: Triangles that one task may hold, at some 80 bytes each while they are numbered; more are peeled by joins.
+AT_ONCE = 8_000_000
+
+_LEVELS = "k int, edges long, vertices long, triangles long, dod_sources long"
+
+
+def _ranks(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.searchsorted(known, x).astype(np.int32)
+
+
+def _peel(k: int, k_max: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Levels from k on, of all triangles (a, b, c) in one task; a round goes over the triangles that are left."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[np.ndarray]] = [[], [], []]
+        for b in batches:
+            for own, c in zip(columns, b.columns):
+                own.append(c.to_numpy(zero_copy_only=False))
+        corners = [np.concatenate(own) if own else np.zeros(0, np.int64) for own in columns]
+        ids = np.unique(np.concatenate(corners))
+        corners = [_ranks(ids, c) for c in corners]  # keeps the order of ids
+        keys = [np.minimum(p, q).astype(np.int64) * len(ids) + np.maximum(p, q) for p, q in ((corners[0], corners[1]), (corners[0], corners[2]), (corners[1], corners[2]))]
+        del columns, corners
+        pairs = np.unique(np.concatenate(keys))
+        sides = [_ranks(pairs, x) for x in keys]
+        del keys
+        ends, rows, level = (pairs // max(len(ids), 1), pairs % max(len(ids), 1)), [], k
+        while k_max is None or level <= k_max:
+            while True:
+                n = sum(np.bincount(x, minlength=len(pairs)) for x in sides)
+                kept = n >= level - 2
+                whole = kept[sides[0]] & kept[sides[1]] & kept[sides[2]]
+                if whole.all():
+                    break
+                sides = [x[whole] for x in sides]
+            a, b = (x[kept] for x in ends)
+            degree = np.bincount(np.concatenate([a, b]), minlength=len(ids))
+            first = (degree[a] < degree[b]) | ((degree[a] == degree[b]) & (a < b))
+            rows.append((level, len(a), int((degree > 0).sum()), len(sides[0]), len(np.unique(np.where(first, a, b)))))
+            if not len(a):
+                break
+            level += 1
+        types = (pa.int32(), *[pa.int64()] * 4)
+        names = [x.split()[0] for x in _LEVELS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return run
+
+
 def truss_levels(graph: Graph, k_max: int | None = None) -> DataFrame:
-    """(k, edges, vertices, triangles, dod_sources) for k = 3, 4, ... until nothing is left (or k_max)."""
-    rows, k, supports = [], 3, Supports(core(graph.pairs, 2))
-    while k_max is None or k <= k_max:
+    """(k, edges, vertices, triangles, dod_sources) for k = 3, 4, ... until nothing is left (or k_max).
+
+    While more than AT_ONCE triangles are left, a level is peeled by joins; what is left then is peeled in one task, where
+    a round is no job.
+    """
+    spark = graph.lines.sparkSession
+    rows, k, supports, left = [], 3, None, stored(triangles(graph.pairs))
+    n = left.count()
+    while n > AT_ONCE and (k_max is None or k <= k_max):
+        supports = supports or Supports(core(graph.pairs, 2), left)
         t = supports.truss(k)
         pairs = t.select("a", "b")
         s = t.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         v = pair_degrees(pairs).count()
         rows.append((k, s[0], v, s[1] // 3, oriented(pairs).select("lo").distinct().count()))
-        if not s[0]:
-            break
-        k += 1
-    return graph.lines.sparkSession.createDataFrame(rows, "k int, edges long, vertices long, triangles long, dod_sources long")
+        k, n, left = k + 1, s[1] // 3, None
+    if not rows and not n:
+        rows.append((k, 0, 0, 0, 0))
+    elif (n or rows[-1][1]) and (k_max is None or k <= k_max):
+        left = supports.triangles() if left is None else left
+        rows += [tuple(r) for r in left.repartition(1).mapInArrow(_peel(k, k_max), _LEVELS).collect()] or [(k, 0, 0, 0, 0)]
+    return spark.createDataFrame(rows, _LEVELS)

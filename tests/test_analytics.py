@@ -142,3 +142,17 @@ def test_degrees(spark):
     assert sum(r.edges for r in g.balance().collect()) == 6
     more = graph(spark, MICRO["two"], {0: 5, 1: 5}).with_labels(spark.createDataFrame([(1, 7), (9, 8), (None, 3)], "id long, label long"))
     assert d(more.vertices, value="label") == {0: 5, 1: 7, 9: 8}
+
+
+def test_truss_levels_take_few_jobs_and_are_the_same_by_joins(spark, monkeypatch):
+    """What one task can hold needs no job a round; the switch to it changes nothing."""
+    g = graph(spark, random_graph(9, n=12, m=75)[0])
+    sc = spark.sparkContext
+    sc.setJobGroup("levels", "levels")
+    found = [tuple(r) for r in dense.truss_levels(g).collect()]
+    jobs = len(sc.statusTracker().getJobIdsForGroup("levels"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40 and len(found) > 3 and found[-1][1:] == (0, 0, 0, 0)
+    monkeypatch.setattr(dense, "AT_ONCE", found[1][3])  # the first levels by joins, the others in one task
+    assert [tuple(r) for r in dense.truss_levels(g).collect()] == found
+    assert [tuple(r) for r in dense.truss_levels(graph(spark, [(0, 1)])).collect()] == [(3, 0, 0, 0, 0)]
