@@ -206,24 +206,38 @@ def gin_score(weights: Mapping[str, np.ndarray], width: int, layers: int = 4, ki
 def learned_candidates(edges: DataFrame, vertices: DataFrame, cand: DataFrame, p: Pattern, score: Callable, least: float = 0.5) -> DataFrame:
     """The candidates (v, u) whose neighbourhood scores ``least`` or more against u's.
 
-    Each candidate vertex's neighbourhood is gathered once and scored for all its query vertices. That is what one
-    task holds: use it on pruned edges.
+    Each candidate vertex's neighbourhood is gathered once and scored for all its query vertices. A task holds one
+    neighbourhood and one batch of rows at a time: rows are sorted by the candidate and stream through it.
     """
-    nodes = ego_nodes(edges, cand.select("v").distinct()).join(vertices, "id").select("v", F.struct("id", "label").alias("x"))
-    inside = ego_edges(edges, nodes.select("v", "x.id")).select("v", F.struct("src", "dst").alias("x"))
-    wanted = cand.groupBy("v").agg(F.sort_array(F.collect_set("u")).alias("us"))
-    rows = wanted.join(nodes.groupBy("v").agg(F.sort_array(F.collect_list("x")).alias("nodes")), "v")
-    rows = rows.join(inside.groupBy("v").agg(F.sort_array(F.collect_list("x")).alias("edges")), "v", "left")
+    nodes = stored(ego_nodes(edges, cand.select("v").distinct()))
+    row = lambda d, kind, a, b: d.select("v", F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    rows = row(cand.select("v", "u").distinct(), 0, "u", "u").unionByName(row(nodes.join(vertices, "id"), 1, "id", "label"))
+    rows = rows.unionByName(row(ego_edges(edges, nodes.select("v", "id")), 2, "src", "dst"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "v").sortWithinPartitions("v", "kind", "a", "b")
+
+    def scored(v: int, r: np.ndarray) -> list[tuple[int, int]]:
+        us, n, e = (r[r[:, 0] == kind, 1:] for kind in (0, 1, 2))
+        n, e = pd.DataFrame(n, columns=["id", "label"]), pd.DataFrame(e, columns=["src", "dst"])
+        return [(v, int(u)) for u in us[:, 0] if score(n, e, p, int(u)) >= least]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
         for b in batches:
+            v, r = b["v"].to_numpy(), b[["kind", "a", "b"]].to_numpy(np.int64)
+            cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1), len(v)]
             out = []
-            for r in b.itertuples():
-                n = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in r.nodes], columns=["id", "label"])
-                some = [] if r.edges is None else [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in r.edges]
-                e = pd.DataFrame(some, columns=["src", "dst"])
-                out += [(r.v, int(u)) for u in r.us if score(n, e, p, int(u)) >= least]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if held and v[i] != at:
+                    out += scored(at, np.concatenate(held))
+                    held = []
+                at = int(v[i])
+                held.append(r[i:j].copy())
             yield pd.DataFrame(out, columns=["v", "u"])
+        if held:
+            yield pd.DataFrame(scored(at, np.concatenate(held)), columns=["v", "u"])
 
     return rows.mapInPandas(run, "v long, u int")
 

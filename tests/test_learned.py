@@ -171,6 +171,27 @@ def test_candidates_and_evaluation(spark):
     assert set(rows(kept)) == {m for m in rows(M.match(g, P3)) if 0 not in m}
 
 
+def test_neighbourhoods_stream_through_a_task(spark):
+    """No neighbourhood is gathered in a row; one that spans many batches comes whole to the score."""
+    edges, labels = random_graph(5, n=24, m=40)
+    g, near, size = graph(spark, edges, labels), adjacency(edges), 10_000
+    cand = P.label_candidates(g.vertices, P3)
+    want = {}
+    for v in labels:
+        seen = {v}
+        for _ in range(L.HOPS):
+            seen |= {w for x in seen for w in near.get(x, ())}
+        want[v] = (len(seen), sum(w in seen for x in seen for w in near.get(x, ())))
+    sizes = sorted(want.values())[len(want) // 2]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = L.learned_candidates(g.simple, g.vertices, cand, P3, lambda n, e, p, u: float((len(n), len(e)) == sizes))
+        assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(found) == [(v, u) for v, u in rows(cand) if want[v] == sizes] != []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ranking_is_exact(spark, seed):
     """Scores that differ in the ninth digit only are different."""
