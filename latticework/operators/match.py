@@ -23,6 +23,16 @@ from latticework.session import cut
 #: A pruning round that kills a smaller part of the vertices costs more than it saves; matches are the same.
 LEAST_GAIN = 0.1
 
+#: Rows that one row may become in a chain of broadcast joins. They are made by one task, which holds them all at once.
+SPREAD = 10_000
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt to all tasks by hash, also those of one hub."""
+    spark = rows.sparkSession
+    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *rows.columns)
+
 
 def _alike(p: Pattern, a: int, b: int) -> bool:
     return p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b])
@@ -35,10 +45,11 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
     matched once for all of them: the data vertices of some pairs must be in order of (degree, id), which also keeps
     hubs from expanding where the query allows it, and the other matches are made of these at the end. parents: the
     neighbour that expands for each vertex. watch: sees the rows of each step. symmetric: whether vertices that
-    automorphisms map to each other have the same candidates, but for some that are in no match.
+    automorphisms map to each other have the same candidates, but for some that are in no match. Before a row could
+    become more than SPREAD rows in one task, the rows are dealt out anew.
     """
     ranked = p.asymmetry() if symmetric else []
-    rows, done = None, []
+    rows, done, growth = None, [], 1
     plan = list(zip(order, order_of.extensions(p, order)))
     steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked, None not in p.labels)
     near = {frozenset(e) for e in p.edges}
@@ -53,6 +64,9 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
             first = parents[u] if parents and parents.get(u) is not None else min(before, key=lambda w: (steps.sizes.get((w, u), 0), w))
             start = len(done) == 1 and first in compared
             step = steps.of(first, u, f"m{first}", f"m{u}", (f"d{first}" if start else "", f"d{u}" if u in compared else ""))
+            growth *= steps.most.get((first, u), 1)
+            if len(done) > 1 and growth > SPREAD:
+                rows, growth = _spread(rows), steps.most.get((first, u), 1)
             rows = rows.join(step, f"m{first}")
             for w in before:
                 if w != first:

@@ -25,7 +25,8 @@ def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
 class Steps:
     """The data edges that can stand for some of the query's edges, each in one direction.
 
-    They are found by two joins for all of them together and written once, with the number of edges of each. ranked:
+    They are found by two joins for all of them together and written once, with the number of edges of each (sizes) and
+    the most that go out from one vertex (most). ranked:
     pairs of query vertices of which the first one's data vertex must come before the second one's, by (degree, id) in
     ``edges``; steps between them are left out that don't, and rows can carry degrees to compare others. few: whether
     labels leave few of the edges; else they are written by columns.
@@ -49,7 +50,9 @@ class Steps:
                 a, b = F.col("a"), F.col("b")
                 found = found.where(~((a == first) & (b == second)) | up).where(~((a == second) & (b == first)) | ~up)
         self._edges = (cut if few else stored)(found)
-        self.sizes = {(r.a, r.b): r.n for r in self._edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        each = self._edges.groupBy("a", "b", "src").agg(F.count(F.lit(1)).alias("k")).groupBy("a", "b")
+        found = each.agg(F.sum("k").alias("n"), F.max("k").alias("most")).collect()
+        self.sizes, self.most = ({(r.a, r.b): r[x] for r in found} for x in ("n", "most"))
 
     def of(self, a: int, b: int, left: str, right: str, degrees: Sequence[str] = ()) -> DataFrame:
         """(left, right): the edges for the query edge from a to b; degrees: names for those of both ends."""

@@ -217,3 +217,12 @@ def test_time_limit(spark):
             spark.range(4).select(F.udf(lambda x: time.sleep(3) or 1, "int")("id")).collect()
     with M.time_limit(spark, 60):
         assert spark.range(3).count() == 3
+
+
+def test_a_hubs_matches_are_made_by_many_tasks(spark):
+    leaves = {v: 1 + v % 4 for v in range(1, 81)}
+    p = Pattern.of([0, 1, 2, 3, 4], [(0, u) for u in range(1, 5)])
+    found = M.match(graph(spark, [(0, v) for v in leaves], {0: 0, **leaves}), p)
+    by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(by_task) == 20**4 and max(by_task) < 20**4 / 2
+    assert found.distinct().count() == 20**4
