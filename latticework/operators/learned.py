@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,87 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return e.select("e.src", "e.dst").distinct()
 
 
+#: Edges that every task holds while it searches around one centre after another; with more, neighbourhoods are found by joins.
+HELD_EDGES = 2_000_000
+#: Rows in one batch of a search's result.
+BATCH = 100_000
+
+
+def _searched(edges: DataFrame, centres: DataFrame, hops: int, inside: bool) -> DataFrame:
+    """(v, id, hop), or inside: (v, src, dst), by a search around each centre over all edges, which are sent to every task.
+
+    Nothing but the centres is shuffled, and a task holds one neighbourhood at a time.
+    """
+    spark = edges.sparkSession
+    e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toArrow()
+    ends = np.stack([e.column(i).to_numpy() for i in (0, 1)]).astype(np.int64)
+    ids, at = np.unique(ends, return_inverse=True)
+    src, dst = at.reshape(ends.shape).astype(np.int32)
+    by = np.argsort(src, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]).astype(np.int64)
+    sent = spark.sparkContext.broadcast((ids, starts, dst[by]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, near = sent.value
+        seen, first = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+
+        def edges_of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The number of edges that go out from each of some, and where these go."""
+            n = starts[some + 1] - starts[some]
+            return n, near[np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+        def around(turn: int, centre: int) -> tuple[np.ndarray, np.ndarray]:
+            i = np.searchsorted(ids, centre)
+            if i == len(ids) or ids[i] != centre:  # without an edge
+                return (np.zeros(0, np.int64),) * 2 if inside else (np.array([centre]), np.zeros(1, np.int32))
+            front = np.array([i])
+            seen[i], found = turn, [front]
+            for _ in range(hops):
+                _, to = edges_of(front)
+                to = to[seen[to] != turn]
+                first[to] = np.arange(len(to))
+                front = to[first[to] == np.arange(len(to))]
+                seen[front] = turn
+                found.append(front)
+            all_ = np.concatenate(found)
+            if not inside:
+                return ids[all_], np.repeat(np.arange(hops + 1, dtype=np.int32), list(map(len, found)))
+            n, to = edges_of(all_)
+            keep = seen[to] == turn
+            return ids[np.repeat(all_, n)[keep]], ids[to[keep]]
+
+        turn, held, n = 0, [], 0
+
+        def batch() -> Iterator[pa.RecordBatch]:
+            table = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["v", "src", "dst"] if inside else ["v", "id", "hop"])
+            for i in range(0, table.num_rows, BATCH):
+                yield table.slice(i, BATCH)
+
+        for b in batches:
+            for centre in b.column(0).to_pylist():
+                a, c = around(turn, centre)
+                turn += 1
+                held.append((np.full(len(a), centre, np.int64), a, c))
+                n += len(a)
+                if n >= BATCH:
+                    yield from batch()
+                    held, n = [], 0
+        if held:
+            yield from batch()
+
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = "v long, src long, dst long" if inside else "v long, id long, hop int"
+    return centres.select(F.col("v").cast("long").alias("v")).where("v IS NOT NULL").distinct().repartition(parts, "v").mapInArrow(run, kinds)
+
+
 def ego_nodes(edges: DataFrame, centres: DataFrame, hops: int = HOPS) -> DataFrame:
     """(v, id, hop): the vertices within so many hops of each centre(v), with their distance."""
+    if edges.count() <= HELD_EDGES:
+        return _searched(edges, centres, hops, inside=False)
+    return _joined_nodes(edges, centres, hops)
+
+
+def _joined_nodes(edges: DataFrame, centres: DataFrame, hops: int) -> DataFrame:
     found = front = centres.select("v", F.col("v").alias("id"), F.lit(0).alias("hop"))
     for h in range(1, hops + 1):
         near = front.join(edges.withColumnRenamed("src", "id"), "id").select("v", F.col("dst").alias("id")).distinct()

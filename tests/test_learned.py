@@ -215,3 +215,13 @@ def test_ranking(spark):
     assert r.auroc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / 6)
     assert r.average_precision == pytest.approx((1 / 1 + 2 / 4) / 2)
     assert L.ranking_quality(spark.createDataFrame([(0.5, True)], "score double, positive boolean")).first().auroc is None
+
+
+def test_neighbourhoods_are_searched_without_a_shuffle_of_their_rows(spark):
+    edges, _ = random_graph(4, n=30, m=45)
+    e = L.clean_edges(graph(spark, edges + [(0, v) for v in range(100, 130)]).lines)
+    c = spark.createDataFrame([(v,) for v in (*range(12), 110, 999)], "v long")
+    nodes = L.ego_nodes(e, c)
+    assert rows(nodes) == rows(L._joined_nodes(e, c, L.HOPS))
+    assert (999, 999, 0) in rows(nodes)
+    assert "Join" not in nodes._jdf.queryExecution().executedPlan().toString()
