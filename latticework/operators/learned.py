@@ -115,6 +115,13 @@ def _joined_nodes(edges: DataFrame, centres: DataFrame, hops: int) -> DataFrame:
     return found
 
 
+def edges_around(edges: DataFrame, centres: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(v, src, dst): the edges between the vertices within so many hops of each centre(v)."""
+    if edges.count() <= HELD_EDGES:
+        return _searched(edges, centres, hops, inside=True)
+    return ego_edges(edges, _joined_nodes(edges, centres, hops))
+
+
 def ego_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(v, src, dst): the edges within each centre's neighbourhood."""
     a = nodes.select("v", F.col("id").alias("src"))

@@ -907,20 +907,20 @@ def _kept_sql(number: int) -> str:
 
 
 def _ego(spark: SparkSession, d: str, number: int) -> tuple[DataFrame, DataFrame]:
-    """The edges that pruning leaves for a pattern, and on them the neighbourhoods of its candidates."""
+    """The edges that pruning leaves for a pattern, and its candidates, which are the centres."""
     cand, edges, _ = prune.prune(domain(spark, d), given(spark, d)[number])
-    return edges, learned.ego_nodes(edges, cand.select("v").distinct())
+    return edges, cand.select("v").distinct()
 
 
 @query(_kept_sql(BIG) + " SELECT v, id, hop FROM h3")
 def ego_network(spark, d):
     """Three hops around every candidate of a pattern, on the edges that its pruning leaves."""
-    return _ego(spark, d, BIG)[1]
+    return learned.ego_nodes(*_ego(spark, d, BIG))
 
 
 @query(_kept_sql(BIG) + " SELECT a.v, src, dst FROM le JOIN h3 a ON a.id = src JOIN h3 b ON b.id = dst AND b.v = a.v")
 def ego_edges(spark, d):
-    return learned.ego_edges(*_ego(spark, d, BIG))
+    return learned.edges_around(*_ego(spark, d, BIG))
 
 
 @query(_kept_sql(SMALL) + f""", w AS (SELECT DISTINCT label FROM pattern_v WHERE query_no = {SMALL}),

@@ -225,3 +225,12 @@ def test_neighbourhoods_are_searched_without_a_shuffle_of_their_rows(spark):
     assert rows(nodes) == rows(L._joined_nodes(e, c, L.HOPS))
     assert (999, 999, 0) in rows(nodes)
     assert "Join" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_neighbourhoods_are_found_without_a_shuffle_of_their_rows(spark):
+    edges, _ = random_graph(5, n=30, m=45)
+    e = L.clean_edges(graph(spark, edges + [(0, v) for v in range(100, 130)]).lines)
+    c = spark.createDataFrame([(v,) for v in (*range(12), 110, 999)], "v long")
+    found = L.edges_around(e, c)
+    assert rows(found) == rows(L.ego_edges(e, L._joined_nodes(e, c, L.HOPS)))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
