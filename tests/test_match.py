@@ -226,3 +226,12 @@ def test_a_hubs_matches_are_made_by_many_tasks(spark):
     by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(by_task) == 20**4 and max(by_task) < 20**4 / 2
     assert found.distinct().count() == 20**4
+
+
+def test_paths_over_two_hubs_are_made_by_many_tasks(spark):
+    labels = {0: 1, 1: 2, **{v: 3 for v in range(2, 302)}}
+    p = Pattern.of([1, 2, 3, 3], [(0, 1), (0, 2), (1, 3)])
+    g = graph(spark, [(0, 1), *((v % 2, v) for v in range(2, 302))], labels)
+    found = M.match(g, p, walks=constraints.generate(p, counts=M.label_counts_of(g, p)))
+    by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(by_task) == 150**2 and max(by_task) < 150**2 / 2
