@@ -122,7 +122,8 @@ def prune_by_labels(graph: Graph, patterns: Mapping[int, Pattern], multigraph: b
     a round kills no more than ``least_gain`` of the vertices; stopping early keeps more, never less than all matches
     need. edges are those between live vertices (as of the last round but one, if stopped by its gain). multigraph:
     repeated edges and loops count too, which keeps more. A query of one vertex needs a label only. Directed queries
-    are for a directed graph: what a vertex points to is counted.
+    are for a directed graph: what a vertex points to is counted. Where no neighbour has a label, nothing can die by it,
+    and there is no round.
     """
     spark = graph.lines.sparkSession
     fixed = [(q, u, label) for q, p in patterns.items() for u, label in enumerate(p.labels) if label is not None]
@@ -137,7 +138,7 @@ def prune_by_labels(graph: Graph, patterns: Mapping[int, Pattern], multigraph: b
     wanted = _local(spark, need, "q int, u int, label long, k_min int")
     kinds = _local(spark, [(q, u, sum(n[:2] == (q, u) for n in need)) for q, p in patterns.items() for u in range(p.n)], "q int, u int, kinds long")
     cand, alive, rounds = cut(cand), None, 0
-    while max_rounds is None or rounds < max_rounds:
+    while need and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         counts = edges.groupBy("q", F.col("src").alias("v"), "label").agg(F.count(F.lit(1)).alias("k"))
         met = counts.join(wanted, ["q", "label"]).where("k >= k_min").groupBy("q", "v", "u").agg(F.count(F.lit(1)).alias("met"))

@@ -235,3 +235,11 @@ def test_paths_over_two_hubs_are_made_by_many_tasks(spark):
     found = M.match(g, p, walks=constraints.generate(p, counts=M.label_counts_of(g, p)))
     by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(by_task) == 150**2 and max(by_task) < 150**2 / 2
+
+
+def test_no_round_of_pruning_where_no_neighbour_has_a_label(spark):
+    edges, labels = random_graph(6)
+    p = Pattern.of([None] * 3, [(0, 1), (1, 2), (0, 2)])
+    g, report = graph(spark, edges, labels), {}
+    assert rows(M.match(g, p, report=report)) == embeddings(edges, labels, p)
+    assert report["rounds"] == 0
