@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.operators.prune import Steps, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels
+from latticework.operators.prune import SPREAD, Steps, alike, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels, spread
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import cut
@@ -23,20 +23,6 @@ from latticework.session import cut
 #: A pruning round that kills a smaller part of the vertices costs more than it saves; matches are the same.
 LEAST_GAIN = 0.1
 
-#: Rows that one row may become in a chain of broadcast joins. They are made by one task, which holds them all at once.
-SPREAD = 10_000
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """The same rows, dealt to all tasks by hash, also those of one hub."""
-    spark = rows.sparkSession
-    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, *rows.columns)
-
-
-def _alike(p: Pattern, a: int, b: int) -> bool:
-    return p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b])
-
 
 def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int], parents: Mapping[int, int | None] | None = None, watch: Callable[[int, DataFrame], DataFrame] | None = None, symmetric: bool = True) -> DataFrame:
     """A left-deep join along the order: the matched neighbour with the fewest edges expands, the others check by semi-join.
@@ -66,13 +52,13 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
             step = steps.of(first, u, f"m{first}", f"m{u}", (f"d{first}" if start else "", f"d{u}" if u in compared else ""))
             growth *= steps.most.get((first, u), 1)
             if len(done) > 1 and growth > SPREAD:
-                rows, growth = _spread(rows), steps.most.get((first, u), 1)
+                rows, growth = spread(rows), steps.most.get((first, u), 1)
             rows = rows.join(step, f"m{first}")
             for w in before:
                 if w != first:
                     rows = rows.join(steps.of(w, u, f"m{w}", f"m{u}"), [f"m{w}", f"m{u}"], "left_semi")
             for w in done:
-                if w not in before and _alike(p, w, u):
+                if w not in before and alike(p, w, u):
                     rows = rows.where(F.col(f"m{w}") != F.col(f"m{u}"))
             for a, b in loose:
                 if u in (a, b) and {a, b} <= {*done, u}:
@@ -102,7 +88,7 @@ def enumerate_by_walk(edges: DataFrame, cand: DataFrame, p: Pattern, start: int
         else:
             rows = rows.join(step, f"m{a}")
             for w in done:
-                if w != a and _alike(p, w, b):
+                if w != a and alike(p, w, b):
                     rows = rows.where(F.col(f"m{w}") != F.col(f"m{b}"))
             done.append(b)
     return rows.select(*(f"m{u}" for u in range(p.n)))
@@ -134,8 +120,8 @@ def enumerate_by_intersection(edges: DataFrame, cand: DataFrame, p: Pattern, ord
                 rows = rows.join(near, [f"m{w}", "block"] if lists else [f"m{w}"])
                 lists.append(F.col(f"near{w}"))
             both = reduce(F.array_intersect, lists)
-            alike = [F.col(f"m{w}") for w in done if w not in before and _alike(p, w, u)]
-            both = F.array_except(both, F.array(*alike)) if alike else both
+            same = [F.col(f"m{w}") for w in done if w not in before and alike(p, w, u)]
+            both = F.array_except(both, F.array(*same)) if same else both
             rows = rows.select(*(f"m{w}" for w in done), F.explode(both).alias(f"m{u}"))
         done.append(u)
     return rows.select(*(f"m{u}" for u in range(p.n)))

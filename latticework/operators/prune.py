@@ -17,6 +17,17 @@ from latticework.plans.pattern import Pattern, Walk
 from latticework.session import counted, cut, stored
 
 
+#: Rows that one row may become in a chain of broadcast joins. They are made by one task, which holds them all at once.
+SPREAD = 10_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt to all tasks by hash, also those of one hub."""
+    spark = rows.sparkSession
+    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *rows.columns)
+
+
 def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table of the query's size, which is what is broadcast here."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
@@ -96,9 +107,13 @@ def _labelled(graph: Graph, patterns: Mapping[int, Pattern], multigraph: bool) -
     v = graph.vertices
     if not free:
         v = v.where(F.col("label").isin(sorted({x for _, *ends in pairs for x in ends}) or [-1]))
-    e = graph.edges.select("src", "dst") if multigraph else graph.edges.where("src <> dst").select("src", "dst")
+    e = graph.lines.select("src", "dst") if multigraph else graph.lines.where("src <> dst").select("src", "dst")
     e = e.join(v.select(F.col("id").alias("src"), F.col("label").alias("from_label")), "src")
     e = e.join(v.select(F.col("id").alias("dst"), "label"), "dst")
+    if graph.undirected:  # turned only now, so that each line is moved once
+        names = ["src", "dst", "from_label", "label"]
+        turned = F.struct(*(F.col(c).alias(name) for c, name in zip(["dst", "src", "label", "from_label"], names)))
+        e = e.select(F.explode(F.array(F.struct(*names), turned)).alias("e")).select("e.*")
     out = e.join(_local(spark, sorted(pairs), "q int, from_label long, label long"), ["from_label", "label"]) if pairs else None
     if free:
         all_ = e.withColumn("q", F.explode(F.array(*(F.lit(q) for q in free))))
@@ -195,50 +210,84 @@ def live_edges(edges: DataFrame, cand: DataFrame) -> DataFrame:
     return out.join(live.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def alike(p: Pattern, a: int, b: int) -> bool:
+    return a != b and (p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b]))
+
+
 def walk_rows(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern, keep: Sequence[int] | None = None) -> DataFrame:
     """(m<u>, ...): all ways to take the walk. Positions with one query vertex are one data vertex, others differ.
 
     keep: only these query vertices' columns, each combination once. A column that no later step compares is then
     dropped as soon as it can be, and rows that are equal without it are one: what they can go on to is the same.
+    Before a row could become more than SPREAD rows in one task, the rows are dealt out anew.
     """
-    alike = lambda a, b: a != b and (p.labels[a] == p.labels[b] or None in (p.labels[a], p.labels[b]))
     hops = list(zip(w.vertices, w.vertices[1:]))
     steps = Steps(edges, cand, hops)
     rows = cand.where(F.col("u") == w.vertices[0]).select(F.col("v").alias(f"m{w.vertices[0]}"))
-    held, seen = [w.vertices[0]], {w.vertices[0]}
+    held, seen, growth = [w.vertices[0]], {w.vertices[0]}, 1
     for i, (a, b) in enumerate(hops):
         step = steps.of(a, b, f"m{a}", f"m{b}")
         if b in seen:
             rows = rows.join(step, [f"m{a}", f"m{b}"], "left_semi")
         else:
+            growth *= steps.most.get((a, b), 1)
+            if len(seen) > 1 and growth > SPREAD:
+                rows, growth = spread(rows), steps.most.get((a, b), 1)
             rows = rows.join(step, f"m{a}")
             for c in held:
-                if c != a and alike(c, b):
+                if c != a and alike(p, c, b):
                     rows = rows.where(F.col(f"m{c}") != F.col(f"m{b}"))
             held.append(b)
             seen.add(b)
         if keep is not None:
             ahead = w.vertices[i + 2 :]
             new = [x for x in dict.fromkeys(ahead) if x not in seen]
-            needed = {*keep, b, *(x for x in ahead if x in seen)} | {c for c in held for x in new if alike(c, x)}
+            needed = {*keep, b, *(x for x in ahead if x in seen)} | {c for c in held for x in new if alike(p, c, x)}
             if dropped := [c for c in held if c not in needed]:
                 held = [c for c in held if c not in dropped]
                 rows = rows.select(*(f"m{c}" for c in held)).distinct()
     return rows.select(*(f"m{u}" for u in held)) if keep is None else rows.select(*(f"m{u}" for u in keep)).distinct()
 
 
+def _only_ends_compared(w: Walk, p: Pattern) -> bool:
+    """Whether the walk meets no query vertex twice and has no two positions, other than its ends, that could be one
+    data vertex; the ends of an edge never are."""
+    n = len(w.vertices)
+    pairs = [(i, j) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)]
+    return len(set(w.vertices)) == n > 2 and not any(alike(p, w.vertices[i], w.vertices[j]) for i, j in pairs)
+
+
+def _able(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
+    """(v): the candidates of the walk's first vertex that can take it, each once.
+
+    Where only the two ends are compared, each vertex on the way keeps the smallest and the largest end that it leads to:
+    if there is an end other than the start, one of the two is. A step then makes no more rows than it has edges.
+    """
+    u = w.vertices[0]
+    if not _only_ends_compared(w, p):
+        return walk_rows(edges, cand, w, p, [u]).select(F.col(f"m{u}").alias("v"))
+    hops = list(zip(w.vertices, w.vertices[1:]))
+    steps = Steps(edges, cand, hops)
+    ends = None
+    for a, b in reversed(hops):
+        step = steps.of(a, b, "v", "next")
+        step = step.select("v", F.col("next").alias("low"), F.col("next").alias("high")) if ends is None else step.join(ends.withColumnRenamed("v", "next"), "next")
+        ends = step.groupBy("v").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    if alike(p, u, w.vertices[-1]):
+        ends = ends.where("low <> v OR high <> v")
+    return ends.select("v")
+
+
 def by_walk(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
     """Candidates without those of the walk's first vertex that can't take the walk."""
     u = w.vertices[0]
-    able = walk_rows(edges, cand, w, p, [u]).select(F.col(f"m{u}").alias("v"), F.lit(u).alias("u"))
+    able = _able(edges, cand, w, p).withColumn("u", F.lit(u))
     return cand.where(F.col("u") != u).unionByName(cand.where(F.col("u") == u).join(able, ["v", "u"], "left_semi"))
 
 
 def failing(edges: DataFrame, cand: DataFrame, w: Walk, p: Pattern) -> DataFrame:
     """(v, u): the candidates that by_walk drops."""
-    u = w.vertices[0]
-    able = walk_rows(edges, cand, w, p, [u]).select(F.col(f"m{u}").alias("v"))
-    return cand.where(F.col("u") == u).join(able, "v", "left_anti")
+    return cand.where(F.col("u") == w.vertices[0]).join(_able(edges, cand, w, p), "v", "left_anti")
 
 
 def prune(graph: Graph, p: Pattern, walks: Sequence[Walk] = (), multigraph: bool = False, max_rounds: int | None = None, arc: bool = False, least_gain: float = 0.0) -> tuple[DataFrame, DataFrame, dict]:

@@ -243,3 +243,61 @@ def test_no_round_of_pruning_where_no_neighbour_has_a_label(spark):
     g, report = graph(spark, edges, labels), {}
     assert rows(M.match(g, p, report=report)) == embeddings(edges, labels, p)
     assert report["rounds"] == 0
+
+
+def two_hubs(leaves):
+    """A path over two neighbouring hubs, from a leaf of one to a leaf of the other, and the rows that its walk can have."""
+    p = Pattern.of([1, 2, 3, 3], [(0, 1), (0, 2), (1, 3)])
+    labels = {0: 1, 1: 2, **{v: 3 for v in range(2, 2 + leaves)}}
+    return p, [(0, 1), *((v % 2, v) for v in range(2, 2 + leaves))], labels
+
+
+def test_a_walk_over_hubs_makes_no_more_rows_than_edges(spark):
+    p, edges, labels = two_hubs(600)
+    g = graph(spark, edges, labels)
+    cand, e, _ = P.by_neighbour_labels(g, p)
+    kept = P.by_walk(e, cand, Walk((2, 0, 1, 3), False), p)
+    assert {r.v for r in kept.collect() if r.u == 2} == {v for v in range(2, 602) if v % 2 == 0}
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    values, most = store.executionMetrics(last.executionId()), 0
+    for i in range(last.metrics().size()):
+        m = last.metrics().apply(i)
+        if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+            most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert 300 <= most <= 2 * len(edges)
+
+
+def test_rows_of_a_walk_from_a_hub_are_made_by_many_tasks(spark):
+    p = Pattern.of([0, 1, 2], [(0, 1), (0, 2)])
+    g = graph(spark, [(0, v) for v in range(1, 301)], {0: 0, **{v: 1 + v % 2 for v in range(1, 301)}})
+    cand, e, _ = P.by_neighbour_labels(g, p)
+    found = P.walk_rows(e, cand, Walk((0, 1, 0, 2), False), p)
+    by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(by_task) == 150**2 and max(by_task) < 150**2 / 2
+
+
+def test_candidates_that_can_take_a_path(spark):
+    """By the ends that a vertex leads to, as by all rows of the walk; also where an end can only be the start itself."""
+    edges, labels = random_graph(1, n=16, m=24)
+    edges += [(20, 21), (21, 22), (22, 20), (30, 31), (31, 32), (32, 30), (32, 33)]
+    labels |= {20: 0, 21: 1, 22: 2, 30: 0, 31: 1, 32: 2, 33: 0}
+    g = graph(spark, edges, labels)
+    for p in (Pattern.of([0, 1, 2, 0], [(0, 1), (1, 2), (2, 3)]), Pattern.of([0, 1, 1, 0], [(0, 1), (1, 2), (2, 3)])):
+        cand, e = P.label_candidates(g.vertices, p), P.labelled_edges(g, p).select("src", "dst")
+        for w in (Walk((0, 1, 2, 3), False), Walk((3, 2, 1, 0), False)):
+            u = w.vertices[0]
+            able = {r[f"m{u}"] for r in P.walk_rows(e, cand, w, p).collect()}
+            assert {v for v, x in rows(P.by_walk(e, cand, w, p)) if x == u} == able
+            assert {v for v, _ in rows(P.failing(e, cand, w, p))} == {v for v, x in rows(cand) if x == u} - able
+            if list(p.labels) == [0, 1, 2, 0] and u == 0:
+                assert (20 in able, 30 in able) == (False, True)
+
+
+@pytest.mark.parametrize("multi", [False, True])
+def test_lines_stand_in_both_directions(spark, multi):
+    lines = [(1, 2), (2, 1), (1, 2), (3, 3), (2, 3), (4, 1)]
+    g = graph(spark, lines, {1: 0, 2: 1, 3: 1, 4: 5})
+    both = [(a, b, {1: 0, 4: 5}.get(b, 1)) for x in lines for a, b in (x, x[::-1])]
+    p = Pattern.of([0, 1, 1], [(0, 1), (1, 2)])
+    assert rows(P.labelled_edges(g, p, multi)) == sorted(both if multi else {x for x in both if x[0] != x[1] and 4 not in x[:2]})
