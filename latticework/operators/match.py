@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
-from latticework.operators.prune import SPREAD, Steps, alike, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels, spread
+from latticework.operators.prune import SPREAD, Steps, alike, apart, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels, spread
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
 from latticework.session import cut
@@ -23,8 +23,14 @@ from latticework.session import cut
 #: A pruning round that kills a smaller part of the vertices costs more than it saves; matches are the same.
 LEAST_GAIN = 0.1
 
+#: Edges of all steps of a query that may be sent to every task, so that rows need not be moved to them.
+HELD = 1_000_000
 
-def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int], parents: Mapping[int, int | None] | None = None, watch: Callable[[int, DataFrame], DataFrame] | None = None, symmetric: bool = True) -> DataFrame:
+#: Before rows become more than so many they are dealt out a last time, if they are enough to keep all tasks busy.
+DEALT, ENOUGH = 2_000_000, 1_000
+
+
+def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequence[int], parents: Mapping[int, int | None] | None = None, watch: Callable[[int, DataFrame], DataFrame] | None = None, symmetric: bool = True, holds: int | None = None) -> DataFrame:
     """A left-deep join along the order: the matched neighbour with the fewest edges expands, the others check by semi-join.
 
     Only vertices of equal labels can be the same one, so only these are told apart. A query with automorphisms is
@@ -32,12 +38,13 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
     hubs from expanding where the query allows it, and the other matches are made of these at the end. parents: the
     neighbour that expands for each vertex. watch: sees the rows of each step. symmetric: whether vertices that
     automorphisms map to each other have the same candidates, but for some that are in no match. Before a row could
-    become more than SPREAD rows in one task, the rows are dealt out anew.
+    become more than SPREAD rows in one task, the rows are dealt out anew. Where all steps can be held by every task
+    (holds: as many edges, else HELD), that ends before rows become more than DEALT, so that only few are ever moved.
     """
     ranked = p.asymmetry() if symmetric else []
-    rows, done, growth = None, [], 1
+    rows, done, growth, made, last = None, [], 1, 0, False  # made: rows at most; last: dealt for the last time
     plan = list(zip(order, order_of.extensions(p, order)))
-    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked, None not in p.labels)
+    steps = Steps(edges, cand, [(w, u) for u, before in plan for w in before], ranked, None not in p.labels, HELD if holds is None else holds)
     near = {frozenset(e) for e in p.edges}
     loose = [(a, b) for a, b in ranked if frozenset((a, b)) not in near]  # pairs that no step compares
     compared = {x for pair in loose for x in pair}
@@ -50,9 +57,16 @@ def enumerate_matches(edges: DataFrame, cand: DataFrame, p: Pattern, order: Sequ
             first = parents[u] if parents and parents.get(u) is not None else min(before, key=lambda w: (steps.sizes.get((w, u), 0), w))
             start = len(done) == 1 and first in compared
             step = steps.of(first, u, f"m{first}", f"m{u}", (f"d{first}" if start else "", f"d{u}" if u in compared else ""))
-            growth *= steps.most.get((first, u), 1)
+            most = steps.most.get((first, u), 1)
+            growth *= most
+            ahead = made * most if len(done) > 1 else steps.sizes.get((first, u), 0)
+            if len(done) > 1 and steps.held and not last and ahead > DEALT:
+                made, ahead = steps.ahead(rows, first, u)
+                if made >= ENOUGH and ahead > DEALT:
+                    rows, growth, last = spread(rows), 1, True
             if len(done) > 1 and growth > SPREAD:
-                rows, growth = spread(rows), steps.most.get((first, u), 1)
+                rows, growth = apart(rows) if last else spread(rows), most
+            growth, made = max(growth, most), ahead
             rows = rows.join(step, f"m{first}")
             for w in before:
                 if w != first:
@@ -219,14 +233,14 @@ def match_many(graph: Graph, patterns: Mapping[int, Pattern]) -> DataFrame:
     cand, edges, _ = prune_by_labels(graph, patterns, least_gain=LEAST_GAIN)
     sizes = {(r.q, r.u): r.n for r in cand.groupBy("q", "u").agg(F.count(F.lit(1)).alias("n")).collect()}
     columns = [f"m{u}" for u in range(max(p.n for p in patterns.values()))]
-    parts = []
+    parts, holds = [], HELD // len(patterns)
     for q, p in patterns.items():
         if not p.connected():
             raise ValueError("the query is not connected")
         if any((q, u) not in sizes for u in range(p.n)):
             continue
         here = F.col("q") == q
-        found = enumerate_matches(edges.where(here).drop("q"), cand.where(here).drop("q"), p, order_of.size_order(p, {u: sizes[q, u] for u in range(p.n)}))
+        found = enumerate_matches(edges.where(here).drop("q"), cand.where(here).drop("q"), p, order_of.size_order(p, {u: sizes[q, u] for u in range(p.n)}), holds=holds)
         parts.append(found.select(F.lit(q).alias("query_no"), *(F.col(c) if int(c[1:]) < p.n else F.lit(None).cast("long").alias(c) for c in columns)))
     if not parts:
         return graph.lines.sparkSession.createDataFrame([], ", ".join(["query_no int", *(f"{c} long" for c in columns)]))

@@ -28,6 +28,14 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, *rows.columns)
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """The same rows in the same tasks, but what follows takes them one by one from what makes them.
+
+    Joins that Spark compiles together hold all rows that one row becomes in them; these are then compiled apart.
+    """
+    return rows.coalesce(1 << 20)
+
+
 def _local(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table of the query's size, which is what is broadcast here."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
@@ -40,10 +48,11 @@ class Steps:
     the most that go out from one vertex (most). ranked:
     pairs of query vertices of which the first one's data vertex must come before the second one's, by (degree, id) in
     ``edges``; steps between them are left out that don't, and rows can carry degrees to compare others. few: whether
-    labels leave few of the edges; else they are written by columns.
+    labels leave few of the edges; else they are written by columns. holds: as many edges may be sent to every task, if
+    these are all steps together (held).
     """
 
-    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]], ranked: Sequence[tuple[int, int]] = (), few: bool = True):
+    def __init__(self, edges: DataFrame, cand: DataFrame, steps: Sequence[tuple[int, int]], ranked: Sequence[tuple[int, int]] = (), few: bool = True, holds: int = 0):
         spark = edges.sparkSession
         wanted = _local(spark, sorted(set(steps)), "a int, b int")
         from_ = cand.select(F.col("v").alias("src"), F.col("u").alias("a")).join(wanted, "a")
@@ -64,12 +73,19 @@ class Steps:
         each = self._edges.groupBy("a", "b", "src").agg(F.count(F.lit(1)).alias("k")).groupBy("a", "b")
         found = each.agg(F.sum("k").alias("n"), F.max("k").alias("most")).collect()
         self.sizes, self.most = ({(r.a, r.b): r[x] for r in found} for x in ("n", "most"))
+        self.held = sum(self.sizes.values()) <= holds
 
     def of(self, a: int, b: int, left: str, right: str, degrees: Sequence[str] = ()) -> DataFrame:
         """(left, right): the edges for the query edge from a to b; degrees: names for those of both ends."""
         more = [F.col(c).alias(name) for c, name in zip(("d_src", "d_dst"), degrees) if name]
         some = self._edges.where((F.col("a") == a) & (F.col("b") == b)).select(F.col("src").alias(left), F.col("dst").alias(right), *more)
-        return counted(some, self.sizes.get((a, b), 0))
+        return F.broadcast(some) if self.held else counted(some, self.sizes.get((a, b), 0))
+
+    def ahead(self, rows: DataFrame, a: int, b: int) -> tuple[int, int]:
+        """How many of the rows, which have m<a>, can take the step from a to b, and how many rows they become by it."""
+        some = self._edges.where((F.col("a") == a) & (F.col("b") == b)).groupBy(F.col("src").alias(f"m{a}")).agg(F.count(F.lit(1)).alias("k"))
+        found = rows.join(counted(some, self.sizes.get((a, b), 0)), f"m{a}").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
+        return found.n, found.k or 0
 
 
 def label_candidates(vertices: DataFrame, p: Pattern) -> DataFrame:

@@ -228,6 +228,40 @@ def test_a_hubs_matches_are_made_by_many_tasks(spark):
     assert found.distinct().count() == 20**4
 
 
+def test_rows_are_moved_only_while_they_are_few(spark, monkeypatch):
+    """However many rows each leaf makes of a hub, those dealt to all tasks are the few of the first leaves."""
+    monkeypatch.setattr(M, "SPREAD", 100)
+    monkeypatch.setattr(M, "DEALT", 10_000, raising=False)
+    monkeypatch.setattr(M, "ENOUGH", 100, raising=False)
+    leaves = {v: 1 + v % 4 for v in range(1, 161)}
+    p = Pattern.of([0, 1, 2, 3, 4], [(0, u) for u in range(1, 5)])
+    found = M.match(graph(spark, [(0, v) for v in leaves], {0: 0, **leaves}), p)
+    assert found.agg(F.count(F.lit(1)), *(F.count_distinct(c) for c in found.columns)).first() == (40**4, 1, 40, 40, 40, 40)
+    by_task = [r.n for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(by_task) == 40**4 and max(by_task) < 40**4 / 2
+    found.write.format("noop").mode("overwrite").save()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    values, moved = store.executionMetrics(last.executionId()), 0
+    for i in range(last.metrics().size()):
+        m = last.metrics().apply(i)
+        if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+            moved += int(values.apply(m.accumulatorId()).replace(",", ""))
+    assert 100 <= moved <= 10_000
+
+
+@pytest.mark.parametrize("name", ["cycle", "branch", "twins"])
+def test_rows_dealt_a_last_time_are_all_rows(spark, monkeypatch, name):
+    for k, n in (("SPREAD", 1), ("DEALT", 5), ("ENOUGH", 2)):
+        monkeypatch.setattr(M, k, n)
+    edges, labels = random_graph(4)
+    p = {**PATTERNS, **SYMMETRIC}[name]
+    assert rows(M.match(graph(spark, edges, labels), p)) == embeddings(edges, labels, p)
+    for holds in (0, 10**6):
+        cand, e, _ = P.by_neighbour_labels(graph(spark, edges, labels), p)
+        assert rows(M.enumerate_matches(e, cand, p, constraints.size_order(p, {}), holds=holds)) == embeddings(edges, labels, p)
+
+
 def test_paths_over_two_hubs_are_made_by_many_tasks(spark):
     labels = {0: 1, 1: 2, **{v: 3 for v in range(2, 302)}}
     p = Pattern.of([1, 2, 3, 3], [(0, 1), (0, 2), (1, 3)])
