@@ -15,16 +15,18 @@ class Graph:
 
     edges holds what was read, with repeated edges and loops; if the graph is undirected (the default), every edge
     counts in both directions. Rows with a null end are no edges. Vertices are those given, else all ends with
-    label 0. A vertex given more than once keeps its smallest label.
+    label 0. A vertex given more than once keeps its smallest label. once: it is known that every edge is there once,
+    with src < dst; then none is moved to find repetitions.
     """
 
-    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, undirected: bool = True):
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None = None, undirected: bool = True, once: bool = False):
         names = edges.columns
         weight = F.col("weight").cast("double") if "weight" in names else F.lit(None).cast("double")
         self.lines = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
             F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight")
         )
         self.undirected = undirected
+        self.once = once
         self._vertices = vertices
 
     @cached_property
@@ -47,11 +49,13 @@ class Graph:
     @cached_property
     def simple(self) -> DataFrame:
         """(src, dst) without loops and repetitions; in both directions if the graph is undirected."""
-        return self.edges.where("src <> dst").select("src", "dst").distinct()
+        return self.edges.select("src", "dst") if self.once else self.edges.where("src <> dst").select("src", "dst").distinct()
 
     @cached_property
     def pairs(self) -> DataFrame:
         """(a, b) with a < b: the distinct unordered pairs of neighbours."""
+        if self.once:
+            return self.lines.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         low, high = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
         return self.lines.where("src <> dst").select(low, high).distinct()
 

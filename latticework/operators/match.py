@@ -9,15 +9,17 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.graph import Graph
+from latticework.operators.blocks import triangles_by_blocks
 from latticework.operators.prune import SPREAD, Steps, alike, apart, by_neighbour_labels, label_candidates, labelled_edges, live_edges, prune, prune_by_labels, spread
 from latticework.plans import constraints as order_of
 from latticework.plans.pattern import Pattern, Walk
-from latticework.session import cut
+from latticework.session import cut, stored
 
 
 #: A pruning round that kills a smaller part of the vertices costs more than it saves; matches are the same.
@@ -175,6 +177,14 @@ def label_rarity(graph: Graph, p: Pattern) -> list[float]:
     return order_of.rarity(p, label_counts_of(graph, p), at_least, graph.vertices.count())
 
 
+def _any_triangle(graph: Graph) -> DataFrame:
+    """The matches of a triangle without labels."""
+    pairs = stored(graph.pairs)
+    found = triangles_by_blocks(pairs, pairs.count(), None if graph._vertices is None else graph.vertices)
+    each = F.explode(F.array(*(F.struct(*(F.col(c).alias(f"m{i}") for i, c in enumerate(x))) for x in permutations("abc"))))
+    return found.select(each.alias("x")).select("x.*")
+
+
 def match(
     graph: Graph, p: Pattern, *, pruning: bool = True, walks: Sequence[Walk] = (), order: str | Sequence[int] = "size", strategy: str = "join",
     induced: bool = False, multigraph: bool = False, candidate_filter: Callable[[DataFrame], DataFrame] | None = None, report: dict | None = None,
@@ -192,6 +202,8 @@ def match(
         raise ValueError("directed queries can be pruned by, not matched")
     if not p.connected():
         raise ValueError("the query is not connected")
+    if p.n == len(p.edges) == 3 and set(p.labels) == {None} and isinstance(order, str) and strategy == "join" and graph.undirected and candidate_filter is None and report is None:
+        return _any_triangle(graph)
     began = time.perf_counter()
     if pruning:
         cand, edges, counts = prune(graph, p, walks, multigraph, least_gain=LEAST_GAIN)

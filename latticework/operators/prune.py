@@ -137,7 +137,7 @@ def _labelled(graph: Graph, patterns: Mapping[int, Pattern], multigraph: bool) -
     if out is None:
         out = e.limit(0).withColumn("q", F.lit(0))
     out = out.select("q", "src", "dst", "label")
-    return out if multigraph else out.distinct()  # after the labels, which leave few edges of a large graph
+    return out if multigraph or graph.once else out.distinct()  # after the labels, which leave few edges of a large graph
 
 
 def labelled_edges(graph: Graph, p: Pattern, multigraph: bool = False) -> DataFrame:

@@ -37,13 +37,13 @@ def domain(spark: SparkSession, d: str) -> Graph:
 
 
 def parts(spark: SparkSession, d: str) -> Graph:
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()  # moved once for this and the join
     a, b = lines.select("l_orderkey", F.col("l_partkey").alias("src")), lines.select("l_orderkey", F.col("l_partkey").alias("dst"))
     edges = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type")
     ranks = {r.p_type: i for i, r in enumerate(part.select("p_type").distinct().orderBy("p_type").collect())}
     label = F.create_map(*(F.lit(x) for k, v in ranks.items() for x in (k, v)))[F.col("p_type")] if ranks else F.lit(0)
-    return Graph(edges, part.select("id", label.cast("long").alias("label")))
+    return Graph(edges, part.select("id", label.cast("long").alias("label")), once=True)
 
 
 def given(spark: SparkSession, d: str, directed: bool = False) -> dict[int, Pattern]:

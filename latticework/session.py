@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,13 +95,26 @@ def _sweep(spark: SparkSession) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted when it was, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table beside the checkpoints and go on from it: for large tables that are read more
     than once, compressed and by the columns that are needed. It is deleted some time after its last reader is gone."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
     _sweep(spark)
-    df.write.parquet(folder)
+    with _shuffles_dropped(spark):
+        df.write.parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     location = out._jdf.queryExecution().analyzed().relation().location()
     _tables.append((folder, spark._jvm.java.lang.ref.WeakReference(location), spark.sparkContext.applicationId))
