@@ -240,6 +240,17 @@ def match(
     return only_induced(out, graph.simple, cand, p) if induced else out
 
 
+def is_in(graph: Graph, p: Pattern, near: Sequence[int] = (), simple: DataFrame | None = None) -> bool:
+    """Whether p has a match. near: vertices that are tried first: a match among them is one, and only where they have
+    none the whole graph is matched, all of whose matches are far more than is asked for. simple: the graph's edges."""
+    if near:
+        edges = graph.simple if simple is None else simple
+        inside = edges.where(F.col("src").isin(*near) & F.col("dst").isin(*near)).select("src", "dst")
+        if not match(Graph(stored(inside), graph.vertices.where(F.col("id").isin(*near)), graph.undirected), p).isEmpty():
+            return True
+    return not match(graph, p).isEmpty()
+
+
 def match_many(graph: Graph, patterns: Mapping[int, Pattern]) -> DataFrame:
     """(query_no, m0, m1, ...): the matches of several queries, pruned together; null for vertices a query hasn't."""
     cand, edges, _ = prune_by_labels(graph, patterns, least_gain=LEAST_GAIN)
@@ -300,6 +311,6 @@ def time_limit(spark: SparkSession, seconds: float, group: str = "latticework")
 
 
 __all__ = [
-    "by_neighbour_labels", "enumerate_by_intersection", "enumerate_by_walk", "enumerate_matches", "label_rarity", "match", "match_edited",
+    "by_neighbour_labels", "enumerate_by_intersection", "enumerate_by_walk", "enumerate_matches", "is_in", "label_rarity", "match", "match_edited",
     "matches_per_vertex", "only_induced", "time_limit",
 ]

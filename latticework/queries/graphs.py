@@ -784,11 +784,11 @@ def sample_walk_checks(spark, d):
 def sample_query_checks(spark, d):
     """A query of each kind drawn from the graph is in it."""
     g = parts(spark, d)
-    g, rows = Graph(stored(g.lines), g.vertices), []
-    simple = sample.sorted_edges(g)
+    g, rows = Graph(stored(g.lines), g.vertices, once=True), []
+    simple = sample.turned_edges(g)
     for kind in ("path", "tree", "other", "cycle"):
-        p = sample.query(g, 5, kind, seed=3, constrained=False, simple=simple)
-        rows.append((kind, p.n, p.connected(), not matching.match(g, p).isEmpty()))
+        p, walked = sample.drawn(g, 5, kind, seed=3, constrained=False, simple=simple)
+        rows.append((kind, p.n, p.connected(), matching.is_in(g, p, walked, simple)))
     return spark.createDataFrame(rows, "kind string, vertices int, connected boolean, found boolean")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from latticework.graph import Graph
 from latticework.plans.constraints import generate
 from latticework.plans.pattern import Pattern
-from latticework.session import stored
+from latticework.session import counted, stored
 from latticework.sources.text import read_pruned
 
 def sorted_edges(graph: Graph) -> DataFrame:
@@ -18,6 +18,13 @@ def sorted_edges(graph: Graph) -> DataFrame:
     return stored(graph.simple.repartitionByRange("src").sortWithinPartitions("src"))
 
 
+def turned_edges(graph: Graph) -> DataFrame:
+    """The simple edges of an undirected graph whose lines are stored: a step of a walk reads all pairs, which for a
+    few walks is less work, and far less disk, than to sort them."""
+    pairs = graph.pairs
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+
+
 def _next(simple: DataFrame, v: int, walked: list[int], seed: int) -> int | None:
     """Of v's neighbours that weren't walked, the one with the smallest hash; all of them are looked at, in Spark."""
     near = simple.where((F.col("src") == v) & ~F.col("dst").isin(walked))
@@ -63,7 +70,8 @@ def _cycle(graph: Graph, n: int, seed: int, simple: DataFrame) -> list[int]:
 
     def two_steps(v: int, name: str) -> DataFrame:
         """(dst, two vertices between v and dst): two are enough to have one that isn't the other side's."""
-        both = simple.join(near(v).withColumnRenamed("dst", "src"), "src").where(~F.col("dst").isin(path))
+        first = near(v).withColumnRenamed("dst", "src")
+        both = simple.join(counted(first, first.count()), "src").where(~F.col("dst").isin(path))
         by = F.struct(F.xxhash64(F.lit(seed), "src"), "src")
         return both.groupBy("dst").agg(F.min_by("src", by).alias(f"{name}0"), F.max_by("src", by).alias(f"{name}1"))
 
@@ -82,11 +90,16 @@ def sample_subgraph(graph: Graph, n: int = 50, seed: int = 0) -> tuple[DataFrame
 
 
 def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: int = 20, constrained: bool = True, simple: DataFrame | None = None) -> Pattern:
-    """A query of n vertices that the graph has.
+    """A query of n vertices that the graph has; see ``drawn``."""
+    return drawn(graph, n, kind, seed, tries, constrained, simple)[0]
+
+
+def drawn(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: int = 20, constrained: bool = True, simple: DataFrame | None = None) -> tuple[Pattern, list[int]]:
+    """A query of n vertices that the graph has, and the vertices that were walked for it, in the query's order.
 
     kind: "path" has the walk's edges, "cycle" also its closing edge, "tree" a spanning tree of the induced graph,
     "other" a tree and up to n more of its edges. constrained: only queries with a walk constraint. simple: the graph's
-    ``sorted_edges``, where several queries are drawn.
+    ``sorted_edges`` or ``turned_edges``, where several queries are drawn.
     """
     simple = sorted_edges(graph) if simple is None else simple
     for t in range(tries):
@@ -97,7 +110,7 @@ def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: i
         at = {v: i for i, v in enumerate(path)}
         some = graph.lines.sparkSession.createDataFrame([(v,) for v in path], "id long")
         near = F.broadcast(some.withColumnRenamed("id", "src"))
-        induced = simple.join(near, "src").join(F.broadcast(some.withColumnRenamed("id", "dst")), "dst").where("src < dst").collect()
+        induced = simple.where(F.col("src").isin(path)).join(near, "src").join(F.broadcast(some.withColumnRenamed("id", "dst")), "dst").where("src < dst").collect()
         induced = sorted({(min(at[r.src], at[r.dst]), max(at[r.src], at[r.dst])) for r in induced})
         if kind == "cycle" and (0, n - 1) not in induced:
             continue
@@ -119,7 +132,7 @@ def query(graph: Graph, n: int = 8, kind: str = "other", seed: int = 0, tries: i
             raise ValueError(kind)
         p = Pattern.of([label[v] for v in path], steps)
         if not constrained or generate(p):
-            return p
+            return p, path
     raise LookupError(f"no {kind} of {n} vertices found in {tries} walks")
 
 
